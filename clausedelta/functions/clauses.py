@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausedelta.functions.stages import with_computed
 from clausedelta.functions.text import SPACE, split_lines, strip
 
 # Words that open a numbered section.
@@ -43,11 +44,6 @@ def clause_key(identifier: Column) -> Column:
     return strip(F.regexp_replace(F.lower(strip(identifier)), rf"(?:{SPACE}|[:.\-_–—])+", " "))
 
 
-def _with_lines(df: DataFrame, text: str) -> DataFrame:
-    body = strip(F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn("_body", body).withColumn("_lines", split_lines(F.col("_body")))
-
-
 def _sections() -> Column:
     """Sections from the columns _lines and _marks (start line, header, number)."""
     lines, marks = F.col("_lines"), F.col("_marks")
@@ -70,7 +66,7 @@ def _sections() -> Column:
 
 def with_sections(df: DataFrame, text: str, out: str = "sections") -> DataFrame:
     """Add the array of numbered sections; text before the first one is the preamble."""
-    df = _with_lines(df, text)
+    df = with_computed(df, _lines=split_lines(strip(F.coalesce(F.col(text), F.lit("")))))
     probe = F.transform(
         F.col("_lines"),
         lambda line, i: F.struct(
@@ -79,13 +75,13 @@ def with_sections(df: DataFrame, text: str, out: str = "sections") -> DataFrame:
     )
     # The first line always opens a unit: a header or the preamble.
     marks = F.filter(probe, lambda m, i: (m["number"] != "") | (i == 0))
-    df = df.withColumn("_marks", marks).withColumn(out, _sections().cast(f"array<{CLAUSE}>"))
-    return df.drop("_body", "_lines", "_marks")
+    df = with_computed(df, _marks=marks)
+    return with_computed(df, **{out: _sections().cast(f"array<{CLAUSE}>")}).drop("_lines", "_marks")
 
 
 def with_paragraphs(df: DataFrame, text: str, out: str = "paragraphs") -> DataFrame:
     """Add the array of blank-line separated paragraphs, numbered from 1."""
-    df = df.withColumn("_body", strip(F.coalesce(F.col(text), F.lit(""))))
+    body = strip(F.coalesce(F.col(text), F.lit("")))
 
     def paragraph(raw: Column, i: Column) -> Column:
         content = strip(raw)
@@ -100,20 +96,22 @@ def with_paragraphs(df: DataFrame, text: str, out: str = "paragraphs") -> DataFr
             F.lit(None).cast("int").alias("line_end"),
         )
 
-    parts = F.transform(F.split("_body", rf"\n{SPACE}*\n+", -1), paragraph)
+    parts = F.transform(F.split(body, rf"\n{SPACE}*\n+", -1), paragraph)
     kept = F.filter(parts, lambda c: c["text"] != "").cast(f"array<{CLAUSE}>")
-    return df.withColumn(out, kept).drop("_body")
+    return with_computed(df, **{out: kept})
 
 
 def with_clauses(df: DataFrame, text: str, out: str = "clauses", strategy: str = "strategy") -> DataFrame:
     """Sections when there are at least two of them, else paragraphs."""
-    df = with_paragraphs(with_sections(df, text, "_sec"), text, "_par")
+    df = with_sections(df, text, "_sec")
     by_section = F.size("_sec") >= 2
-    return (
-        df.withColumn(strategy, F.when(by_section, "section").otherwise("paragraph"))
-        .withColumn(out, F.when(by_section, F.col("_sec")).otherwise(F.col("_par")))
-        .drop("_sec", "_par")
-    )
+    # Only texts without sections are cut into paragraphs.
+    df = df.withColumn("_rest", F.when(~by_section, F.col(text)))
+    df = with_paragraphs(df, "_rest", "_par")
+    return with_computed(df, **{
+        strategy: F.when(by_section, "section").otherwise("paragraph"),
+        out: F.when(by_section, F.col("_sec")).otherwise(F.col("_par")),
+    }).drop("_sec", "_par", "_rest")
 
 
 def with_unique_clauses(df: DataFrame, clauses: str, out: str = "unique_clauses") -> DataFrame:
@@ -127,7 +125,7 @@ def with_unique_clauses(df: DataFrame, clauses: str, out: str = "unique_clauses"
             F.col(clauses), lambda c, i: F.struct(clause_key(c["identifier"]).alias("key"), i.alias("pos"))
         )
     )
-    df = df.withColumn("_pairs", pairs)
+    df = with_computed(df, _pairs=pairs)
     all_pairs = F.col("_pairs")
     firsts = F.filter(
         all_pairs, lambda x, i: (i == 0) | (F.get(all_pairs, i - 1)["key"] != x["key"])
@@ -136,7 +134,7 @@ def with_unique_clauses(df: DataFrame, clauses: str, out: str = "unique_clauses"
         all_pairs,
         lambda x, i: (i == F.size(all_pairs) - 1) | (F.get(all_pairs, i + 1)["key"] != x["key"]),
     )
-    df = df.withColumn("_first", firsts).withColumn("_last", lasts)
+    df = with_computed(df, _first=firsts, _last=lasts)
     unique = F.transform(
         F.col("_first"),
         lambda f, j: F.struct(
@@ -145,7 +143,7 @@ def with_unique_clauses(df: DataFrame, clauses: str, out: str = "unique_clauses"
             F.get(F.col(clauses), F.get(F.col("_last"), j)["pos"]).alias("clause"),
         ),
     )
-    return df.withColumn(out, unique).drop("_pairs", "_first", "_last")
+    return with_computed(df, **{out: unique}).drop("_pairs", "_first", "_last")
 
 
 def with_clause_diff(df: DataFrame, old: str, new: str, out: str = "changes") -> DataFrame:
@@ -165,7 +163,7 @@ def with_clause_diff(df: DataFrame, old: str, new: str, out: str = "changes") ->
             u["clause"]["text"].alias("text"),
         ),
     )
-    df = df.withColumn("_all", F.array_sort(F.concat(side(old, 0), side(new, 1))))
+    df = with_computed(df, _all=F.array_sort(F.concat(side(old, 0), side(new, 1))))
     every = F.col("_all")
 
     def change(x: Column, i: Column) -> Column:
@@ -192,4 +190,4 @@ def with_clause_diff(df: DataFrame, old: str, new: str, out: str = "changes") ->
         )
 
     changed = F.filter(F.transform(every, change), lambda c: c["change_type"].isNotNull())
-    return df.withColumn(out, F.array_sort(changed)).drop("_all")
+    return with_computed(df, **{out: F.array_sort(changed)}).drop("_all")

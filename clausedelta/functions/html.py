@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausedelta.functions.stages import with_computed
 from clausedelta.functions.text import strip
 
 # Elements that hold no content.
@@ -18,8 +19,12 @@ NON_CONTENT_TAGS = ("script", "style", "nav", "footer", "header", "noscript", "s
 
 
 def _entity_map() -> Column:
-    names = [("apos", "'"), *((n, chr(c)) for n, c in name2codepoint.items())]
-    return F.create_map(*[F.lit(x) for pair in names for x in pair])
+    """Names and characters as two split literals, folded to one map constant."""
+    pairs = [("apos", "'"), *((n, chr(c)) for n, c in name2codepoint.items())]
+    return F.map_from_arrays(
+        F.split(F.lit(" ".join(n for n, _ in pairs)), " "),
+        F.split(F.lit("\x01".join(c for _, c in pairs)), "\x01"),
+    )
 
 
 def unescape(text: Column) -> Column:
@@ -56,8 +61,8 @@ def drop_elements(html: Column, tags=NON_CONTENT_TAGS) -> Column:
 
 def element(html: Column, tag: str) -> Column:
     """Inner HTML of the first such element, null when there is none."""
-    has = html.rlike(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>")
-    return F.when(has, F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
+    whole = F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", 0), F.lit(""))
+    return F.regexp_replace(whole, rf"(?is)^<[^>]*>|</{tag}\s*>$", "")
 
 
 def element_with(html: Column, attribute_pattern: str) -> Column:
@@ -104,13 +109,20 @@ def text_nodes(html: Column) -> Column:
     return F.filter(nodes, lambda t: t != "")
 
 
-def html_to_text(html: Column, selector: str | None = None) -> Column:
-    """One line per text node of the content container."""
-    content = drop_elements(html)
-    choices = [select_first(content, s) for s in ([selector] if selector else [])]
-    choices += [select_first(content, s) for s in ("main", "article", "#content", ".content", "body")]
-    container = F.coalesce(*choices, F.regexp_replace(content, r"(?is)<!doctype[^>]*>|<title\b.*?</title>", ""))
-    return F.array_join(text_nodes(container), "\n")
+def with_html_text(df: DataFrame, html: str, out: str, selector: str | None = None) -> DataFrame:
+    """Add the text of a page: one line per text node of its content container.
+
+    The container is the selector's element, else main, article, #content,
+    .content, body, in this order.
+    """
+    df = with_computed(df, _content=drop_elements(F.col(html)))
+    content = F.col("_content")
+    names = ([selector] if selector else []) + ["main", "article", "#content", ".content", "body"]
+    # Pages without any container lose their title and document type line.
+    whole = F.regexp_replace(content, r"(?is)<!doctype[^>]*>|<title\b.*?</title>", "")
+    df = with_computed(df, _container=F.coalesce(*[select_first(content, n) for n in names], whole))
+    lines = F.array_join(text_nodes(F.col("_container")), "\n")
+    return with_computed(df, **{out: lines}).drop("_content", "_container")
 
 
 def inner_text(html: Column) -> Column:

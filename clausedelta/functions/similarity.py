@@ -33,14 +33,14 @@ def word_deltas(old: str, new: str) -> list[dict]:
 
 
 def compare_texts(old: Column, new: Column, autojunk: bool = True) -> Column:
-    """STRUCT<similarity, deltas>; apply it to modified rows only."""
+    """STRUCT<similarity, deltas>; null texts give 0.0 and no deltas."""
 
     @F.pandas_udf(SCHEMA)
     def compare(olds: pd.Series, news: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "similarity": [similarity(o, n, autojunk) for o, n in zip(olds, news)],
-                "deltas": [word_deltas(o, n) for o, n in zip(olds, news)],
+                "similarity": [0.0 if o is None else similarity(o, n, autojunk) for o, n in zip(olds, news)],
+                "deltas": [[] if o is None else word_deltas(o, n) for o, n in zip(olds, news)],
             }
         )
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausedelta.functions.stages import with_computed
 from clausedelta.functions.text import strip
 
 # Query parameters dropped from links.
@@ -114,13 +115,12 @@ def with_resolved_url(df: DataFrame, base: Column, href: Column, out: str, norma
     """
     link = F.translate(strip(F.coalesce(href, F.lit(""))), "\t\r\n", "")
     base = F.coalesce(base, F.lit(""))
-    df = df.withColumn("_base", base).withColumn("_href", link)
+    df = with_computed(df, _base=base, _href=link)
     b, h = F.col("_base"), F.col("_href")
-    df = df.withColumn(
-        "_b", F.struct(scheme(b).alias("scheme"), netloc(b).alias("netloc"), path(b).alias("path"), query(b).alias("query"))
-    ).withColumn(
-        "_h", F.struct(scheme(h).alias("scheme"), netloc(h).alias("netloc"), path(h).alias("path"), query(h).alias("query"))
+    parts = lambda u: F.struct(
+        scheme(u).alias("scheme"), netloc(u).alias("netloc"), path(u).alias("path"), query(u).alias("query")
     )
+    df = with_computed(df, _b=parts(b), _h=parts(h))
     bs, own = F.col("_b.scheme"), F.col("_h.scheme")
     default = F.when(bs == "", "https").otherwise(bs) if normalize else bs
     full_scheme = F.when(own != "", own).when(F.startswith(h, F.lit("//")), default).otherwise(bs)
@@ -132,13 +132,13 @@ def with_resolved_url(df: DataFrame, base: Column, href: Column, out: str, norma
         F.size(base_dir) > 1, F.slice(base_dir, 1, F.size(base_dir) - 1)
     ).otherwise(F.when(F.col("_b.path") == "", F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
     segments = F.when(F.startswith(F.col("_h.path"), F.lit("/")), own_parts).otherwise(F.concat(base_kept, own_parts))
-    df = df.withColumn("_seg", F.when(~foreign & ~same_page, segments))
+    df = with_computed(df, _seg=F.when(~foreign & ~same_page, segments))
     simple = F.array_join("_seg", "/")
     needs_walk = simple.rlike(r"(^|/)\.\.?(/|$)|.//")
     resolved = F.when(needs_walk, _resolve_segments(F.col("_seg"))).when(simple == "", "/").otherwise(simple)
-    df = df.withColumn(
-        "_u",
-        F.struct(
+    df = with_computed(
+        df,
+        _u=F.struct(
             full_scheme.alias("scheme"),
             F.when(foreign, F.col("_h.netloc")).otherwise(F.col("_b.netloc")).alias("netloc"),
             F.regexp_replace(
@@ -174,7 +174,7 @@ def with_resolved_url(df: DataFrame, base: Column, href: Column, out: str, norma
         url = F.when(h == "", b).otherwise(url)
     else:
         url = F.when(h == "", "").otherwise(url)
-    return df.withColumn(out, url).drop("_base", "_href", "_b", "_h", "_seg", "_u")
+    return with_computed(df, **{out: url}).drop("_base", "_href", "_b", "_h", "_seg", "_u")
 
 
 def is_pdf(url: Column, content_type: Column | None = None) -> Column:

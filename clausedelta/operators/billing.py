@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clausedelta import schemas
 from clausedelta.functions.segments import segmented_last
+from clausedelta.functions.stages import with_computed
 from clausedelta.functions.text import non_blank
 
 # Event types and the subscription status each one sets.
@@ -32,7 +33,7 @@ def normalize_events(raw: DataFrame, strict_reference: bool = False) -> DataFram
     A sale carries its own id; unless ``strict_reference`` is set, the
     agreement it belongs to is its subscription.
     """
-    df = raw.withColumn("_p", F.from_json("payload", schemas.PAYMENT_PAYLOAD))
+    df = with_computed(raw, _p=F.from_json("payload", schemas.PAYMENT_PAYLOAD))
     kind, res = F.coalesce(F.col("_p.event_type"), F.lit("")), F.col("_p.resource")
     table = F.create_map(*[F.lit(x) for pair in EVENT_STATUS.items() for x in pair])
     own, agreement = non_blank(res["id"]), non_blank(res["billing_agreement_id"])

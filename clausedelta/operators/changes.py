@@ -17,10 +17,11 @@ from clausedelta.functions.clauses import (
     with_unique_clauses,
 )
 from clausedelta.functions.similarity import compare_texts
+from clausedelta.functions.stages import exploded
 
 
 def _exploded(df: DataFrame, array: str, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.posexplode(array).alias("pos", "c")).select(*keep, "pos", "c.*")
+    return exploded(df, array, "pos", "c", keep).select(*keep, "pos", "c.*")
 
 
 def split_sections(snapshots: DataFrame, text: str = "cleaned_text") -> DataFrame:
@@ -44,7 +45,7 @@ def unique_clauses(snapshots: DataFrame, text: str = "cleaned_text") -> DataFram
     """Clauses by key: last content, first position."""
     df = with_unique_clauses(with_clauses(snapshots, text), "clauses")
     return (
-        df.select("document_id", "version", "strategy", F.explode("unique_clauses").alias("u"))
+        exploded(df, "unique_clauses", "_p", "u", ["document_id", "version", "strategy"])
         .select("document_id", "version", "strategy", "u.key", "u.ord", "u.clause.*")
     )
 
@@ -99,9 +100,7 @@ def snapshot_diffs(snapshots: DataFrame, text: str = "cleaned_text") -> DataFram
 
 def clause_changes(diffs: DataFrame) -> DataFrame:
     """One row per changed clause of a pair; ``ord`` counts within the pair."""
-    return diffs.select(
-        "document_id", "version", "strategy_used", F.posexplode("changes").alias("ord", "c")
-    ).select(
+    return exploded(diffs, "changes", "ord", "c", ["document_id", "version", "strategy_used"]).select(
         "document_id", "version", "strategy_used", "ord", "c.change_type", "c.clause_key",
         "c.identifier", "c.section_number", "c.old_text", "c.new_text",
     )
@@ -129,15 +128,11 @@ def diff_payload(diffs: DataFrame) -> DataFrame:
 
 def score_changes(changes: DataFrame, autojunk: bool = True) -> DataFrame:
     """Add similarity_score and word_deltas; only modified clauses are compared."""
-    modified = changes.where("change_type = 'modified'")
-    scored = modified.withColumn("_s", compare_texts(F.col("old_text"), F.col("new_text"), autojunk)).select(
+    modified = F.col("change_type") == "modified"
+    texts = [F.when(modified, F.col(c)) for c in ("old_text", "new_text")]
+    return changes.withColumn("_s", compare_texts(*texts, autojunk)).select(
         *changes.columns, F.col("_s.similarity").alias("similarity_score"), F.col("_s.deltas").alias("word_deltas")
     )
-    rest = changes.where("change_type <> 'modified'").select(
-        *changes.columns, F.lit(0.0).alias("similarity_score"),
-        F.array().cast("array<struct<op:string,text:string>>").alias("word_deltas"),
-    )
-    return scored.unionByName(rest)
 
 
 def keyed(clauses: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausedelta.functions.html import attribute, inner_text
+from clausedelta.functions.stages import exploded, with_computed
 from clausedelta.functions.text import non_blank
 from clausedelta.functions.urls import (
     classify_document,
@@ -44,18 +45,15 @@ PLATFORMS = {
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per ``<a>`` element, in page order; other columns stay."""
     anchors = F.regexp_extract_all(F.col(html), F.lit(_ANCHOR), F.lit(0))
-    df = pages.select("*", F.posexplode(anchors).alias("pos", "anchor"))
-    df = df.withColumn("_tag", F.regexp_extract("anchor", r"^<[^>]*>", 0))
-    tag = F.col("_tag")
-    return df.select(
-        *pages.columns,
-        "pos",
-        "anchor",
-        attribute(tag, "href").alias("href"),
-        inner_text(F.col("anchor")).alias("text"),
-        attribute(tag, "title").alias("link_title"),
-        attribute(tag, "id").alias("link_id"),
-        attribute(tag, "class").alias("link_class"),
+    df = exploded(with_computed(pages, _anchors=anchors), "_anchors", "pos", "anchor")
+    tag = F.regexp_extract("anchor", r"^<[^>]*>", 0)
+    return with_computed(
+        df,
+        href=attribute(tag, "href"),
+        text=inner_text(F.col("anchor")),
+        link_title=attribute(tag, "title"),
+        link_id=attribute(tag, "id"),
+        link_class=attribute(tag, "class"),
     )
 
 
@@ -173,9 +171,10 @@ def meeting_table_links(pages: DataFrame) -> DataFrame:
     )
     # Table rows as blocks, and links that stand outside any row.
     blocks = F.regexp_extract_all(area, F.lit(r"(?is)<tr\b[^>]*>.*?</tr\s*>|<a\b[^>]*>.*?</a\s*>"), F.lit(0))
-    df = pages.select("source_id", "base_url", F.posexplode(blocks).alias("block_no", "html"))
+    df = with_computed(pages.select("source_id", "base_url", "html"), _blocks=blocks).drop("html")
+    df = exploded(df, "_blocks", "block_no", "html")
     cells = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<td\b[^>]*>.*?</td\s*>"), F.lit(0)), inner_text)
-    df = df.withColumn("_cells", cells)
+    df = with_computed(df, _cells=cells)
     has_context = F.size("_cells") >= 2
     df = df.withColumn("meeting", F.when(has_context, F.get("_cells", F.lit(0))).otherwise("")).withColumn(
         "meeting_date", F.when(has_context, non_blank(F.get("_cells", F.lit(1))))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausedelta.functions.stages import with_computed
 from clausedelta.functions.text import PAGE_BREAK, clean_text, comparable_line, split_lines, strip
 
 
@@ -20,7 +21,7 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     lines = F.array_distinct(F.transform(split_lines(F.col("page_text")), comparable_line))
     usable = F.filter(lines, lambda v: (F.length(v) > 3) & (F.length(v) < 140))
     counts = (
-        pages.select("document_id", F.explode(usable).alias("line"))
+        pages.select("document_id", F.explode_outer(usable).alias("line")).where("line is not null")
         .groupBy("document_id", "line")
         .agg(F.count("*").alias("pages_with_line"))
         .where("pages_with_line >= 2")
@@ -45,7 +46,7 @@ def clean_pages(pages: DataFrame, phrases: str | None = None, keep_empty: bool =
     # Pages of one-page documents are cleaned as they are.
     body = F.when(F.col("_repeated").isNull(), F.col("page_text")).otherwise(F.array_join(kept, "\n"))
     cleaned = clean_text(body, F.col(phrases) if phrases else None)
-    df = df.withColumn("cleaned_page", cleaned).drop("_repeated")
+    df = with_computed(df, cleaned_page=cleaned).drop("_repeated")
     return df if keep_empty else df.where("cleaned_page <> ''")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausedelta.functions.stages import exploded, with_computed
 from clausedelta.functions.stems import stem_column
 from clausedelta.functions.text import non_blank
 from clausedelta.operators.changes import diff_summary, score_changes
@@ -46,18 +47,18 @@ def term_index(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     Counted inside the row by sorting its words, so building the index needs
     no shuffle and a very common term gathers nowhere.
     """
-    df = rows.select(*key, F.array_sort(tokens(F.col(text))).alias("_t"))
+    df = with_computed(rows.select(*key, text), _t=F.array_sort(tokens(F.col(text))))
     words, n = F.col("_t"), F.size("_t")
     at = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
     starts = F.filter(at, lambda x, i: (i == 0) | (F.get(words, i - 1) != x["term"]))
-    df = df.withColumn("_s", starts)
+    df = with_computed(df, _s=starts)
     counted = F.transform(
         F.col("_s"),
         lambda x, j: F.struct(
             x["term"].alias("term"), (F.coalesce(F.get(F.col("_s"), j + 1)["at"], n) - x["at"]).alias("tf")
         ),
     )
-    return df.select(*key, F.inline(counted))
+    return df.select(*key, F.inline_outer(counted)).where("term is not null")
 
 
 def write_index(postings: DataFrame, path: str, key: str, buckets: int = 64, spread: int = 4) -> None:
@@ -170,7 +171,7 @@ def result_cards(diffs: DataFrame, snapshots: DataFrame) -> DataFrame:
     Order: diffs newest first, in each modified, added, removed; then snapshots.
     """
     c = score_changes(
-        diffs.select("id", "generated_at", "doc_title", "doc_url", "source_name", F.posexplode("changes").alias("_pos", "c"))
+        exploded(diffs, "changes", "_pos", "c", ["id", "generated_at", "doc_title", "doc_url", "source_name"])
         .select("*", "c.change_type", "c.identifier", "c.section_number", "c.old_text", "c.new_text").drop("c")
     )
     kind = F.col("change_type")

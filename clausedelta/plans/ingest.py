@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausedelta.functions.html import html_to_text
+from clausedelta.functions.html import with_html_text
+from clausedelta.functions.stages import with_computed
 from clausedelta.functions.text import clean_text
 from clausedelta.functions.urls import ingest_route
 from clausedelta.operators.changes import diff_pairs, diff_payload, snapshot_pairs
@@ -26,9 +27,7 @@ def extracted(fetches: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     (document_id, fetch_id, page_no, page_text)."""
     routed = fetches.withColumn("_route", ingest_route(F.col("url")))
     as_html = routed.where("_route = 'html'" if pages is not None else "true")
-    as_html = as_html.withColumn("raw_text", html_to_text(F.col("body"))).withColumn(
-        "cleaned_text", clean_text(F.col("raw_text"))
-    )
+    as_html = with_computed(with_html_text(as_html, "body", "raw_text"), cleaned_text=clean_text(F.col("raw_text")))
     if pages is None:
         return as_html.drop("_route")
     by_fetch = pages.withColumn("document_id", F.concat_ws("\x01", "document_id", F.col("fetch_id").cast("string")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausedelta.functions.html import attribute, inner_text
+from clausedelta.functions.stages import exploded, with_computed
 from clausedelta.functions.text import non_blank, strip
 from clausedelta.functions.urls import classify_document, is_allowed_host, with_resolved_url
 
@@ -44,8 +45,9 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
     checked = F.from_xml(
         F.col("body"), "_any string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
-    root = F.regexp_extract(xml, rf"(?s)^[\s\x{{FEFF}}]*(?:<[?!][^>]*>\s*)*<{_PREFIX}([A-Za-z_][\w.\-]*)", 1)
-    df = payloads.withColumn("_xml", xml).withColumn("_checked", checked).withColumn("_root", root)
+    root = F.regexp_extract("_xml", rf"(?s)^[\s\x{{FEFF}}]*(?:<[?!][^>]*>\s*)*<{_PREFIX}([A-Za-z_][\w.\-]*)", 1)
+    df = with_computed(payloads, _xml=xml, _checked=checked)
+    df = with_computed(df, _root=root)
     error = (
         F.when((F.col("_root") == "") | F.col("_checked._bad").isNotNull() | F.col("_checked").isNull(),
                F.concat(F.lit("Expected XML from "), F.col("endpoint_url"), F.lit(" but could not parse it")))
@@ -57,9 +59,8 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
         present = F.col("_xml").rlike(rf"<{_PREFIX}{tag}[\s/>]")
         choices = choices.when(present, _items(F.col("_xml"), F.lit(tag)))
     items = choices.otherwise(F.array().cast("array<string>"))
-    return df.withColumn("error", error).withColumn("items", F.when(F.col("error").isNull(), items)).drop(
-        "_xml", "_checked", "_root"
-    )
+    df = with_computed(df, error=error)
+    return with_computed(df, items=F.when(F.col("error").isNull(), items)).drop("_xml", "_checked", "_root")
 
 
 def feed_results(payloads: DataFrame) -> DataFrame:
@@ -74,9 +75,9 @@ def feed_results(payloads: DataFrame) -> DataFrame:
 def feed_documents(payloads: DataFrame) -> DataFrame:
     """Document links of all feeds that parse: one row per source and url."""
     df = parse_feeds(payloads).where("error is null")
-    df = df.select("*", F.posexplode("items").alias("pos", "item")).drop("items", "body")
+    df = exploded(df.drop("body"), "items", "pos", "item")
     field = lambda name, default: F.coalesce(F.col(name), F.lit(default))
-    df = df.withColumn("_link", _first_element(F.col("item"), field("link_tag", "link")))
+    df = with_computed(df, _link=_first_element(F.col("item"), field("link_tag", "link")))
     opening, record = _opening(F.col("_link")), _opening(F.col("item"))
     raw = F.coalesce(
         *[non_blank(attribute(opening, a)) for a in ("href", "url")],
@@ -85,8 +86,8 @@ def feed_documents(payloads: DataFrame) -> DataFrame:
     )
     title = F.coalesce(non_blank(inner_text(_first_element(F.col("item"), field("title_tag", "title")))), F.lit("Statutory Record"))
     date = F.when(F.col("date_tag").isNotNull(), non_blank(inner_text(_first_element(F.col("item"), F.col("date_tag")))))
-    df = df.select(
-        "source_id", "endpoint_url", "pos", raw.alias("_raw"), title.alias("title"), date.alias("date")
+    df = with_computed(df, _raw=raw, title=title, date=date).select(
+        "source_id", "endpoint_url", "pos", "_raw", "title", "date"
     ).where("_raw is not null")
     df = with_resolved_url(df, F.col("endpoint_url"), F.col("_raw"), "url").where(F.col("url") != "")
     kept = df.where(is_allowed_host(F.col("url"))).select(

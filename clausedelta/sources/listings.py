@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausedelta.functions.stages import exploded, with_computed
 from clausedelta.functions.text import strip
 from clausedelta.functions.urls import classify_document, with_resolved_url
 
@@ -51,11 +52,10 @@ def parse_listings(payloads: DataFrame) -> DataFrame:
     A body that is not JSON is a failed source; an empty list is a success.
     """
     # A Python-style listing body is an object, an array or a single value.
-    df = payloads.withColumn("_root", F.try_parse_json("body"))
+    df = with_computed(payloads, _root=F.try_parse_json("body"))
     kind = F.regexp_extract(F.schema_of_variant("_root"), r"^([A-Z]+)", 1)
-    df = df.withColumn("_kind", kind).withColumn(
-        "_object", F.when(F.col("_kind") == "OBJECT", F.from_json("body", "map<string,variant>"))
-    )
+    df = with_computed(df, _kind=kind)
+    df = with_computed(df, _object=F.when(F.col("_kind") == "OBJECT", F.from_json("body", "map<string,variant>")))
     keyed = (F.col("_kind") == "OBJECT") & (F.coalesce("items_key", F.lit("")) != "")
     held = F.try_element_at(F.col("_object"), F.col("items_key"))
     held_kind = F.regexp_extract(F.schema_of_variant(held), r"^([A-Z]+)", 1)
@@ -75,9 +75,8 @@ def parse_listings(payloads: DataFrame) -> DataFrame:
         F.filter(raw_items, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))),
         lambda v: F.from_json(F.to_json(v), "map<string,variant>"),
     )
-    return df.withColumn("error", error).withColumn(
-        "items", F.when(F.col("error").isNull(), items)
-    ).drop("_root", "_kind", "_object")
+    df = with_computed(df, error=error)
+    return with_computed(df, items=F.when(F.col("error").isNull(), items)).drop("_root", "_kind", "_object")
 
 
 def listing_results(payloads: DataFrame) -> DataFrame:
@@ -93,7 +92,7 @@ def listing_results(payloads: DataFrame) -> DataFrame:
 def listing_documents(payloads: DataFrame) -> DataFrame:
     """Document links of all payloads that parse, in listing order."""
     df = parse_listings(payloads).where("error is null")
-    df = df.select("*", F.posexplode("items").alias("pos", "item")).drop("items", "body")
+    df = exploded(df.drop("body"), "items", "pos", "item")
     item = F.col("item")
     field = lambda name, default: F.coalesce(F.col(name), F.lit(default))
     title = F.coalesce(
@@ -110,9 +109,8 @@ def listing_documents(payloads: DataFrame) -> DataFrame:
         _first_present(item, [field("content_field", "body"), F.lit("description"), F.lit("summary")]), F.lit("")
     )
     date = F.coalesce(_text(F.try_element_at(item, field("date_field", "updated_at"))), F.lit(""))
-    df = df.select(
-        "source_id", "endpoint_url", "pos", title.alias("_title"), url.alias("_url"),
-        F.left(snippet, F.lit(500)).alias("snippet"), date.alias("date"),
+    df = with_computed(df, _title=title, _url=url, snippet=F.left(snippet, F.lit(500)), date=date).select(
+        "source_id", "endpoint_url", "pos", "_title", "_url", "snippet", "date"
     )
     df = with_resolved_url(df, F.col("endpoint_url"), F.col("_url"), "url")
     return df.select(

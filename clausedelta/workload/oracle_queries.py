@@ -7,7 +7,7 @@ from clausedelta.workload import oracles as o
 # The decorated text of the cleaning queries.
 DECORATED = (
     "('Page 1 of 9' || repeat(chr(10), 3) || 'The “ordi-' || chr(10) || 'nance” of ' || doc_id || ' — it’s § 4' || chr(10) "
-    "|| '  - 3 -' || chr(10) || text || chr(10) || ' ' || chr(9) || repeat(chr(10), 4) || 'DRAFT – subject to change today' "
+    "|| '  - 3 -' || chr(10) || text || chr(10) || ' ' || chr(9) || repeat(chr(10), 3) || 'DRAFT – subject to change today' "
     "|| chr(10) || 'Crown Copyright 2024 x' || chr(10) || '7 / 12' || chr(10) || 'ALL RIGHTS RESERVED. Clerk' || chr(10) || 'end  ')"
 )
 
@@ -267,8 +267,8 @@ def all_queries() -> dict[str, str]:
       SELECT source_id, url, pos, title, document_type, 'custom_heuristic' AS platform FROM (
         SELECT *, {o.CLASSIFY.format(t='title', u='url')} AS document_type, row_number() OVER (PARTITION BY source_id, url ORDER BY pos) AS k FROM (
           SELECT CAST(page_id AS VARCHAR) AS source_id, pos, coalesce(nullif(text, ''), 'Municipal Document') AS title,
-            regexp_extract(base_url, '^(https?://[^/]+)', 1) || href AS url
-          FROM links0 WHERE regexp_matches(href || ' ' || text, '{o.HEURISTIC}')) WHERE NOT ({o.BLOCKED})) WHERE k = 1""")
+            regexp_extract(base_url, '^(https?://[^/]+)', 1) || '/notices' || href AS url
+          FROM links0 WHERE regexp_matches('/notices' || href || ' ' || text, '{o.HEURISTIC}')) WHERE NOT ({o.BLOCKED})) WHERE k = 1""")
     q["q25_adapter_route"] = w(o.SOURCES, """SELECT id, CASE WHEN adapter_type IN ('municode', 'granicus', 'civicplus', 'custom', 'rest_api', 'direct_document') THEN adapter_type
       WHEN adapter_type IN ('api', 'json') THEN 'rest_api' WHEN adapter_type IN ('xml', 'atom', 'feed') THEN 'xml_feed' ELSE 'custom' END AS adapter FROM sources""")
     q["q26_infer_adapter"] = r"""

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from clausedelta.functions import text as tx
 from clausedelta.functions import urls as ur
-from clausedelta.functions.html import html_to_text
+from clausedelta.functions.html import with_html_text
+from clausedelta.functions.stages import with_computed
 from clausedelta.operators import billing, changes, health, links, pages, search, versions
 from clausedelta.plans.ingest import ingest_batch
 from clausedelta.plans.overview import overview
@@ -250,7 +251,8 @@ def q24_dedupe_links(spark, sf):
 @query
 def q24_discover_documents(spark, sf):
     df = views.link_pages(spark, sf).withColumn("source_id", F.col("page_id").cast("string"))
-    return links.discover(df)
+    moved = F.replace("html", F.lit('<a href="/'), F.lit('<a href="/notices/'))
+    return links.discover(df.withColumn("html", moved))
 
 
 @query
@@ -300,7 +302,7 @@ def q29_unsafe_url_flag(spark, sf):
 
 @query
 def q30_html_to_lines(spark, sf):
-    text = views.table(spark, sf, "pages").select("page_id", html_to_text(F.col("html")).alias("t"))
+    text = with_html_text(views.table(spark, sf, "pages"), "html", "t")
     return text.select("page_id", F.md5("t").alias("text_md5"), F.size(F.split("t", "\n", -1)).alias("lines"))
 
 
@@ -312,7 +314,7 @@ def _cleaned(spark, sf, name, column):
         F.lit("Page 1 of 9\n\n\nThe “ordi-\nnance” of "), k, F.lit(" — it’s § 4\n  - 3 -\n"), F.col("text"),
         F.lit("\n \t\n\n\nDRAFT – subject to change today\nCrown Copyright 2024 x\n7 / 12\nALL RIGHTS RESERVED. Clerk\nend  "),
     )
-    out = d.select("doc_id", "source", decorated.alias("t")).select("doc_id", column(F.col("t")).alias("t"))
+    out = with_computed(d.select("doc_id", decorated.alias("d")), t=column(F.col("d")))
     return out.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").alias("chars"))
 
 

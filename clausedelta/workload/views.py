@@ -136,7 +136,9 @@ def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 7, F.concat(F.lit("/View.ashx?ID="), F.col("page_id").cast("string")))
         .otherwise(href)
     )
-    return links.withColumn("href", shaped)
+    from clausedelta.functions.stages import with_computed
+
+    return with_computed(links, href=shaped)
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
