@@ -10,11 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as white space, and those that end a line.
-SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
-)
+SPACE_CHARS = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)))
 SPACE = (
     r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -56,7 +55,7 @@ def split_lines(text: Column) -> Column:
 
 
 def normalize_unicode(text: Column) -> Column:
-    one_to_one = F.translate(text, " ’‘“”", " ''\"\"")
+    one_to_one = F.translate(text, chr(0xA0) + "‘’“”", " ''\"\"")
     return F.regexp_replace(one_to_one, "[—–]", " - ")
 
 

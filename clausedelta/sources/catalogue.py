@@ -118,7 +118,10 @@ def upsert_sources(stored: DataFrame, incoming: DataFrame, all_columns: bool = F
     row, with ``all_columns`` every provided column.
     """
     updated = ["name", "adapter_type", "link_selector"]
-    kept = ["state", "county", "is_active", "health_status", "status_detail"]
+    kept = [
+        c for c in ("state", "county", "is_active", "health_status", "status_detail")
+        if c in stored.columns and c in incoming.columns
+    ]
     if all_columns:
         updated, kept = updated + kept, []
     # The last incoming row of a base_url wins.

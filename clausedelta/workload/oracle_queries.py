@@ -6,7 +6,7 @@ from clausedelta.workload import oracles as o
 
 # The decorated text of the cleaning queries.
 DECORATED = (
-    "('Page 1 of 9' || repeat(chr(10), 3) || 'The “ordi-' || chr(10) || 'nance” of ' || doc_id || ' — it’s § 4' || chr(10) "
+    "('Page 1 of 9' || repeat(chr(10), 3) || 'The “ordi-' || chr(10) || 'nance” of ' || doc_id || ' — it’s §' || chr(160) || '4' || chr(10) "
     "|| '  - 3 -' || chr(10) || text || chr(10) || ' ' || chr(9) || repeat(chr(10), 3) || 'DRAFT – subject to change today' "
     "|| chr(10) || 'Crown Copyright 2024 x' || chr(10) || '7 / 12' || chr(10) || 'ALL RIGHTS RESERVED. Clerk' || chr(10) || 'end  ')"
 )
@@ -145,10 +145,10 @@ ingested AS (
 CODES = r"""
 issues AS (SELECT user_id, ts AS at, event_id, CAST(event_id % 1000 AS VARCHAR) AS code FROM events WHERE event_type = 'signup'),
 clicks AS (SELECT user_id, ts AS at, event_id FROM events WHERE event_type = 'click'),
-asof AS (SELECT c.*, i.code, i.at AS issued FROM clicks c ASOF LEFT JOIN issues i ON c.user_id = i.user_id AND c.at >= i.at),
+placed AS (SELECT c.*, i.code, i.at AS issued FROM clicks c ASOF LEFT JOIN issues i ON c.user_id = i.user_id AND c.at >= i.at),
 judged AS (
   SELECT *, CASE WHEN event_id % 4 = 0 OR code IS NULL THEN 'invalid_code' WHEN at > issued + INTERVAL 15 MINUTE THEN 'code_expired'
-    ELSE 'verified' END AS verdict FROM asof),
+    ELSE 'verified' END AS verdict FROM placed),
 firsts AS (SELECT user_id, min(at) AS f FROM judged WHERE verdict = 'verified' GROUP BY 1),
 outcomes AS (
   SELECT event_id, j.user_id, at, CASE WHEN c_custkey IS NULL THEN 'user_not_found'

@@ -311,7 +311,7 @@ def _cleaned(spark, sf, name, column):
     d = views.table(spark, sf, "documents")
     k = F.col("doc_id").cast("string")
     decorated = F.concat(
-        F.lit("Page 1 of 9\n\n\nThe “ordi-\nnance” of "), k, F.lit(" — it’s § 4\n  - 3 -\n"), F.col("text"),
+        F.lit("Page 1 of 9\n\n\nThe “ordi-\nnance” of "), k, F.lit(" — it’s §\u00a04\n  - 3 -\n"), F.col("text"),
         F.lit("\n \t\n\n\nDRAFT – subject to change today\nCrown Copyright 2024 x\n7 / 12\nALL RIGHTS RESERVED. Clerk\nend  "),
     )
     out = with_computed(d.select("doc_id", decorated.alias("d")), t=column(F.col("d")))
