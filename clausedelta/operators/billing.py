@@ -250,7 +250,7 @@ def trial_activation(attempts: DataFrame, issues: DataFrame, users: DataFrame) -
     df = df.withColumn("outcome", outcome)
     verified = F.col("outcome") == "verified"
     return df.select(
-        "event_id", "user_id", "at", "outcome",
+        "event_id", "user_id", F.col("at").alias("tried_at"), "outcome",
         F.when(verified, F.col("at")).alias("trial_started_at"),
         F.when(verified, F.col("at") + F.expr(f"INTERVAL {TRIAL_DAYS} DAYS")).alias("trial_ends_at"),
     )

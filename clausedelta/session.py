@@ -17,10 +17,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Spread a small scan over all cores; a scan that has enough splits stays.
+
+    A table of one row group is read by one task, which then does all the text
+    work behind it. Large tables never take the extra shuffle.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, *key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def work_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

@@ -143,16 +143,16 @@ ingested AS (
   FROM pairs LEFT JOIN counted USING (document_id, version) LEFT JOIN strategies USING (document_id, version))"""
 
 CODES = r"""
-issues AS (SELECT user_id, ts AS at, event_id, CAST(event_id % 1000 AS VARCHAR) AS code FROM events WHERE event_type = 'signup'),
-clicks AS (SELECT user_id, ts AS at, event_id FROM events WHERE event_type = 'click'),
-placed AS (SELECT c.*, i.code, i.at AS issued FROM clicks c ASOF LEFT JOIN issues i ON c.user_id = i.user_id AND c.at >= i.at),
+issues AS (SELECT user_id, ts AS tried, event_id, CAST(event_id % 1000 AS VARCHAR) AS code FROM events WHERE event_type = 'signup'),
+clicks AS (SELECT user_id, ts AS tried, event_id FROM events WHERE event_type = 'click'),
+placed AS (SELECT c.*, i.code, i.tried AS issued FROM clicks c ASOF LEFT JOIN issues i ON c.user_id = i.user_id AND c.tried >= i.tried),
 judged AS (
-  SELECT *, CASE WHEN event_id % 4 = 0 OR code IS NULL THEN 'invalid_code' WHEN at > issued + INTERVAL 15 MINUTE THEN 'code_expired'
+  SELECT *, CASE WHEN event_id % 4 = 0 OR code IS NULL THEN 'invalid_code' WHEN tried > issued + INTERVAL 15 MINUTE THEN 'code_expired'
     ELSE 'verified' END AS verdict FROM placed),
-firsts AS (SELECT user_id, min(at) AS f FROM judged WHERE verdict = 'verified' GROUP BY 1),
+firsts AS (SELECT user_id, min(tried) AS f FROM judged WHERE verdict = 'verified' GROUP BY 1),
 outcomes AS (
-  SELECT event_id, j.user_id, at, CASE WHEN c_custkey IS NULL THEN 'user_not_found'
-    WHEN c_custkey % 11 = 0 OR f < at THEN 'already_verified' ELSE verdict END AS outcome
+  SELECT event_id, j.user_id, tried, CASE WHEN c_custkey IS NULL THEN 'user_not_found'
+    WHEN c_custkey % 11 = 0 OR f < tried THEN 'already_verified' ELSE verdict END AS outcome
   FROM judged j LEFT JOIN customer ON c_custkey = j.user_id LEFT JOIN firsts USING (user_id))"""
 
 REDACT = "Full statutory text and clause delta history are locked. Start a free trial or subscribe to unlock complete access."
@@ -402,9 +402,9 @@ def all_queries() -> dict[str, str]:
     q["q83_subscriber_buckets"] = w(o.EVENTS, """SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active,
       count(*) FILTER (status IN ('past_due', 'suspended')) AS past_due, count(*) FILTER (status IN ('cancelled', 'expired')) AS cancelled FROM subs""")
     q["q84_access_status"] = w(ACCESS, "SELECT * FROM access")
-    q["q85_trial_activation"] = w(CODES, """SELECT event_id, user_id, CAST(at AS VARCHAR) AS at, outcome,
-      CASE WHEN outcome = 'verified' THEN CAST(at AS VARCHAR) END AS trial_started_at,
-      CASE WHEN outcome = 'verified' THEN CAST(at + INTERVAL 14 DAY AS VARCHAR) END AS trial_ends_at FROM outcomes""")
+    q["q85_trial_activation"] = w(CODES, """SELECT event_id, user_id, CAST(tried AS VARCHAR) AS tried_at, outcome,
+      CASE WHEN outcome = 'verified' THEN CAST(tried AS VARCHAR) END AS trial_started_at,
+      CASE WHEN outcome = 'verified' THEN CAST(tried + INTERVAL 14 DAY AS VARCHAR) END AS trial_ends_at FROM outcomes""")
     q["q86_event_log"] = w(DEDUPED, f"""SELECT delivery_id, event_id, event_type, coalesce(nullif(subscriber_name, ''), subscription_id, 'Unknown') AS display_name,
       CAST(nullif(amount0, -1) AS DOUBLE) AS amount, nullif(currency0, '') AS currency, result, error_detail, {o._ts('received_at')}
       FROM deduped ORDER BY deduped.received_at DESC, delivery_id DESC LIMIT 50""")

@@ -9,17 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausedelta.session import spread
+
 SECTION_WORDS = ("§", "Section", "Article", "Chapter", "Division", "Part")
 ADAPTER_CYCLE = (
     "municode", "granicus", "civicplus", "custom", "rest_api", "api", "json", "xml", "atom", "feed",
     "direct_document", "Unlisted",
 )
 HEALTH_CYCLE = ("operational", "dead_link", "cloudflare_blocked", "unreachable", "blocked_403", "auth_required")
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 ACCESS_AT = "2024-01-20 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def _pick(values, index: Column) -> Column:
