@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausedelta.functions.stages import with_computed
-from clausedelta.functions.text import SPACE, split_lines, strip
+from clausedelta.functions.text import LINE_BREAK, SPACE, strip
 
 # Words that open a numbered section.
 _NUMBER_TAIL = r"[A-Za-z0-9._/\-]*"
@@ -66,7 +66,8 @@ def _sections() -> Column:
 
 def with_sections(df: DataFrame, text: str, out: str = "sections") -> DataFrame:
     """Add the array of numbered sections; text before the first one is the preamble."""
-    df = with_computed(df, _lines=split_lines(strip(F.coalesce(F.col(text), F.lit("")))))
+    # A trimmed text ends in no line break, so a plain split gives its lines.
+    df = with_computed(df, _lines=F.split(strip(F.coalesce(F.col(text), F.lit(""))), LINE_BREAK, -1))
     probe = F.transform(
         F.col("_lines"),
         lambda line, i: F.struct(

@@ -21,7 +21,8 @@ SPACE = (
 INLINE_SPACE = (
     r"[\t\x1F\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 )
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+# One class first, then the second half of a CR LF pair: a quick test per character.
+LINE_BREAK = r"[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}](?:(?<=\r)\n)?"
 
 # Boilerplate lines removed from every text, in this order.
 BOILERPLATE = (
@@ -50,8 +51,10 @@ def non_blank(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text; every Unicode line end counts, a final one adds no line."""
-    body = F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+    parts = F.split(text, LINE_BREAK, -1)
+    ended = F.right(text, F.lit(1)).rlike(LINE_BREAK) | (text == "")
+    # A text that ends its last line has an empty part after it.
+    return F.when(ended, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def normalize_unicode(text: Column) -> Column:

@@ -26,8 +26,7 @@ ln1 AS (
 ver0 AS (
   SELECT doc_id, any_value(source) AS source, any_value(w) AS w,
     string_agg(CASE WHEN opener IS NULL THEN line ELSE opener || chr(10) || line END, chr(10) ORDER BY n) AS v1,
-    string_agg(CASE WHEN opener IS NULL THEN changed WHEN changed IS NULL THEN opener
-                    ELSE opener || chr(10) || changed END, chr(10) ORDER BY n) AS v2
+    string_agg(CASE WHEN opener IS NULL THEN changed ELSE opener || chr(10) || changed END, chr(10) ORDER BY n) AS v2
   FROM ln1 GROUP BY doc_id),
 ver AS (
   SELECT doc_id, source, v1,

@@ -53,14 +53,12 @@ def document_versions(documents: DataFrame, mixed: bool = True) -> DataFrame:
         )
 
     def amended(line: Column, n: Column) -> Column:
-        return (
-            F.when(n % 7 == 5, F.array().cast("array<string>"))
-            .when(n % 5 == 2, F.array(F.concat(line, F.lit(" amended"))))
-            .otherwise(F.array(line))
-        )
+        # A dropped line takes its header with it.
+        changed = F.when(n % 5 == 2, F.concat(line, F.lit(" amended"))).otherwise(line)
+        return F.when(n % 7 == 5, F.array().cast("array<string>")).otherwise(F.concat(opened(n), F.array(changed)))
 
     v1 = F.flatten(F.transform("_l", lambda line, n: F.concat(opened(n), F.array(line))))
-    v2 = F.flatten(F.transform("_l", lambda line, n: F.concat(opened(n), amended(line, n))))
+    v2 = F.flatten(F.transform("_l", lambda line, n: amended(line, n)))
     extra = F.array(
         F.concat(F.col("_w"), F.lit(" "), d.cast("string"), F.lit("-999. Added clause")), F.lit("New text")
     )
