@@ -15,19 +15,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _named(df: DataFrame, segment: Column) -> DataFrame:
-    return df.withColumn("_seg", segment)
+def _segmented(df: DataFrame, keys: list[str], segment: Column) -> DataFrame:
+    """Add the pair of key and segment as one struct column.
+
+    A struct is never null itself, so rows with a null key meet in the join
+    below by plain equality, and window and join share one partitioning.
+    """
+    return df.withColumn("_part", F.struct(*keys, segment.alias("_seg")))
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Equal join on keys and segment; null keys match null keys."""
-    right = carry
-    condition = None
-    for name in [*keys, "_seg"]:
-        right = right.withColumnRenamed(name, f"_r{name}")
-        test = F.col(name).eqNullSafe(F.col(f"_r{name}"))
-        condition = test if condition is None else condition & test
-    return rows.join(right, condition, "left").drop(*[f"_r{n}" for n in [*keys, "_seg"]])
+def _across(keys: list[str]):
+    by = [F.col(f"_part.{k}") for k in keys]
+    window = Window.partitionBy(*by) if by else Window.partitionBy()
+    return window.orderBy(F.col("_part._seg")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def segmented_last(
@@ -38,40 +38,28 @@ def segmented_last(
 
     With a non-null value and ``include_current=False`` this is ``lag``.
     """
-    df = _named(df, segment).withColumn("_val", value)
-    inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
+    df = _segmented(df, keys, segment).withColumn("_val", value)
     end = 0 if include_current else -1
-    rows = df.withColumn(
-        "_local",
-        F.last("_val", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, end)),
-    )
-    summary = df.groupBy(*keys, "_seg").agg(
-        F.expr(
-            f"max_by(_val, struct({', '.join(order)})) FILTER (WHERE _val IS NOT NULL)"
-        ).alias("_end")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    rows = df.withColumn("_local", F.last("_val", ignorenulls=True).over(inside))
+    last = f"max_by(_val, struct({', '.join(order)})) FILTER (WHERE _val IS NOT NULL)"
+    summary = df.groupBy("_part").agg(F.expr(last).alias("_end"))
+    carry = summary.select("_part", F.last("_end", ignorenulls=True).over(_across(keys)).alias("_carry"))
+    return (
+        rows.join(carry, "_part", "left").withColumn(out, F.coalesce("_local", "_carry"))
+        .drop("_part", "_val", "_local", "_carry")
     )
-    across = Window.partitionBy(*keys).orderBy("_seg") if keys else Window.orderBy("_seg")
-    carry = summary.withColumn(
-        "_carry",
-        F.last("_end", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)),
-    ).drop("_end")
-    joined = _join_carry(rows, carry, keys)
-    return joined.withColumn(out, F.coalesce("_local", "_carry")).drop("_seg", "_val", "_local", "_carry")
 
 
 def segmented_row_number(
     df: DataFrame, keys: list[str], order: list[str], segment: Column, out: str
 ) -> DataFrame:
     """``row_number`` per key in the given order, starting at 1."""
-    df = _named(df, segment)
-    inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    rows = df.withColumn("_local", F.row_number().over(inside))
-    summary = df.groupBy(*keys, "_seg").agg(F.count("*").alias("_n"))
-    across = Window.partitionBy(*keys).orderBy("_seg") if keys else Window.orderBy("_seg")
-    carry = summary.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_n")
-    joined = _join_carry(rows, carry, keys)
-    return joined.withColumn(out, (F.col("_local") + F.col("_before")).cast("int")).drop(
-        "_seg", "_local", "_before"
+    df = _segmented(df, keys, segment)
+    rows = df.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    summary = df.groupBy("_part").agg(F.count("*").alias("_n"))
+    carry = summary.select("_part", F.coalesce(F.sum("_n").over(_across(keys)), F.lit(0)).alias("_before"))
+    return (
+        rows.join(carry, "_part", "left").withColumn(out, (F.col("_local") + F.col("_before")).cast("int"))
+        .drop("_part", "_local", "_before")
     )

@@ -65,8 +65,9 @@ def snapshot_pairs(snapshots: DataFrame, values: list[str]) -> DataFrame:
         ),
         lambda p: (p["pair"] > 1),
     )
-    sent = snapshots.select("document_id", F.inline(places), role.alias("r"))
-    pairs = sent.groupBy("document_id", F.col("pair").alias("version")).agg(
+    sent = snapshots.select("document_id", F.inline(places), role.alias("r")).withColumnRenamed("pair", "version")
+    # Two rows per key leave nothing to combine before the shuffle, so it comes first.
+    pairs = sent.repartition("document_id", "version").groupBy("document_id", "version").agg(
         F.first(F.when(~F.col("is_new"), F.col("r")), ignorenulls=True).alias("old"),
         F.first(F.when(F.col("is_new"), F.col("r")), ignorenulls=True).alias("new"),
     )

@@ -97,25 +97,28 @@ def matching_all_terms(postings: DataFrame, key: str, query: str, stemmed: bool
     # One query's terms: at most the words a user typed.
     hits = postings.join(F.broadcast(terms), column)
     return (
-        hits.groupBy(key).agg(F.count_distinct(column).alias("_n"), F.max("_wanted").alias("_wanted"))
+        # A term occurs once per key in the postings, so rows are terms.
+        hits.groupBy(key).agg(F.count("*").alias("_n"), F.max("_wanted").alias("_wanted"))
         .where("_n = _wanted").select(key)
     )
 
 
-def _located(found: DataFrame, documents: DataFrame, sources: DataFrame, at: str, limit: int) -> DataFrame:
-    """Join documents, keep the newest ``limit`` rows, then look up sources.
+def _located(
+    keys: DataFrame, rows: DataFrame, documents: DataFrame, sources: DataFrame, at: str, limit: int
+) -> DataFrame:
+    """The newest ``limit`` of the found keys (id, document_id, time), with their
+    documents, sources and whole rows.
 
-    Only the key, the time and the document are sorted on; the source lookup
-    sees at most ``limit`` rows.
+    Only keys take part in the join and the top-k; texts are fetched for the
+    rows that are shown.
     """
-    docs = documents.select(
-        "document_id", F.col("title").alias("doc_title"), F.col("url").alias("doc_url"), F.col("source_id")
-    )
+    docs = documents.select("document_id", F.col("title").alias("doc_title"), F.col("url").alias("doc_url"), "source_id")
     src = sources.select(
         F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("state").alias("source_state")
     )
-    newest = found.join(docs, "document_id").orderBy(F.desc(at), "id").limit(limit)
-    return newest.join(src, "source_id", "left")
+    newest = keys.join(docs, "document_id").orderBy(F.desc(at), "id").limit(limit)
+    shown = newest.join(src, "source_id", "left")
+    return shown.join(rows.drop("document_id", at), "id")
 
 
 def search_snapshots(
@@ -123,8 +126,8 @@ def search_snapshots(
 ) -> DataFrame:
     """Newest snapshots whose text contains the query, ignoring case."""
     wanted = F.lower(F.trim(F.lit(query)))
-    found = snapshots.where(F.contains(F.lower("cleaned_text"), wanted))
-    return _located(found, documents, sources, "crawled_at", limit)
+    found = snapshots.where(F.contains(F.lower("cleaned_text"), wanted)).select("id", "document_id", "crawled_at")
+    return _located(found, snapshots, documents, sources, "crawled_at", limit)
 
 
 def diff_text(diffs: DataFrame) -> DataFrame:
@@ -140,8 +143,8 @@ def search_diffs(
 ) -> DataFrame:
     """Newest diffs whose summary or clause texts contain the query."""
     wanted = F.lower(F.trim(F.lit(query)))
-    found = diff_text(diffs).where(F.contains(F.lower("diff_text"), wanted)).drop("diff_text")
-    return _located(found, documents, sources, "generated_at", limit)
+    found = diff_text(diffs).where(F.contains(F.lower("diff_text"), wanted)).select("id", "document_id", "generated_at")
+    return _located(found, diffs, documents, sources, "generated_at", limit)
 
 
 def search_index(
@@ -150,7 +153,8 @@ def search_index(
 ) -> DataFrame:
     """Newest rows in which every query term occurs; ``rows`` has an id column."""
     ids = matching_all_terms(postings, "id", query, stemmed)
-    return _located(rows.join(ids, "id", "left_semi"), documents, sources, at, limit)
+    found = rows.select("id", "document_id", at).join(ids, "id", "left_semi")
+    return _located(found, rows, documents, sources, at, limit)
 
 
 def preview(text: Column, length: int = PREVIEW_CHARS) -> Column:
