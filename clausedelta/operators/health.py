@@ -129,7 +129,8 @@ def audit(probes: DataFrame, links: DataFrame) -> DataFrame:
     )
     df = probes.join(counts, "source_id", "left")
     http, err, n = F.col("http_status"), F.col("error_class"), F.coalesce("n", F.lit(0))
-    # (test, category, detail, recommendation); the first test that holds decides.
+    # Category, detail and recommendation per test, in the order of
+    # the tests; the first test that holds decides.
     rules = [
         (err == "SSLError", "dead_links_client",
          F.concat(F.lit("SSL Certificate Failure: "), F.left(F.coalesce("error_text", F.lit("")), F.lit(80))),

@@ -12,6 +12,7 @@ from clausedelta.operators.changes import diff_summary, score_changes
 
 DEFAULT_LIMIT = 30
 TEASER_CARDS = 2
+BROADCAST_ROWS = 10_000
 PREVIEW_CHARS = 240
 UNKNOWN_ENTITY = "Municipal Regulatory Authority"
 LOCKED_TEXT = (
@@ -118,7 +119,10 @@ def _located(
     )
     newest = keys.join(docs, "document_id").orderBy(F.desc(at), "id").limit(limit)
     shown = newest.join(src, "source_id", "left")
-    return shown.join(rows.drop("document_id", at), "id")
+    # At most ``limit`` rows of keys and titles; beyond that Spark chooses the join.
+    if limit <= BROADCAST_ROWS:
+        shown = F.broadcast(shown)
+    return rows.drop("document_id", at).join(shown, "id")
 
 
 def search_snapshots(

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausedelta.functions.segments import segmented_last, segmented_row_number
-from clausedelta.functions.text import SPACE_CHARS  # noqa: F401  (re-exported for callers)
 
 
 def content_hash(body: Column) -> Column:
