@@ -171,7 +171,8 @@ def with_resolved_url(df: DataFrame, base: Column, href: Column, out: str, norma
         fragment,
     )
     if not normalize:
-        url = F.when(h == "", b).otherwise(url)
+        # A link with a scheme of its own is taken as it stands.
+        url = F.when(h == "", b).when((own != "") & (own != bs), h).otherwise(url)
     else:
         url = F.when(h == "", "").otherwise(url)
     return with_computed(df, **{out: url}).drop("_base", "_href", "_b", "_h", "_seg", "_u")
