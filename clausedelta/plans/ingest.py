@@ -56,8 +56,13 @@ def ingest_batch(
         hashes.select("document_id").distinct(), "document_id", "left_semi"
     )
     latest = latest_snapshots(stored.select("document_id", "version", "content_hash"))
-    changed = assign_versions(detect_changes(hashes, latest), latest).select(
-        "document_id", "fetch_id", "version", "content_hash"
+    # As a written table its size is known: Spark broadcasts a short list of
+    # changed fetches and leaves the bodies unshuffled, and joins a long one by key.
+    changed = written(
+        assign_versions(detect_changes(hashes, latest), latest).select(
+            "document_id", "fetch_id", "version", "content_hash"
+        ),
+        "changed",
     )
     bodies = usable.join(changed, ["document_id", "fetch_id"])
     new = extracted(bodies, pages).select(
