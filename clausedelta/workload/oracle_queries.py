@@ -36,7 +36,6 @@ def _phrases(t: str) -> str:
 
 
 FIRST_LINE = "string_split(text, chr(10))[1]"
-STOP = None
 
 
 def _stop_list() -> str:
@@ -370,7 +369,7 @@ def all_queries() -> dict[str, str]:
       CASE WHEN length(cleaned_text) > 300 THEN left(cleaned_text, 300) || '...' ELSE cleaned_text END AS page_preview FROM snapshots""")
     q["q69_filter_by_type"] = w(DIFFS, "SELECT card_id, type, section FROM cards WHERE type = 'diff'")
     q["q70_search_totals"] = w(DIFFS, "SELECT (SELECT count(*) FROM fsnaps) AS total_snapshots, (SELECT count(*) FROM fdiffs) AS total_diffs")
-    q["q71_gate_results"] = w(DIFFS + "," + ACCESS.replace("users AS (", "users AS (", 1), f"""
+    q["q71_gate_results"] = w(DIFFS + "," + ACCESS, f"""
       SELECT card_id, type, section, CASE WHEN ok THEN "full" ELSE '{REDACT}' END AS "full", NOT ok AS is_locked FROM (
         SELECT *, row_number() OVER (ORDER BY part, ts DESC, fid, k, ord) AS place,
           (SELECT coalesce(bool_or(has_access), false) FROM access WHERE user_id = '17') AS ok FROM cards) WHERE ok OR place <= 2""")

@@ -306,7 +306,7 @@ def q30_html_to_lines(spark, sf):
     return text.select("page_id", F.md5("t").alias("text_md5"), F.size(F.split("t", "\n", -1)).alias("lines"))
 
 
-def _cleaned(spark, sf, name, column):
+def _cleaned(spark, sf, column):
     """A text function on documents decorated with what it should change."""
     d = views.table(spark, sf, "documents")
     k = F.col("doc_id").cast("string")
@@ -320,33 +320,33 @@ def _cleaned(spark, sf, name, column):
 
 @query
 def q31_normalize_unicode(spark, sf):
-    return _cleaned(spark, sf, "unicode", tx.normalize_unicode)
+    return _cleaned(spark, sf, tx.normalize_unicode)
 
 
 @query
 def q32_dehyphenate(spark, sf):
-    return _cleaned(spark, sf, "hyphen", tx.dehyphenate)
+    return _cleaned(spark, sf, tx.dehyphenate)
 
 
 @query
 def q33_strip_boilerplate(spark, sf):
-    return _cleaned(spark, sf, "boilerplate", tx.strip_boilerplate)
+    return _cleaned(spark, sf, tx.strip_boilerplate)
 
 
 @query
 def q34_strip_source_disclaimers(spark, sf):
     phrases = F.array(F.lit("the "), F.lit("la."), F.lit("de (x)"), F.concat(F.lit("of "), F.col("doc_id").cast("string")))
-    return _cleaned(spark, sf, "phrases", lambda t: tx.strip_phrases(t, phrases))
+    return _cleaned(spark, sf, lambda t: tx.strip_phrases(t, phrases))
 
 
 @query
 def q35_collapse_blank_lines(spark, sf):
-    return _cleaned(spark, sf, "blank", tx.collapse_blank_lines)
+    return _cleaned(spark, sf, tx.collapse_blank_lines)
 
 
 @query
 def q36_clean_text(spark, sf):
-    return _cleaned(spark, sf, "clean", tx.clean_text)
+    return _cleaned(spark, sf, tx.clean_text)
 
 
 @query
