@@ -238,15 +238,16 @@ def gate_results(cards: DataFrame, has_access: bool | Column) -> DataFrame:
     ``has_access`` may be a scalar subquery over the access decision. Locked
     cards carry no segments either.
     """
-    allowed = F.lit(has_access) if isinstance(has_access, bool) else has_access
-    opened = cards.where(allowed).withColumn("is_locked", F.lit(False))
-    teaser = ordered_cards(cards).limit(TEASER_CARDS).where(~allowed)
+    opened = cards.withColumn("is_locked", F.lit(False))
+    teaser = ordered_cards(cards).limit(TEASER_CARDS)
     locked = teaser.withColumns({
         "full": F.lit(LOCKED_TEXT),
         "is_locked": F.lit(True),
         "segments": F.lit(None).cast("array<struct<op:string,text:string>>"),
     })
-    return opened.unionByName(locked)
+    if isinstance(has_access, bool):
+        return opened if has_access else locked
+    return opened.where(has_access).unionByName(locked.where(~has_access))
 
 
 def diff_display(changes: DataFrame) -> DataFrame:
