@@ -30,7 +30,37 @@ def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausedelta.llm.language_profiles import held_out, identify, learn
+
+    docs = read_table(spark, sf_dir, "documents")
+    prototypes = learn(docs.where(~held_out(F.col("doc_id"))))
+    rows = identify(docs.select("doc_id", "text"), prototypes)
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clausedelta.llm.hilbert_packing import pack_documents
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, with_ids=False).drop("ids")
+
+
+def op7_sentencepiece_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clausedelta.llm.sentencepiece_backend import code_documents
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return code_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
 REGISTERED = {
+    "op7_sentencepiece_backend": op7_sentencepiece_backend,
+    "op8_hilbert_packing": op8_hilbert_packing,
+    "op10_language_profiles": op10_language_profiles,
     "op2_digest_index": op2_digest_index,
     "op9_balanced_shards": op9_balanced_shards,
 }
