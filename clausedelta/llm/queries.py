@@ -57,7 +57,14 @@ def op7_sentencepiece_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
 
 
+def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausedelta.llm.jaccard_groups import jaccard_components
+
+    return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 REGISTERED = {
+    "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op7_sentencepiece_backend": op7_sentencepiece_backend,
     "op8_hilbert_packing": op8_hilbert_packing,
     "op10_language_profiles": op10_language_profiles,
