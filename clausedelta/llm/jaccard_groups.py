@@ -6,9 +6,7 @@
    frequency and hash. A document whose prefix is all unshared has no partner. Equal sets are one class.
 3. Classes with equal size and prefix form a group. Groups that share a prefix shingle and pass the
    length and position filters are candidates.
-4. Members are verified on their exact sets. First each bucket's groups against one leader (a star, so a
-   thousand near copies are a thousand pairs), then, until no bucket holds two components, exactly the
-   pairs whose components still differ.
+4. Members are verified on their exact sets, in stars first (see bucket_links).
 
 Defined results: A-Z is lowered, words are runs of anything but ASCII white space; a text of fewer than
 five words is one shingle, null or empty text none, linked with nothing. Rows that repeat an id are one
@@ -22,16 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausedelta.llm.bucket_links import link_buckets
 from clausedelta.llm.common import parts_for, written
 from clausedelta.llm.components import merge_components
 from clausedelta.llm.segments import gather, slices, texts_of
 from clausedelta.llm.shingles import finish, shingle_sets
 
 SHARD_BYTES = 24 << 20
-STAR_ROUNDS = 3
 CELLS = "shard int, docs array<bigint>, counts array<int>, hashes binary, ranks binary"
 SETS = (
     "doc_id bigint, n_shingles bigint, unshared bigint, set_key binary, group_key binary, "
@@ -181,49 +179,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a bigint, b bigint")
 
 
-def long_enough(a: str, b: str) -> Column:
-    """Sizes na and nb leave room for the similarity."""
-    return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
-
-
-def overlap_possible(shared: Column, last_a: Column, last_b: Column, na: Column, nb: Column) -> Column:
-    """Shared prefix shingles plus all that follows the last of them reaches the overlap asked for."""
-    return (shared + F.least(na - last_a - 1, nb - last_b - 1)) * 9 >= (na + nb) * 4
-
-
-def stars(entries: DataFrame, labels: DataFrame, step: int) -> DataFrame | None:
-    """a, b: in every bucket with two components, its leader and the groups of other components.
-
-    None if no bucket has two components. The leader is drawn by a hash, anew each round.
-    """
-    now = written(entries.join(labels.select(F.col("node").alias("grp"), "comp"), "grp"), "entries")
-    leaders = written(
-        now.groupBy("token")
-        .agg(
-            F.min_by(F.struct("grp", "comp", "n", "pos"), F.xxhash64("grp", F.lit(step))).alias("lead"),
-            F.min("comp").alias("low"), F.max("comp").alias("high"),
-        )
-        .where("low <> high")
-        .select("token", "lead.*")
-        .select("token", F.col("grp").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("nb"), F.col("pos").alias("pos_b")),
-        "leaders",
-    )
-    if leaders.isEmpty():
-        return None
-    return candidates(now.select("token", F.col("grp").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("na"), F.col("pos").alias("pos_a")), leaders, F.col("comp_a") != F.col("comp_b"))
-
-
-def candidates(one: DataFrame, two: DataFrame, cond: Column) -> DataFrame:
-    """Pairs of groups that share prefix shingles and pass the filters."""
-    met = one.join(two, "token").where(cond & long_enough("na", "nb"))
-    same = met.groupBy("a", "comp_a", "b", "comp_b", "na", "nb").agg(
-        F.count("*").alias("shared"), F.max("pos_a").alias("last_a"), F.max("pos_b").alias("last_b")
-    )
-    return same.where(
-        overlap_possible(*(F.col(c) for c in ("shared", "last_a", "last_b", "na", "nb")))
-    ).select("a", "comp_a", "b", "comp_b")
-
-
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), class_id (smallest id with the same set)."""
     sets = shingle_table(docs)
@@ -243,28 +198,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     inside = members.where("class_id <> grp").select(F.col("grp").alias("a"), F.col("class_id").alias("b"))
     labels = merge_components(labels, written(verified(inside, live), "links"))
-    for step in range(STAR_ROUNDS):
-        pairs = stars(entries, labels, step)
-        if pairs is None:
-            break
-        labels = merge_components(labels, written(verified(pairs.select("a", "b"), live), "links"))
-
-    # What is left, exactly: members of candidate groups whose components differ.
-    member_comps = members.join(labels.select(F.col("node").alias("class_id"), "comp"), "class_id")
-    member_comps = written(member_comps, "member-comps")
-    parts = member_comps.select("grp", "comp").distinct()
-    split = entries.join(parts, "grp")
-    mixed = split.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    open_entries = written(split.join(mixed.select("token"), "token", "left_semi"), "open-entries")
-    one, two = (
-        open_entries.select("token", F.col("grp").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"pos_{x}"))
-        for x in "ab"
-    )
-    rest = candidates(one, two, F.col("comp_a") < F.col("comp_b"))
-    side = [member_comps.select(F.col("grp").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("class_id").alias(f"m{x}")) for x in "ab"]
-    rest = rest.join(side[0], ["a", "comp_a"]).join(side[1], ["b", "comp_b"])
-    last = verified(rest.select(F.col("ma").alias("a"), F.col("mb").alias("b")), live)
-    labels = merge_components(labels, written(last, "links"))
+    nodes = members.select("grp", F.col("class_id").alias("node"))
+    labels = link_buckets(entries, nodes, labels, lambda pairs: verified(pairs, live))
 
     known = live.select("doc_id", "set_key").join(classes.select("set_key", "class_id"), "set_key").select("doc_id", "class_id")
     placed = written(known.join(labels.select(F.col("node").alias("class_id"), "comp"), "class_id"), "placed")

@@ -63,7 +63,14 @@ def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausedelta.llm.paragraph_minhash import repeated_passages
+
+    return repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 REGISTERED = {
+    "op4_paragraph_minhash": op4_paragraph_minhash,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op7_sentencepiece_backend": op7_sentencepiece_backend,
     "op8_hilbert_packing": op8_hilbert_packing,
