@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausedelta.llm.common import read_table
+from clausedelta.llm.common import read_table, written
 
 
 def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,16 @@ def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausedelta.llm.vantage_trees import build_index, search, usable
+
+
+    rows = written(usable(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
+    return search(build_index(rows), rows.where("vec_id % 20 = 0"), k=20, factor=5.0)
+
+
 REGISTERED = {
+    "op6_vantage_trees": op6_vantage_trees,
     "op4_paragraph_minhash": op4_paragraph_minhash,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op7_sentencepiece_backend": op7_sentencepiece_backend,
