@@ -77,7 +77,18 @@ def op6_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(rows), rows.where("vec_id % 20 = 0"), k=20, factor=5.0)
 
 
+def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausedelta.llm.language_profiles import held_out
+    from clausedelta.llm.ngram_trie import score_held_out
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = held_out(F.col("doc_id"), parts=5)
+    rows = score_held_out(docs, kept)
+    return rows.select("doc_id", kept.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 REGISTERED = {
+    "op1_ngram_trie": op1_ngram_trie,
     "op6_vantage_trees": op6_vantage_trees,
     "op4_paragraph_minhash": op4_paragraph_minhash,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
