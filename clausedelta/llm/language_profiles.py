@@ -10,7 +10,7 @@ languages x DIM numbers and the only thing sent to the tasks; the number of lang
 
 Defined results: text that is null or has no letter gives `und` with score 0, and so does every text if
 nothing could be learned; a cosine below 0 counts as 0; equal cosines go to the first language by name.
-Other columns pass through; a column named like an output is replaced. Repeated rows give equal rows.
+Other columns pass through; a column named like one of `out` is replaced. Repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -140,12 +140,14 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text") -> dict[str,
     return {r["label"]: np.array(r["vector"], dtype=np.float64) for r in sorted(found, key=lambda r: r["label"])}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (cosine, 0 to 1)."""
+def identify(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Adds the language and the cosine, 0 to 1."""
     names = list(prototypes)
     table = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-300) for n in names])
-    rest = docs.drop("lang_pred", "score")
-    schema = StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    rest = docs.drop(*out)
+    schema = StructType([*rest.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +164,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                     best.append(names[i])
                     scores.append(min(max(float(near[i]), 0.0), 1.0))
                 columns = [*part.columns, pa.array(best, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *out])
 
     return rest.mapInArrow(judge, schema)
 

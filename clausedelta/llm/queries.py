@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from clausedelta.llm.common import read_table, written
 
 
+# Of the registered queries alone; a user brings a secret of their own.
+SURROGATE_KEY = b"registered queries"
+
+
 def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausedelta.llm.digest_index import DigestIndex, index_buckets
 
@@ -87,7 +91,15 @@ def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", kept.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausedelta.llm.surrogates import surrogate_documents
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogate_documents(docs, SURROGATE_KEY).withColumn("n_entities", F.size("entities").cast("long"))
+
+
 REGISTERED = {
+    "op3_surrogates": op3_surrogates,
     "op1_ngram_trie": op1_ngram_trie,
     "op6_vantage_trees": op6_vantage_trees,
     "op4_paragraph_minhash": op4_paragraph_minhash,
