@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausedelta.llm.common import written
-from clausedelta.llm.segments import SegmentEncoder, slices, texts_of
+from clausedelta.llm.segments import SegmentEncoder, cut_bytes, slices, texts_of
 
 HASHED, PROJECTED, BITS = 64, 4, 12
 END_ID = 2
@@ -93,8 +94,11 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hilbert_keys(np.clip((np.tanh(flat) + 1) / 2 * side, 0, side - 1).astype(np.int64), BITS)
 
 
+@cache
 def word_encoder(path: str) -> SegmentEncoder:
-    """Distinct words in long texts of them, a separator between: one call each would cost more than its work.
+    """One per Python worker, so that what a task has encoded serves the next one.
+
+    Distinct words go in long texts of them, a separator between: one call each would cost more than its work.
 
     The separator is one id that no word without it can have; words that hold it are encoded alone.
     """
@@ -103,24 +107,25 @@ def word_encoder(path: str) -> SegmentEncoder:
 
     model = Tokenizer.from_file(path)
 
-    def encode(words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in model.encode_batch_fast(words, add_special_tokens=False)]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     (mark,) = encode([SEPARATOR])[0]
 
-    def encode_joined(words: list[str]) -> list[np.ndarray]:
+    def encode_joined(words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
         plain = [i for i, w in enumerate(words) if SEPARATOR not in w]
-        for at in range(0, len(plain), JOINED_WORDS):
-            part = plain[at : at + JOINED_WORDS]
-            ids = encode([f" {SEPARATOR} ".join(words[i] for i in part)])[0]
-            cut = np.flatnonzero(ids == mark)
-            rows = [x[1:] if k else x for k, x in enumerate(np.split(ids, cut))]
+        alone = [i for i, w in enumerate(words) if SEPARATOR in w]
+        parts = [plain[at : at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS)]
+        for part in parts:
+            ids = np.array(encode([f" {SEPARATOR} ".join([words[i] for i in part])])[0], dtype=np.uint32)
+            between = ids == mark
+            bounds = np.flatnonzero(between) - np.arange(between.sum())
+            rows = cut_bytes(ids[~between], np.concatenate([[0], bounds, [len(ids) - len(bounds)]]))
             for i, row in zip(part, rows, strict=True):
                 out[i] = row
-        alone = [i for i, w in enumerate(words) if SEPARATOR in w]
         for i, row in zip(alone, encode([words[i] for i in alone]), strict=True):
-            out[i] = row
+            out[i] = np.array(row, dtype="<u4").tobytes()
         return out
 
     return SegmentEncoder(encode_joined)
@@ -144,10 +149,8 @@ def code_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 ids, counts = encoder(texts_of(part, "text"), word_split)
                 keys = curve_keys(ids, counts)
                 ends = np.cumsum(counts)
-                whole = np.insert(ids, ends, END_ID).astype("<u4")
-                bounds = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * 4])
-                raw = memoryview(whole.tobytes())
-                cells = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                whole = np.insert(ids, ends, END_ID)
+                cells = cut_bytes(whole, np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(keys), pa.array(cells, type=pa.binary())],
                     ["doc_id", "curve_key", "ids"],

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20
-CACHE_SEGMENTS = 400_000
+SLICE_BYTES = 12 << 20
+CACHE_SEGMENTS = 700_000
 
 
 def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -21,10 +21,13 @@ def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Ite
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
-    return pc.fill_null(batch.column(text_col).cast(pa.large_string()), "")
+    """The texts, null as empty, copied out of the batch: Arrow's ascii_lower misreads offsets that don't start at 0."""
+    texts = batch.column(text_col).take(pa.array(np.arange(batch.num_rows)))
+    return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
 def gather(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -46,25 +49,35 @@ def words_by_row(texts: pa.Array, split: Callable[[pa.Array], pa.Array]) -> tupl
 
 
 class SegmentEncoder:
-    """`encode` maps a list of segments to their ids; what it gave is kept, up to CACHE_SEGMENTS of them."""
+    """`encode` maps a list of segments to their ids, as bytes of unsigned 32 bits each.
 
-    def __init__(self, encode: Callable[[list[str]], list]) -> None:
+    What it gave is kept; beyond CACHE_SEGMENTS of them, only that of the last texts.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
         self.encode, self.seen = encode, {}
 
     def __call__(self, texts: pa.Array, split: Callable[[pa.Array], pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after the other, and how many each text has."""
         rows, index, distinct = words_by_row(texts, split)
         words = distinct.to_pylist()
-        if len(self.seen) > CACHE_SEGMENTS:
-            self.seen = {}
-        new = [w for w in words if w not in self.seen]
-        self.seen.update(zip(new, (np.asarray(x, dtype=np.uint32) for x in self.encode(new)), strict=True))
-        found = [self.seen[w] for w in words]
-        lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        table = np.concatenate([np.empty(0, np.uint32), *found])
+        seen = self.seen
+        new = [w for w in words if w not in seen]
+        seen.update(zip(new, self.encode(new), strict=True))
+        found = [seen[w] for w in words]
+        if len(seen) > CACHE_SEGMENTS:
+            self.seen = dict(zip(words, found, strict=True))
+        lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        table = np.frombuffer(b"".join(found), dtype="<u4")
         starts = np.cumsum(lens) - lens
         each = lens[index]
         ids = table[gather(starts[index], each)]
         upto = np.concatenate([[0], np.cumsum(each)])
         ends = upto[np.cumsum(rows)]
         return ids, np.diff(ends, prepend=0)
+
+
+def cut_bytes(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The ids between bounds as bytes of unsigned 32 bits each."""
+    raw, places = ids.astype("<u4").tobytes(), (bounds * 4).tolist()
+    return [raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]

@@ -6,7 +6,8 @@ their scores imply. Batches are encoded in threads, one per core of the task. Pa
 sentencepiece library is verified, row by row where asked for.
 
 Defined results: null and empty texts have no ids and decode to an empty text; no control piece is
-ever recognised in a text. Extra columns are not read; repeated rows give equal rows.
+ever recognised in a text. A unigram model with byte fallback takes a byte piece's name, such as <0x41>,
+spelled out in a text for that piece, unlike sentencepiece; parity is false for such a row. Extra columns are not read; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +107,11 @@ def build_tokenizer(model: Model):
     unknown = next((i for i, x in enumerate(model.pieces) if x[2] == UNKNOWN), 0)
     if model.kind == UNIGRAM:
         lowest = min((s for _, s, kind in model.pieces if kind == NORMAL), default=0.0)
-        closed = [(p, s if kind in (NORMAL, USER) else lowest - 1e4) for p, s, kind in model.pieces]
+        # Control and unused pieces get a space, which no escaped text holds; byte pieces need their names.
+        closed = [
+            (p, s) if kind in (NORMAL, USER) else (p, lowest) if kind == BYTE else (" " + p, lowest)
+            for p, s, kind in model.pieces
+        ]
         core = models.Unigram(closed, unk_id=unknown, byte_fallback=model.byte_fallback)
     elif model.kind == BPE:
         core = models.BPE(
@@ -145,7 +151,7 @@ class Codec:
         self.model = parse_model(raw)
         self.tokenizer, self.threads, self.differ = build_tokenizer(self.model), threads, 0
         self.other = reference_processor(raw) if parity else None
-        self.words = SegmentEncoder(self.encode_batch)
+        self.words = SegmentEncoder(lambda words: [np.array(x, dtype="<u4").tobytes() for x in self.encode_batch(words)])
         plain = not self.model.charsmap and not self.model.trim_spaces and self.model.escape
         self.by_word = plain and self.model.dummy_prefix and splits_at_marks(self.model)
 
@@ -184,6 +190,13 @@ class Codec:
         return self.tokenizer.decode_batch(rows, skip_special_tokens=False)
 
 
+@cache
+def worker_codec(model_path: str, threads: int, parity: bool) -> Codec:
+    """One per Python worker, so that what a task has encoded serves the next one."""
+    with open(model_path, "rb") as file:
+        return Codec(file.read(), threads, parity)
+
+
 def code_documents(docs: DataFrame, model_path: str, parity: bool = True, with_ids: bool = True) -> DataFrame:
     """ENCODED: ids and their checksum, that of the decoded text, whether it is the text again, and
     whether sentencepiece gives the same ids (null if not asked for).
@@ -195,9 +208,7 @@ def code_documents(docs: DataFrame, model_path: str, parity: bool = True, with_i
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        raw = open(model_path, "rb").read()
-        threads = int(TaskContext.get().cpus())
-        codec = Codec(raw, threads, parity)
+        codec = worker_codec(model_path, int(TaskContext.get().cpus()), parity)
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 texts = texts_of(part, "text")
