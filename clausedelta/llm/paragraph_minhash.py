@@ -64,11 +64,16 @@ def digests(words: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int)
 
 
 def band_values(words: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bands of each run of at least five words, and its number of shingles."""
+    """Bands of each run of at least five words, and its number of distinct shingles."""
     values, counts = window_hashes(lens, words[gather(starts, lens)])
     if not len(starts):
         return np.empty((0, BANDS), np.uint64), counts
     first = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(starts)), counts)
+    keyed = finish(values + owner.astype(np.uint64) * GOLDEN)
+    order = np.argsort(keyed)
+    fresh = np.concatenate([[True], keyed[order][1:] != keyed[order][:-1]])
+    counts = np.bincount(owner[order[fresh]], minlength=len(starts))
     bands = []
     for band in range(BANDS):
         state = np.full(len(starts), band, dtype=np.uint64)
