@@ -1,12 +1,13 @@
 """HTML columns by regular expression.
 
-Works on well-formed tags and does not repair broken markup. Elements are
-matched to their first closing tag of the same name.
+Works on well-formed tags and does not repair broken markup. Comments and
+scripts go first, quoted attribute values may hold ``>``, and a container ends
+at its own closing tag: elements of its name inside it are counted.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,33 +19,58 @@ from clausedelta.functions.text import strip
 NON_CONTENT_TAGS = ("script", "style", "nav", "footer", "header", "noscript", "svg", "form", "aside", "iframe")
 
 
+# The inside of a tag up to its end; a quoted value may hold ">". Possessive, so that it never backtracks.
+IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# What a browser reads for the numbers 128 to 159: the Windows code page, where it has a character.
+C1_TEXT = "".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))
+# Names that the standard also allows without their semicolon.
+BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 def _entity_map() -> Column:
     """Names and characters as two split literals, folded to one map constant."""
-    pairs = [("apos", "'"), *((n, chr(c)) for n, c in name2codepoint.items())]
+    pairs = [(n.rstrip(";"), c) for n, c in html5.items() if n.endswith(";")]
     return F.map_from_arrays(
         F.split(F.lit(" ".join(n for n, _ in pairs)), " "),
         F.split(F.lit("\x01".join(c for _, c in pairs)), "\x01"),
     )
 
 
+def _numbered(part: Column) -> Column:
+    """Character of a numeric reference at the start of the text, null without one.
+
+    Numbers that are no character (0, surrogates, beyond the last code point)
+    give the replacement character.
+    """
+    digits = F.regexp_extract(part, r"^#([xX][0-9A-Fa-f]+|[0-9]+);?", 1)
+    plain = F.regexp_replace(digits, r"^[xX]?0*", "")
+    hexed = F.startswith(F.lower(digits), F.lit("x"))
+    size = F.length(plain)
+    code = F.when(hexed & (size <= 6), F.conv(plain, 16, 10)).when(~hexed & (size <= 7), F.conv(plain, 10, 10)).cast("int")
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    safe = F.when(good, code).otherwise(0xFFFD)
+    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return (
+        F.when(digits == "", F.lit(None))
+        .when(code.between(128, 159), F.substr(F.lit(C1_TEXT), code - 127, F.lit(1)))
+        .otherwise(char)
+    )
+
+
 def unescape(text: Column) -> Column:
     """Replace named and numeric character references in one pass."""
     table = _entity_map()
 
     def one(part: Column, i: Column) -> Column:
-        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        number = F.coalesce(
-            F.conv(F.nullif(F.regexp_extract(part, r"^#[xX]([0-9A-Fa-f]{1,6});", 1), F.lit("")), 16, 16),
-            F.conv(F.nullif(F.regexp_extract(part, r"^#([0-9]{1,7});", 1), F.lit("")), 10, 16),
-        )
-        char = F.coalesce(
-            F.try_element_at(table, name), F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
-        )
-        rest = F.regexp_replace(part, r"^[#A-Za-z0-9]+;", "")
+        closed = F.try_element_at(table, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1))
+        bare = F.regexp_extract(part, rf"^({BARE_NAMES})", 1)
+        number = _numbered(part)
         return (
             F.when(i == 0, part)
-            .when(char.isNull(), F.concat(F.lit("&"), part))
-            .otherwise(F.concat(char, rest))
+            .when(closed.isNotNull(), F.concat(closed, F.regexp_replace(part, r"^[A-Za-z0-9]+;", "")))
+            .when(number.isNotNull(), F.concat(number, F.regexp_replace(part, r"^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", "")))
+            .when(bare != "", F.concat(F.try_element_at(table, bare), F.substr(part, F.length(bare) + 1)))
+            .otherwise(F.concat(F.lit("&"), part))
         )
 
     decoded = F.array_join(F.transform(F.split(text, "&", -1), one), "")
@@ -55,22 +81,22 @@ def drop_elements(html: Column, tags=NON_CONTENT_TAGS) -> Column:
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     names = "|".join(tags)
     # Content up to the closing tag of the same name; a back reference pairs them.
-    html = F.regexp_replace(html, rf"(?is)<({names})\b[^>]*(?<!/)>.*?</\1\s*>", "")
-    return F.regexp_replace(html, rf"(?is)<(?:{names})\b[^>]*/>", "")
+    html = F.regexp_replace(html, rf"(?is)<({names})\b{IN_TAG}(?<!/)>.*?</\1\s*>", "")
+    return F.regexp_replace(html, rf"(?is)<(?:{names})\b{IN_TAG}(?<=/)>", "")
 
 
 def element(html: Column, tag: str) -> Column:
     """Inner HTML of the first such element, null when there is none."""
-    whole = F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", 0), F.lit(""))
-    return F.regexp_replace(whole, rf"(?is)^<[^>]*>|</{tag}\s*>$", "")
+    return element_with(html, "", tag)
 
 
-def element_with(html: Column, attribute_pattern: str) -> Column:
-    """Inner HTML of the first element whose opening tag matches.
+def element_with(html: Column, attribute_pattern: str, name: str = "[A-Za-z][A-Za-z0-9]*") -> Column:
+    """Inner HTML of the first element whose opening tag matches, to the end if it is never closed.
 
     Same-name elements inside it are counted, so the right closing tag ends it.
     """
-    opening = rf"<([A-Za-z][A-Za-z0-9]*)\b[^>]*?{attribute_pattern}[^>]*>"
+    within = rf"(?=[^>]*?{attribute_pattern})" if attribute_pattern else ""
+    opening = rf"<({name})\b{within}{IN_TAG}>"
     whole = F.regexp_extract(html, rf"(?is){opening}(.*)$", 2)
     tag = F.lower(F.regexp_extract(html, rf"(?is){opening}", 1))
     pieces = F.split(whole, "<", -1)
@@ -105,7 +131,7 @@ def select_first(html: Column, selector: str) -> Column:
 
 def text_nodes(html: Column) -> Column:
     """Trimmed non-blank text nodes in order."""
-    nodes = F.transform(F.split(html, r"<[^>]*>", -1), lambda t: strip(unescape(t)))
+    nodes = F.transform(F.split(html, rf"<(?:[A-Za-z/!?]{IN_TAG}|[^>]*)>", -1), lambda t: strip(unescape(t)))
     return F.filter(nodes, lambda t: t != "")
 
 

@@ -24,13 +24,22 @@ EVENT_STATUS = {
 TRIAL_DAYS = 14
 CODE_MINUTES = 15
 GRACE_SECONDS = 172_800
-PAYLOAD_CHARS = 20_000
 
 
-def normalize_events(raw: DataFrame, strict_reference: bool = False) -> DataFrame:
+def utc_time(text: Column) -> Column:
+    """Time of an ISO text in UTC, whatever the session's zone; a text without a zone is in UTC."""
+    day = F.when(text.rlike(r"^\s*\d{4}-\d\d-\d\d\s*$"), F.concat(F.trim(text), F.lit("T00:00:00"))).otherwise(F.trim(text))
+    zoned = F.when(day.rlike(r"(?:[zZ]|[+-]\d\d:?\d\d|[A-Z]{3})$"), day).otherwise(F.concat(day, F.lit("Z")))
+    micros = F.unix_micros(F.try_to_timestamp(zoned))
+    seconds = (micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def normalize_events(raw: DataFrame, own_id_first: bool = False) -> DataFrame:
     """Typed columns of payment events; row-wise, so also for streams.
 
-    A sale carries its own id; unless ``strict_reference`` is set, the
+    A sale carries its own id; unless ``own_id_first`` is set, the
     agreement it belongs to is its subscription.
     """
     df = with_computed(raw, _p=F.from_json("payload", schemas.PAYMENT_PAYLOAD))
@@ -38,7 +47,7 @@ def normalize_events(raw: DataFrame, strict_reference: bool = False) -> DataFram
     table = F.create_map(*[F.lit(x) for pair in EVENT_STATUS.items() for x in pair])
     own, agreement = non_blank(res["id"]), non_blank(res["billing_agreement_id"])
     subscription = F.coalesce(own, agreement)
-    if not strict_reference:
+    if not own_id_first:
         subscription = F.when(F.startswith(kind, F.lit("PAYMENT.SALE")), F.coalesce(agreement, own)).otherwise(subscription)
     person = res["subscriber"]["name"]
     name = F.trim(F.concat_ws(" ", non_blank(person["given_name"]), non_blank(person["surname"])))
@@ -51,7 +60,7 @@ def normalize_events(raw: DataFrame, strict_reference: bool = False) -> DataFram
         subscription.alias("subscription_id"),
         res["subscriber"]["email_address"].alias("email"),
         F.coalesce(non_blank(name), non_blank(res["subscriber"]["business_name"])).alias("subscriber_name"),
-        F.try_to_timestamp(res["billing_info"]["next_billing_time"]).cast("timestamp_ntz").alias("next_billing_at"),
+        utc_time(res["billing_info"]["next_billing_time"]).alias("next_billing_at"),
         res["plan_id"].alias("plan_id"),
         F.coalesce(non_blank(amount["total"]), non_blank(amount["value"])).try_cast("decimal(12,2)").alias("amount"),
         F.coalesce(non_blank(amount["currency"]), non_blank(amount["currency_code"])).alias("currency"),
@@ -75,9 +84,9 @@ def dedupe_events(events: DataFrame) -> DataFrame:
     return folded.select("d.*", "r.*", "deliveries")
 
 
-def stored_payload(payload: Column) -> Column:
-    """Payload cut to its stored length; text that no longer parses reads as {}."""
-    cut = F.left(payload, F.lit(PAYLOAD_CHARS))
+def stored_payload(payload: Column, most: int | None = None) -> Column:
+    """Payload as it is stored, cut to ``most`` characters if asked for; text that does not parse reads as {}."""
+    cut = payload if most is None else F.left(payload, F.lit(most))
     return F.when(F.try_parse_json(cut).isNotNull(), cut).otherwise("{}")
 
 
@@ -180,15 +189,19 @@ def access_status(requests: DataFrame, users: DataFrame, subscriptions: DataFram
     # A user can be named by email or by id; the email is tried first.
     known = users.select(F.lower(F.trim("email")).alias("_email"), F.struct(*users.columns).alias("user"))
     names = known.select(F.explode(F.array(
-        F.struct(F.col("_email").alias("ref"), F.lit(0).alias("rank"), "user"),
-        F.struct(F.col("user.id").cast("string").alias("ref"), F.lit(1).alias("rank"), "user"),
+        F.struct(F.concat(F.lit("e"), "_email").alias("ref"), "user"),
+        F.struct(F.concat(F.lit("i"), F.col("user.id").cast("string")).alias("ref"), "user"),
     )).alias("n")).select("n.*")
-    one_name = names.groupBy("ref").agg(F.min_by("user", "rank").alias("user"))
-    wanted = requests.select("user_ref").withColumn("ref", F.lower(F.trim("user_ref")))
-    df = wanted.join(one_name, "ref", "left").withColumn("_email", F.lower(F.trim("user.email"))).join(best, "_email", "left")
-    ends = F.try_to_timestamp("user.trial_ends_at").cast("timestamp_ntz")
-    seconds = lambda later, earlier: F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    late = F.coalesce(seconds(now, F.col("sub.next_billing_at")) > GRACE_SECONDS * 1_000_000, F.lit(False))
+    one_name = names.where("ref is not null").groupBy("ref").agg(F.min_by("user", F.col("user.id").cast("string")).alias("user"))
+    by_email, by_id = (one_name.select(F.col("ref").alias(f"_{x}"), F.col("user").alias(f"_by_{x}")) for x in "ei")
+    wanted = requests.select("user_ref").withColumns({
+        "_e": F.concat(F.lit("e"), F.lower(F.trim("user_ref"))), "_i": F.concat(F.lit("i"), F.trim("user_ref")),
+    })
+    found = wanted.join(by_email, "_e", "left").join(by_id, "_i", "left").withColumn("user", F.coalesce("_by_e", "_by_i"))
+    df = found.withColumn("_email", F.lower(F.trim("user.email"))).join(best, "_email", "left")
+    ends = utc_time(F.col("user.trial_ends_at"))
+    grace = F.expr(f"INTERVAL '{GRACE_SECONDS}' SECOND")
+    late = F.coalesce(now > F.col("sub.next_billing_at") + grace, F.lit(False))
     reason = (
         F.when(F.coalesce("user_ref", F.lit("")) == "", "unauthenticated")
         .when(F.col("user").isNull(), "user_not_found")
@@ -199,7 +212,8 @@ def access_status(requests: DataFrame, users: DataFrame, subscriptions: DataFram
         .otherwise("trial_expired")
     )
     df = df.withColumn("reason", reason)
-    days = F.ceil(seconds(ends, now) / 86_400_000_000)
+    whole = F.datediff(ends, now)  # of calendar days; a later hour on the last day is another day begun
+    days = whole + F.when(ends > now + F.make_dt_interval(whole), 1).otherwise(0)
     paid = F.col("reason") == "active_subscription"
     return df.select(
         "user_ref", F.col("user.id").alias("user_id"), "reason",
@@ -256,10 +270,12 @@ def trial_activation(attempts: DataFrame, issues: DataFrame, users: DataFrame) -
     )
 
 
-def event_log(events: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest deliveries with a display name."""
-    limit = max(1, min(200, limit))
-    return events.orderBy(F.desc("received_at"), F.desc("delivery_id")).limit(limit).select(
+def event_log(events: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The newest deliveries with a display name; all of them without a limit."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be 1 or more, or None for all")
+    newest = events.orderBy(F.desc("received_at"), F.desc("delivery_id"))
+    return (newest if limit is None else newest.limit(limit)).select(
         "delivery_id", "event_id", "event_type",
         F.coalesce(non_blank(F.col("subscriber_name")), non_blank(F.col("subscription_id")), F.lit("Unknown")).alias("display_name"),
         "amount", "currency", "result", "error_detail", "received_at",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.functions.html import attribute, inner_text
+from clausedelta.functions.html import IN_TAG, attribute, inner_text
 from clausedelta.functions.stages import exploded, with_computed
 from clausedelta.functions.text import non_blank
 from clausedelta.functions.urls import (
@@ -18,7 +18,9 @@ from clausedelta.functions.urls import (
     with_resolved_url,
 )
 
-_ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
+_ANCHOR = rf"(?is)<a\b{IN_TAG}>.*?</a\s*>"
+# What holds markup that is no part of the page.
+_UNSEEN = rf"(?is)<!--.*?-->|<(script|style|template|noscript)\b{IN_TAG}>.*?</\1\s*>"
 
 # Per adapter the links taken when a source sets no selector,
 # the title of a link without text, and the platform name in the metadata.
@@ -44,9 +46,10 @@ PLATFORMS = {
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per ``<a>`` element, in page order; other columns stay."""
+    pages = with_computed(pages, **{html: F.regexp_replace(html, _UNSEEN, "")})
     anchors = F.regexp_extract_all(F.col(html), F.lit(_ANCHOR), F.lit(0))
     df = exploded(with_computed(pages, _anchors=anchors), "_anchors", "pos", "anchor")
-    tag = F.regexp_extract("anchor", r"^<[^>]*>", 0)
+    tag = F.regexp_extract("anchor", rf"^<{IN_TAG}>", 0)
     return with_computed(
         df,
         href=attribute(tag, "href"),

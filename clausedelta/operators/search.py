@@ -12,12 +12,11 @@ from clausedelta.operators.changes import diff_summary, score_changes
 
 DEFAULT_LIMIT = 30
 TEASER_CARDS = 2
-BROADCAST_ROWS = 10_000
 PREVIEW_CHARS = 240
 UNKNOWN_ENTITY = "Municipal Regulatory Authority"
 LOCKED_TEXT = (
-    "Full statutory text and clause delta history are locked. "
-    "Start a free trial or subscribe to unlock complete access."
+    "The text and its changes are shown to readers with access. "
+    "A trial or a subscription opens them."
 )
 
 # English words too common to index.
@@ -119,9 +118,6 @@ def _located(
     )
     newest = keys.join(docs, "document_id").orderBy(F.desc(at), "id").limit(limit)
     shown = newest.join(src, "source_id", "left")
-    # At most ``limit`` rows of keys and titles; beyond that Spark chooses the join.
-    if limit <= BROADCAST_ROWS:
-        shown = F.broadcast(shown)
     return rows.drop("document_id", at).join(shown, "id")
 
 

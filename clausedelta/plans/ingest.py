@@ -22,11 +22,22 @@ SNAPSHOTS = (
 )
 
 
+NO_PAGES = "no page texts"
+
+
+def without_pages(fetches: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Paged fetches whose page texts are not there (yet); a later batch takes them when they are."""
+    paged = fetches.where(ingest_route(F.col("url")) == "pdf")
+    if pages is None:
+        return paged
+    return paged.join(pages.select("document_id", "fetch_id").distinct(), ["document_id", "fetch_id"], "left_anti")
+
+
 def extracted(fetches: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Add raw_text and cleaned_text: HTML bodies here, paged ones from ``pages``
     (document_id, fetch_id, page_no, page_text)."""
     routed = fetches.withColumn("_route", ingest_route(F.col("url")))
-    as_html = routed.where("_route = 'html'" if pages is not None else "true")
+    as_html = routed.where("_route = 'html'")
     as_html = with_computed(with_html_text(as_html, "body", "raw_text"), cleaned_text=clean_text(F.col("raw_text")))
     if pages is None:
         return as_html.drop("_route")
@@ -44,13 +55,20 @@ def ingest_batch(
 ) -> None:
     """Write the batch's snapshots, diffs and rejects below ``store``.
 
+    Every fetch ends as a snapshot, as unchanged, or in rejects with a reason:
+    no body, an empty one, or a paged document without its page texts.
+
     Order of work: hash; keep what changed against the stored state; only then
     extract, clean and compare. Hashes are a small table written once, and the
     new snapshots are written before they are paired, so nothing is computed
     twice and a lost executor costs its own tasks.
     """
     usable = accepted(fetches)
-    append_batch(rejected(fetches), f"{store}/rejects", batch_id)
+    lacking = written(without_pages(usable, pages).select("document_id", "fetch_id"), "lacking")
+    kept_aside = fetches.join(lacking, ["document_id", "fetch_id"], "left_semi").drop("body")
+    rejects = rejected(fetches).unionByName(kept_aside.withColumn("reason", F.lit(NO_PAGES)))
+    append_batch(rejects, f"{store}/rejects", batch_id)
+    usable = usable.join(lacking, ["document_id", "fetch_id"], "left_anti")
     hashes = written(hashed(usable), "hashes")
     stored = read_batches(spark, f"{store}/snapshots", SNAPSHOTS, before=batch_id).join(
         hashes.select("document_id").distinct(), "document_id", "left_semi"

@@ -22,27 +22,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Spread a small scan over all cores; a scan that has enough splits stays.
-
-    A table of one row group is read by one task, which then does all the text
-    work behind it. Large tables never take the extra shuffle.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, *key) if df.rdd.getNumPartitions() < wanted else df
-
-
 def work_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when nothing is
-    named (local tests) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master that
+    names none gets a temporary folder; anywhere else that is an error, as
+    executors would each write to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     current = getattr(spark, "_clausedelta_work_root", None)
     if current is None:
         current = tempfile.mkdtemp(prefix="clausedelta-")

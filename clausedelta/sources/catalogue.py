@@ -35,14 +35,16 @@ LISTED_SELECTOR = (
 def load_catalogue(spark: SparkSession, path: str, yaml_path: str | None = None, multi_line: bool = True) -> DataFrame:
     """Catalogue rows from JSON; from YAML only when the JSON file is absent.
 
-    Unreadable content gives an empty table. ``multi_line=False`` reads one
-    object or array per line, which lets Spark split large files.
+    A field of another type is null in its row; text that gives neither id nor
+    base_url gives no row. Both are in ``catalogue_rejects``. ``multi_line=False`` reads one object or array per
+    line, which lets Spark split large files.
     """
-    reader = spark.read.schema(schemas.SOURCES).option("multiLine", multi_line).option("mode", "DROPMALFORMED")
     try:
-        return reader.json(path)
-    except AnalysisException:
-        pass
+        rows = _catalogue_rows(spark, path, multi_line)
+        return rows.where("id is not null or base_url is not null").drop("_corrupt")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
     if yaml_path is not None:
         try:
             import json
@@ -59,6 +61,17 @@ def load_catalogue(spark: SparkSession, path: str, yaml_path: str | None = None,
     return spark.createDataFrame([], schemas.SOURCES)
 
 
+def _catalogue_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.schema(f"{schemas.SOURCES}, _corrupt string").option("multiLine", multi_line)
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+
+
+def catalogue_rejects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Catalogue rows that do not parse or have a field of another type, as text in ``record``."""
+    rows = _catalogue_rows(spark, path, multi_line).where("_corrupt is not null")
+    return rows.select("id", F.col("_corrupt").alias("record"))
+
+
 def sources_from_links(lines: DataFrame, rows_per_segment: int = 100_000) -> DataFrame:
     """Sources from numbered link lines: columns ``line_no``, ``line``."""
     found = lines.select(
@@ -74,7 +87,7 @@ def sources_from_links(lines: DataFrame, rows_per_segment: int = 100_000) -> Dat
     return numbered.select(
         F.concat(F.lit("site-"), padded, F.lit("-"), label).alias("id"),
         F.concat(F.upper(F.substring(label, 1, 1)),
-                 F.lower(F.substring(label, 2, 1_000_000)), F.lit(" Statutory Monitor")).alias("name"),
+                 F.lower(F.substr(label, F.lit(2))), F.lit(" Statutory Monitor")).alias("name"),
         "base_url",
         infer_adapter(F.col("base_url")).alias("adapter_type"),
         F.lit(LISTED_SELECTOR).alias("link_selector"),

@@ -35,13 +35,26 @@ def _opening(element: Column) -> Column:
     return F.regexp_extract(element, r"^<[^>]*>", 0)
 
 
+def escaped_cdata(xml: Column) -> Column:
+    """CDATA sections as escaped text."""
+    def one(part: Column, i: Column) -> Column:
+        text = F.substring_index(part, "]]>", 1)
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(char), F.lit(name))
+        closed = (i > 0) & F.contains(part, F.lit("]]>"))
+        return F.when(closed, F.concat(text, F.substr(part, F.instr(part, "]]>") + 3))).otherwise(part)
+
+    joined = F.array_join(F.transform(F.split(xml, r"<!\[CDATA\[", -1), one), "")
+    return F.when(F.contains(xml, F.lit("<![CDATA[")), joined).otherwise(xml)
+
+
 def parse_feeds(payloads: DataFrame) -> DataFrame:
     """One row per payload with its record elements or the reason it failed.
 
     ``payloads``: source_id, endpoint_url, body and the optional settings
     item_tag, title_tag, link_tag, date_tag.
     """
-    xml = F.regexp_replace(F.regexp_replace("body", r"(?s)<!--.*?-->", ""), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    xml = escaped_cdata(F.regexp_replace("body", r"(?s)<!--.*?-->", ""))
     checked = F.from_xml(
         F.col("body"), "_any string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )

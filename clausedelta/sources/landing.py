@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BODY_CHARS = 50 * 1024 * 1024
-
 
 def landed_pages(spark: SparkSession, path: str) -> DataFrame:
     """Fetched responses as parquet; columns and filters reach the scan."""
@@ -22,12 +20,12 @@ def landed_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def accepted(fetches: DataFrame, body: str = "body") -> DataFrame:
-    """Fetches with a usable body: present and within the size cap."""
-    return fetches.where(F.coalesce(F.length(body), F.lit(0)).between(1, MAX_BODY_CHARS))
+    """Fetches with a usable body: present and not empty, of any size."""
+    return fetches.where(F.coalesce(F.length(body), F.lit(0)) > 0)
 
 
 def rejected(fetches: DataFrame, body: str = "body") -> DataFrame:
     """Fetches that are kept aside, with the reason."""
     n = F.length(body)
-    reason = F.when(n.isNull(), "no body").when(n == 0, "empty body").when(n > MAX_BODY_CHARS, "body too long")
+    reason = F.when(n.isNull(), "no body").when(n == 0, "empty body")
     return fetches.withColumn("reason", reason).where("reason is not null").drop(body)

@@ -17,8 +17,8 @@ def read_batches(spark: SparkSession, path: str, schema: str | None = None, befo
     try:
         reader = spark.read if schema is None else spark.read.schema(f"{schema}, batch_id bigint")
         df = reader.parquet(path)
-    except AnalysisException:
-        if schema is None:
+    except AnalysisException as exc:
+        if schema is None or exc.getCondition() != "PATH_NOT_FOUND":
             raise
         df = spark.createDataFrame([], f"{schema}, batch_id bigint")
     return df if before is None else df.where(F.col("batch_id") < before)
@@ -27,9 +27,8 @@ def read_batches(spark: SparkSession, path: str, schema: str | None = None, befo
 def append_snapshots(snapshots: DataFrame, path: str) -> None:
     """Append snapshot rows, partitioned by the day they were crawled."""
     dated = snapshots.withColumn("crawl_date", F.to_date("crawled_at"))
-    dated.repartition("crawl_date", F.pmod(F.xxhash64("document_id"), F.lit(16))).write.mode("append").partitionBy(
-        "crawl_date"
-    ).parquet(path)
+    # A day is as many files as the batch has partitions for it; a usual batch is one day.
+    dated.write.mode("append").partitionBy("crawl_date").parquet(path)
 
 
 def diff_rows(payloads: DataFrame) -> DataFrame:

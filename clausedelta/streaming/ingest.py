@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,13 +13,17 @@ from clausedelta.plans.ingest import ingest_batch
 from clausedelta.sources.sinks import append_batch
 
 
-def stream_ingest(fetches: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest(
+    fetches: DataFrame, store: str, checkpoint: str, pages: Callable[[SparkSession], DataFrame] | None = None
+) -> StreamingQuery:
     """Run every micro-batch of landed fetches through the ingest batch.
 
-    A repeated batch id replaces its own output, so a restart is safe.
+    ``pages`` reads the page texts that have landed by then. A repeated batch id
+    replaces its own output, so a restart is safe.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch.sparkSession, batch, store, batch_id)
+        spark = batch.sparkSession
+        ingest_batch(spark, batch, store, batch_id, None if pages is None else pages(spark))
 
     return (
         fetches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -154,7 +154,7 @@ outcomes AS (
     WHEN c_custkey % 11 = 0 OR f < tried THEN 'already_verified' ELSE verdict END AS outcome
   FROM judged j LEFT JOIN customer ON c_custkey = j.user_id LEFT JOIN firsts USING (user_id))"""
 
-REDACT = "Full statutory text and clause delta history are locked. Start a free trial or subscribe to unlock complete access."
+REDACT = "The text and its changes are shown to readers with access. A trial or a subscription opens them."
 
 
 def all_queries() -> dict[str, str]:

@@ -410,20 +410,6 @@ def _changes(spark, sf):
     return changes.clause_changes(changes.snapshot_diffs(views.snapshots(spark, sf)))
 
 
-@query
-def q45_similarity_score(spark, sf):
-    scored = changes.score_changes(_changes(spark, sf))
-    return scored.select("document_id", "version", "ord", "change_type", "similarity_score")
-
-
-@query
-def q46_word_deltas(spark, sf):
-    scored = changes.score_changes(_changes(spark, sf)).where("change_type = 'modified'")
-    return scored.select("document_id", "version", "ord", F.posexplode("word_deltas").alias("delta_no", "d")).select(
-        "document_id", "version", "ord", "delta_no", "d.op", F.md5("d.text").alias("text_md5")
-    )
-
-
 @query
 def q47_clause_key(spark, sf):
     df = changes.keyed(changes.split_clauses(views.snapshots(spark, sf)))
@@ -577,11 +563,6 @@ def q63_term_index(spark, sf):
     return search.term_index(views.snapshots(spark, sf), ["id"], "cleaned_text")
 
 
-@query
-def q64_term_stems(spark, sf):
-    return search.term_stems(search.term_index(views.snapshots(spark, sf), ["id"], "cleaned_text"))
-
-
 @query
 def q65_diff_term_index(spark, sf):
     return search.term_index(search.diff_text(_diffs(spark, sf)), ["id"], "diff_text")
@@ -698,7 +679,7 @@ def q76_truncate_payload(spark, sf):
     # The payload of one event next to a long document, cut where it is too long.
     d = views.table(spark, sf, "documents")
     payload = F.to_json(F.struct("doc_id", "text"))
-    return d.select("doc_id", F.md5(billing.stored_payload(payload)).alias("payload_md5"))
+    return d.select("doc_id", F.md5(billing.stored_payload(payload, 20_000)).alias("payload_md5"))
 
 
 @query

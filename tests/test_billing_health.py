@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausedelta.operators import billing as bl
@@ -48,7 +49,7 @@ def test_events(spark):
     assert [rows[i].status for i in (1, 2, 4, 7)] == ["active", "cancelled", "active", "unknown"]
     assert (rows[1].subscriber_name, rows[3].subscriber_name, rows[2].subscriber_name) == ("Ann Lee", "Firm", None)
     assert (rows[4].subscription_id, float(rows[4].amount), rows[4].currency, rows[5].amount) == ("S2", 39.0, "USD", None)
-    strict = bl.normalize_events(raw(spark), strict_reference=True).where("delivery_id = 4").first()
+    strict = bl.normalize_events(raw(spark), own_id_first=True).where("delivery_id = 4").first()
     assert strict.subscription_id == "SALE-1"
 
 
@@ -98,7 +99,36 @@ def test_revenue_and_plans(spark):
 
 def test_payload_cut(spark):
     df = spark.createDataFrame([('{"a":1}',), ('{"a":"' + "x" * 20_000 + '"}',), ("nope",)], "p string")
-    assert [r[0] for r in df.select(bl.stored_payload(F.col("p"))).collect()] == ['{"a":1}', "{}", "{}"]
+    assert [r[0] for r in df.select(bl.stored_payload(F.col("p"), 20_000)).collect()] == ['{"a":1}', "{}", "{}"]
+    assert [len(r[0]) for r in df.select(bl.stored_payload(F.col("p"))).collect()] == [7, 20_008, 2]
+
+
+def test_times_do_not_depend_on_the_session(spark):
+    texts = ["2024-02-01T00:00:00Z", "2024-02-01", "2024-02-01T02:30:00+02:30", "2024-03-10T02:30:00.250Z", "junk", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    users = [("U-7", "A@b.c", True, True, "2024-03-11T00:00:00Z"), ("u-8", "x@y.z", True, True, None)]
+    people = spark.createDataFrame(users, "id string, email string, is_active boolean, is_verified boolean, trial_ends_at string")
+    subs = spark.createDataFrame(
+        [("S1", "P", "x@y.z", "active")], "subscription_id string, plan_id string, email string, status string"
+    ).selectExpr("*", "timestamp_ntz'2024-03-08 00:00:00' next_billing_at", "timestamp_ntz'2024-01-01 00:00:00' updated_at")
+    asked = spark.createDataFrame([("U-7",), (" a@B.c",), ("u-7",), ("u-8",)], "user_ref string")
+    seen = []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        times = [str(r[0]) for r in df.select(bl.utc_time(F.col("t"))).collect()]
+        rows = [tuple(r) for r in bl.access_status(asked, people, subs, "2024-03-10 00:00:00").orderBy("user_ref").collect()]
+        seen.append((times, rows))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen[0] == seen[1]
+    assert seen[0][0] == ["2024-02-01 00:00:00", "2024-02-01 00:00:00", "2024-02-01 00:00:00", "2024-03-10 02:30:00.250000", "None", "None"]
+    assert [(r[0], r[2], r[4]) for r in seen[0][1]] == [
+        (" a@B.c", "trial", 1), ("U-7", "trial", 1), ("u-7", "user_not_found", None), ("u-8", "active_subscription", None),
+    ]
+
+
+def test_event_log_limit(spark):
+    with pytest.raises(ValueError, match="limit"):
+        bl.event_log(spark.range(1), 0)
 
 
 def test_access(spark):
@@ -170,6 +200,10 @@ def test_catalogue(spark, tmp_path):
     yml = cat.load_catalogue(spark, str(tmp_path / "none.json"), str(tmp_path / "s.yaml"))
     assert yml.first().base_url == "https://y.gov"
     assert cat.load_catalogue(spark, str(tmp_path / "bad.json")).count() == 0
+    assert [r.record for r in cat.catalogue_rejects(spark, str(tmp_path / "bad.json")).collect()] == ["{oops"]
+    (tmp_path / "odd.json").write_text('[{"id": "a", "is_active": "perhaps"}, {"id": "b", "is_active": true}]')
+    assert {"a", "b"} == {r.id for r in cat.load_catalogue(spark, str(tmp_path / "odd.json")).collect()}
+    assert all("perhaps" in r.record for r in cat.catalogue_rejects(spark, str(tmp_path / "odd.json")).collect())
     assert cat.load_catalogue(spark, str(tmp_path / "none.json")).count() == 0
     both = df.unionByName(yml)
     assert {r[0] for r in both.select(cat.adapter_for(F.col("adapter_type"))).collect()} == {"xml_feed", "custom"}

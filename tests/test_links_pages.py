@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from clausedelta.functions.html import with_html_text
+from clausedelta.functions.html import unescape, with_html_text
 from clausedelta.operators import links as lk
 from clausedelta.operators import pages as pg
 from clausedelta.sources.feeds import feed_documents, feed_results
@@ -27,6 +27,41 @@ def test_extract_links(spark):
     assert (rows[2].text, rows[2].link_id) == ("Publicnotice", "n1")
 
 
+def test_links_of_valid_but_tricky_markup(spark):
+    html = """<!-- <a href="/old.pdf">old</a> --><script>var s = '<a href="/js.pdf">js</a>';</script>
+      <a title="a > b" href="/one.pdf">One &gt; two</a><a href='/q.pdf' title='it"s > that'>q</a>"""
+    rows = lk.extract_links(pages(spark, html)).orderBy("pos").collect()
+    assert [(r.href, r.text, r.link_title) for r in rows] == [("/one.pdf", "One > two", "a > b"), ("/q.pdf", "q", 'it"s > that')]
+
+
+def test_character_references(spark):
+    cases = {
+        "&#9999999;": "\ufffd", "&#x110000;x": "\ufffdx", "&#xD800;": "\ufffd", "&#0;": "\ufffd", "&#146;": "\u2019", "&#x41;": "A",
+        "&#65 b": "A b", "&comma;&lsqb;": ",[", "a&nbsp b": "a\xa0 b", "&amp;lt;": "&lt;", "AT&T &unknown; &": "AT&T &unknown; &",
+        "&#99999999999999999999;": "\ufffd", "&#00000000065;": "A", "&notit;": "\xacit;", "plain": "plain",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.u for r in df.select("t", unescape(F.col("t")).alias("u")).collect()} == cases
+
+
+def test_nested_containers(spark):
+    html = [
+        "<body><article>A<article>B</article>C</article>D</body>", '<main title="x > y">one<div>two</div></main>three',
+        '<body><div id="content">a<div>b</div>c</div>d</body>', "<p>no container</p>", "<main>never closed <b>x</b>",
+    ]
+    df = spark.createDataFrame(list(enumerate(html)), "i int, html string")
+    got = {r.i: r.t for r in with_html_text(df, "html", "t").collect()}
+    assert got == {0: "A\nB\nC", 1: "one\ntwo", 2: "a\nb\nc", 3: "no container", 4: "never closed\nx"}
+
+
+def test_feed_text_in_cdata(spark):
+    body = "<rss><channel><item><title><![CDATA[Rules <b>A</b> & 3 < 4]]></title><link><![CDATA[https://t.gov/a?x=1&y=2]]></link></item></channel></rss>"
+    df = spark.createDataFrame([("s", "https://t.gov/f", body)], "source_id string, endpoint_url string, body string")
+    df = df.selectExpr("*", *(f"cast(null as string) {c}" for c in ("item_tag", "title_tag", "link_tag", "date_tag")))
+    (row,) = feed_documents(df).collect()
+    assert row.title == "Rules <b>A</b> & 3 < 4" and row.url.startswith("https://t.gov/a?")
+
+
 def test_discover_generic(spark):
     rows = lk.discover(pages(spark, PAGE)).orderBy("pos").collect()
     assert [(r.title, r.url) for r in rows] == [

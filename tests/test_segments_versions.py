@@ -100,6 +100,24 @@ def test_paged_documents_use_their_page_texts(spark):
     assert texts == {"p": "body a text\n\nbody b text", "d": A}
 
 
+def test_no_fetch_is_lost(spark):
+    store = work_path(spark, "t")
+    rows = [("p", 1, "2024-01-01", "%PDF", "https://t.gov/p.pdf"), ("q", 2, "2024-01-01", "%PDF", "https://t.gov/q.pdf"), ROWS[0],
+            ("h", 7, "2024-01-01", "<p>bad &#9999999; &#xD800; reference</p>", "u"), ("n", 8, "2024-01-01", None, "u")]
+    pages = spark.createDataFrame([("p", 1, 1, "page one text")], "document_id string, fetch_id bigint, page_no int, page_text string")
+    ingest_batch(spark, fetches(spark, rows), store, 0, pages)
+    kept = {r.document_id for r in read_batches(spark, f"{store}/snapshots").collect()}
+    aside = {(r.document_id, r.reason) for r in read_batches(spark, f"{store}/rejects").collect()}
+    assert kept == {"p", "d", "h"} and aside == {("q", "no page texts"), ("n", "no body")}
+    # The page texts arrive: the same fetch becomes version 1.
+    late = spark.createDataFrame([("q", 2, 1, "late text")], "document_id string, fetch_id bigint, page_no int, page_text string")
+    ingest_batch(spark, fetches(spark, rows[1:2]), store, 1, late)
+    got = {r.document_id: (r.version, r.cleaned_text) for r in read_batches(spark, f"{store}/snapshots").collect()}
+    assert got["q"] == (1, "late text")
+    ingest_batch(spark, fetches(spark, rows[1:2]), f"{store}/other", 0)
+    assert [r.reason for r in read_batches(spark, f"{store}/other/rejects").collect()] == ["no page texts"]
+
+
 def test_stream_equals_batch(spark):
     landing, store = work_path(spark, "landing"), work_path(spark, "t")
     df = fetches(spark, ROWS)
