@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.functions.html import IN_TAG, attribute, inner_text
+from clausedelta.functions.html import IN_TAG, attribute, element_with, inner_text
 from clausedelta.functions.stages import exploded, with_computed
 from clausedelta.functions.text import non_blank
 from clausedelta.functions.urls import (
@@ -167,11 +167,10 @@ def meeting_table_links(pages: DataFrame) -> DataFrame:
     contains 'grid', else the whole page.
     """
     html = F.col("html")
-    grid = r"(?is)<table\b(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?rgMasterTable[\"'\s])[^>]*>.*?</table\s*>"
-    by_id = r"(?s)<table\b(?=[^>]*\bid\s*=\s*[\"'][^\"']*grid)[^>]*>.*?</table\s*>"
-    area = F.coalesce(
-        non_blank(F.regexp_extract(html, grid, 0)), non_blank(F.regexp_extract(html, by_id, 0)), html
-    )
+    grid = r"\bclass\s*=\s*[\"'](?:[^\"']*\s)?rgMasterTable[\"'\s]"
+    by_id = r"\bid\s*=\s*[\"'][^\"']*(?-i:grid)"
+    # Tables inside the grid are counted, so the grid ends at its own closing tag.
+    area = F.coalesce(element_with(html, grid, "table"), element_with(html, by_id, "table"), html)
     # Table rows as blocks, and links that stand outside any row.
     blocks = F.regexp_extract_all(area, F.lit(r"(?is)<tr\b[^>]*>.*?</tr\s*>|<a\b[^>]*>.*?</a\s*>"), F.lit(0))
     df = with_computed(pages.select("source_id", "base_url", "html"), _blocks=blocks).drop("html")

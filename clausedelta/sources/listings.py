@@ -89,8 +89,8 @@ def listing_results(payloads: DataFrame) -> DataFrame:
     )
 
 
-def listing_documents(payloads: DataFrame) -> DataFrame:
-    """Document links of all payloads that parse, in listing order."""
+def listing_documents(payloads: DataFrame, snippet_chars: int | None = None) -> DataFrame:
+    """Document links of all payloads that parse, in listing order; snippets are cut only if asked for."""
     df = parse_listings(payloads).where("error is null")
     df = exploded(df.drop("body"), "items", "pos", "item")
     item = F.col("item")
@@ -109,7 +109,7 @@ def listing_documents(payloads: DataFrame) -> DataFrame:
         _first_present(item, [field("content_field", "body"), F.lit("description"), F.lit("summary")]), F.lit("")
     )
     date = F.coalesce(_text(F.try_element_at(item, field("date_field", "updated_at"))), F.lit(""))
-    df = with_computed(df, _title=title, _url=url, snippet=F.left(snippet, F.lit(500)), date=date).select(
+    df = with_computed(df, _title=title, _url=url, snippet=snippet if snippet_chars is None else F.left(snippet, F.lit(snippet_chars)), date=date).select(
         "source_id", "endpoint_url", "pos", "_title", "_url", "snippet", "date"
     )
     df = with_resolved_url(df, F.col("endpoint_url"), F.col("_url"), "url")

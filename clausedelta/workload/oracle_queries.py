@@ -35,7 +35,6 @@ def _phrases(t: str) -> str:
     return t
 
 
-FIRST_LINE = "string_split(text, chr(10))[1]"
 
 
 def _stop_list() -> str:
@@ -175,14 +174,14 @@ def all_queries() -> dict[str, str]:
     q["q03_catalogue_new_sources"] = w(o.SOURCES, "SELECT id, base_url FROM sources WHERE NOT is_active")
     q["q03_new_source_counts"] = w(o.SOURCES, """SELECT count(*) AS configured, count(*) FILTER (is_active) AS stored,
       count(*) FILTER (NOT is_active) AS new FROM sources""")
-    q["q04_json_listing_ingest"] = f"""
+    q["q04_json_listing_ingest"] = """
       SELECT CAST(doc_id AS VARCHAR) AS source_id, pos, 'Zoning record ' || doc_id AS title,
         'https://register.example.gov/' || doc_id || '/2024-05-01' AS url, 'zoning_code' AS document_type,
-        md5(left(text, 500)) AS snippet, '2024-05-01' AS date, 'rest_api_json' AS source_format
+        md5(text) AS snippet, '2024-05-01' AS date, 'rest_api_json' AS source_format
       FROM documents, (VALUES (0), (1)) AS t(pos) WHERE doc_id % 6 = 0
       UNION ALL
       SELECT CAST(doc_id AS VARCHAR), 0, 'Minutes ' || doc_id, 'https://api.example.gov/file/' || doc_id || '?p=1', 'meeting_minutes',
-        md5(left({FIRST_LINE}, 500)), '', 'rest_api_json'
+        md5(text), '', 'rest_api_json'
       FROM documents WHERE doc_id % 6 IN (1, 2)"""
     q["q04_json_listing_results"] = """
       SELECT CAST(doc_id AS VARCHAR) AS source_id, doc_id % 6 <> 3 AS success,
@@ -211,7 +210,7 @@ def all_queries() -> dict[str, str]:
         CASE WHEN http_status = 200 THEN 'application/xml' END AS content_type,
         CASE WHEN http_status IS DISTINCT FROM 200 THEN coalesce(error_text, 'HTTP ' || http_status) END AS error
       FROM sources s JOIN probes p ON s.id = p.source_id WHERE adapter_type = 'direct_document'""")
-    q["q07_page_landing_scan"] = "SELECT page_id, url, length(html) AS body_chars FROM pages WHERE length(html) BETWEEN 1 AND 52428800"
+    q["q07_page_landing_scan"] = "SELECT page_id, url, length(html) AS body_chars FROM pages WHERE length(html) >= 1"
     q["q08_page_text_scan"] = w(o.PAGES, "SELECT document_id, page_no, image_count, length(page_text) AS text_chars FROM ptexts")
     q["q09_snapshot_append"] = w(o.SNAPSHOTS, """SELECT document_id, version, sha256(cleaned_text) AS text_hash,
       CAST(CAST(crawled_at AS DATE) AS VARCHAR) AS crawl_date FROM snapshots""")

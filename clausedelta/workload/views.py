@@ -330,16 +330,16 @@ def listing_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     key = i.cast("string")
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
     record = F.to_json(F.struct(i.alias("rid"), F.concat(F.lit("Zoning record "), key).alias("label"), F.col("text").alias("summary"), F.lit("2024-05-01").alias("made")))
-    plain = F.to_json(F.struct(F.concat(F.lit("Minutes "), key).alias("title"), F.concat(F.lit("/file/"), key, F.lit("?utm_source=a&p=1#x")).alias("url"), first.alias("body")))
+    plain = F.to_json(F.struct(F.concat(F.lit("Minutes "), key).alias("title"), F.concat(F.lit("/file/"), key, F.lit("?utm_source=a&p=1#x")).alias("url"), F.col("text").alias("body")))
+    unclosed = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("body"))), r"^\{|\}$", "")
     body = (
         F.when(i % 6 == 0, F.concat(F.lit('{"value":['), record, F.lit(","), record, F.lit(",7]}")))
         .when(i % 6 == 1, F.concat(F.lit("["), plain, F.lit(',"text"]')))
         .when(i % 6 == 2, plain)
-        .when(i % 6 == 3, F.concat(F.lit("[{"), F.lit('"title":"broken"')))
-        .when(i % 6 == 4, F.lit("[]"))
-        .otherwise(F.lit('{"other":[1]}'))
+        .when(i % 6 == 3, F.concat(F.lit('[{"title":"broken",'), unclosed))
+        .when(i % 6 == 4, F.to_json(F.array("text")))
+        .otherwise(F.to_json(F.struct(F.array("text").alias("other"))))
     )
     keyed = i % 6 == 0
     return d.select(
@@ -356,11 +356,11 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     key = i.cast("string")
-    esc = F.replace(F.replace(F.replace(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     entry = lambda n: F.concat(F.lit(f'<entry><title>Rule {n} of '), key, F.lit(f'</title><updated>2024-03-0{n}</updated><link href="/uksi/'), key, F.lit(f'/{n}#frag"/><summary>'), esc, F.lit("</summary></entry>"))
     atom = F.concat(F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">'), entry(1), entry(2), entry(1), F.lit("<entry><title>No link</title></entry></feed>"))
-    rss = F.concat(F.lit("<rss><channel><item><title>Agenda &amp; notes "), key, F.lit("</title><link>https://Feeds.example.gov/i/"), key, F.lit("</link></item><item><title>x</title><link>https://facebook.com/x</link></item></channel></rss>"))
-    index = F.concat(F.lit('<index><Act href="/act/'), key, F.lit('"><title>Act '), key, F.lit('</title></Act><Act url="act2.xml"/></index>'))
+    rss = F.concat(F.lit("<rss><channel><item><title>Agenda &amp; notes "), key, F.lit("</title><link>https://Feeds.example.gov/i/"), key, F.lit("</link><description><![CDATA["), F.col("text"), F.lit("]]></description></item><item><title>x</title><link>https://facebook.com/x</link></item></channel></rss>"))
+    index = F.concat(F.lit('<index><Act href="/act/'), key, F.lit('"><title>Act '), key, F.lit("</title><note>"), esc, F.lit('</note></Act><Act url="act2.xml"/></index>'))
     body = (
         F.when(i % 5 == 0, atom).when(i % 5 == 1, rss).when(i % 5 == 2, index)
         .when(i % 5 == 3, F.concat(F.lit("<html><body>"), esc, F.lit("</body></html>")))

@@ -94,6 +94,13 @@ def test_meeting_table(spark):
     ]
 
 
+def test_meeting_grid_with_a_table_inside(spark):
+    html = """<table class="rgMasterTable"><thead><tr><td><table><tr><td>head</td></tr></table></td></tr></thead>
+      <tr><td>Council</td><td>2024-01-02</td><td><a href="/a.pdf">Agenda</a></td></tr></table><a href="/outside.pdf">no</a>"""
+    rows = lk.meeting_table_links(pages(spark, html)).collect()
+    assert [(r.url, r.title) for r in rows] == [("https://town.gov/a.pdf", "Council - Agenda")]
+
+
 def test_dedupe_and_fallback(spark):
     df = spark.createDataFrame([("s", "u", 3, "c"), ("s", "u", 1, "a"), ("t", "u", 2, "b")], "source_id string, url string, pos int, title string")
     assert {(r.source_id, r.pos, r.title) for r in lk.dedupe_links(df).collect()} == {("s", 1, "a"), ("t", 2, "b")}
