@@ -48,13 +48,14 @@ class EliasFano:
     @staticmethod
     def in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Place of the set bit with `rank` set bits below it."""
-        place, rest = np.zeros(len(words), dtype=np.int64), rank.copy()
+        place, rest = np.zeros(len(words), dtype=np.uint8), rank.astype(np.uint8)
         for width in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(words & U64((1 << width) - 1)).astype(np.int64)
+            below = np.bitwise_count(words & U64((1 << width) - 1))
             beyond = rest >= below
-            rest -= np.where(beyond, below, 0)
-            words = np.where(beyond, words >> U64(width), words)
-            place += np.where(beyond, width, 0)
+            rest -= below * beyond
+            shift = beyond * np.uint8(width)
+            words = words >> shift
+            place += shift
         return place
 
     def select0(self, k: np.ndarray) -> np.ndarray:
@@ -82,9 +83,17 @@ class EliasFano:
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of each x by successor search within its high part; -1 where the successor is another number."""
-        x = x.astype(np.uint64)
         if not self.n or not len(x):
             return np.full(len(x), -1, dtype=np.int64)
+        # Each number once and in order, so that the search walks through the files.
+        order = np.argsort(x)
+        x = x[order]
+        fresh = np.concatenate([[True], x[1:] != x[:-1]])
+        found = np.empty(len(x), dtype=np.int64)
+        found[order] = self.find_sorted(x[fresh].astype(np.uint64))[np.cumsum(fresh) - 1]
+        return found
+
+    def find_sorted(self, x: np.ndarray) -> np.ndarray:
         high = (x >> U64(8 * self.width)).astype(np.int64)
         low = x & U64((1 << (8 * self.width)) - 1)
         stop = self.select0(high) - high
@@ -115,7 +124,7 @@ def save(folder: str, **arrays: np.ndarray) -> None:
 
 def mapped(folder: str, name: str) -> np.ndarray:
     path = f"{folder}/{name}.npy"
-    return np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else np.load(path)
+    return np.asarray(np.load(path, mmap_mode="r")) if os.path.getsize(path) > 128 else np.load(path)
 
 
 def save_sequence(folder: str, name: str, seq: EliasFano) -> None:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from clausedelta.llm.common import parts_for, shared_file_path, work_path
 from clausedelta.llm.elias_fano import EliasFano, map_sequence, mapped, save, save_sequence
 from clausedelta.llm.segments import slices, texts_of
-from clausedelta.llm.shingles import word_hashes
+from clausedelta.llm.shingles import distinct_word_hashes
 
 DISCOUNT = 0.75
 SHARD_BYTES, SLICE = 48 << 20, 8 << 20
@@ -93,8 +93,7 @@ class Trie:
     def by_shard(self, shard: np.ndarray, ask: Callable[[int, np.ndarray], np.ndarray], kind: type) -> np.ndarray:
         """Answers of each shard for its part of the queries."""
         out = np.zeros(len(shard), dtype=kind)
-        order = np.argsort(shard.astype(np.int32), kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(self.shards), side="right")
+        order, ends = shard_order(shard, self.shards)
         start = 0
         for s, end in enumerate(ends):
             if end > start:
@@ -174,6 +173,12 @@ class Trie:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+def shard_order(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings each shard's rows together, and where each ends. Two-byte numbers sort by radix."""
+    small = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    return np.argsort(small, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))
+
+
 def hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -195,14 +200,16 @@ def folded(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], sums.astype(np.int64)
 
 
-def cells(shard: np.ndarray, keys: np.ndarray, universe: Callable[[int], int], shards: int) -> pa.RecordBatch:
-    """CELL rows of the counted keys of each shard."""
-    order = np.argsort(shard.astype(np.int32), kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards), side="right")
+def cells(
+    shard: np.ndarray, keys: np.ndarray, universe: Callable[[int], int], shards: int, often: np.ndarray | None = None
+) -> pa.RecordBatch:
+    """CELL rows of the counted keys of each shard; often: how often each key is there, once without."""
+    order, ends = shard_order(shard, shards)
     rows, start = [], 0
     for s, end in enumerate(ends):
         if end > start:
-            mine, counts = folded(keys[order[start:end]])
+            part = order[start:end]
+            mine, counts = folded(keys[part], None if often is None else often[part])
             seq = EliasFano.build(mine, universe(s))
             rows.append((s, len(mine), seq.width, seq.low.tobytes(), seq.words.tobytes(), counts.astype("<u4").tobytes()))
         start = end
@@ -230,34 +237,47 @@ def done_row(shard: int, n: int, total: int = 0, ends: tuple = (0, 0, 0, 0), mos
 
 
 class Tokens:
-    """Hashes of the tokens of some texts, an end after each, and the text of each token."""
+    """The tokens of some texts, an end after each: number among the distinct ones, hashes of those, and text."""
 
     def __init__(self, texts: pa.Array) -> None:
-        rows, words = word_hashes(texts)
+        rows, index, hashes = distinct_word_hashes(texts)
         self.rows = rows + 1
-        self.hashes = np.insert(words, np.cumsum(rows), END)
+        self.hashes = np.append(hashes, END)
+        self.index = np.insert(index, np.cumsum(rows), len(hashes))
         self.text = np.repeat(np.arange(len(rows)), self.rows)
 
-    def known(self, trie: Trie) -> np.ndarray:
-        distinct, index = np.unique(self.hashes, return_inverse=True)
-        return trie.ids(distinct)[index]
-
-
-class Pairs:
-    """Neighbouring tokens that are both known: places in the token stream, ids, and shards in level 2."""
-
-    def __init__(self, trie: Trie, tokens: Tokens, ids: np.ndarray) -> None:
-        near = (tokens.text[1:] == tokens.text[:-1]) & (ids[1:] >= 0) & (ids[:-1] >= 0)
-        self.at = np.flatnonzero(near) + 1  # place of the second word
-        distinct, index = np.unique(np.where(ids < 0, 0, ids), return_inverse=True)
-        known = trie.distinct > 0
-        before = trie.before(distinct)[index] if known else np.zeros(len(ids), np.int64)
-        self.counts = (trie.counts(distinct)[index] if known else before) * (ids >= 0)
-        self.before = before
-        self.v, self.w = ids[self.at - 1], ids[self.at]
-        self.shard = (
-            trie.pair_shard(before[self.at - 1], self.counts[self.at - 1], before[self.at]) if known else self.at
-        )
+
+class Known:
+    """What level 1 has of the distinct words, then the neighbouring tokens that are both known."""
+
+    def __init__(self, trie: Trie, tokens: Tokens) -> None:
+        self.trie, self.index, self.text = trie, tokens.index, tokens.text
+        self.ids = trie.ids(tokens.hashes)
+        known = self.ids >= 0
+        self.before, self.counts, self.home = (np.zeros(len(known), dtype=np.int64) for _ in range(3))
+        self.before[known] = trie.before(self.ids[known])
+        self.counts[known] = trie.before(self.ids[known] + 1) - self.before[known]
+        if trie.total:
+            self.home = trie.first_shard(self.before)  # shard of the word's first pairs
+        seen = known[self.index]
+        self.same = tokens.text[1:] == tokens.text[:-1]
+        self.at = np.flatnonzero(self.same & seen[1:] & seen[:-1]) + 1  # place of the second word
+        self.first, self.second = self.index[self.at - 1], self.index[self.at]
+        self.shard = np.zeros(0, dtype=np.int64)
+        if len(self.at):
+            self.shard = trie.pair_shard(self.before[self.first], self.counts[self.first], self.before[self.second])
+
+    def find(self) -> None:
+        """Places of the pairs in level 2 and of the tokens' pairs before: context, rank of the token, token."""
+        trie = self.trie
+        self.place = np.full(len(self.index), -1, dtype=np.int64)
+        self.place[self.at] = trie.find_pairs(self.ids[self.first], self.ids[self.second], self.shard)
+        self.third = np.flatnonzero(self.same[1:] & (self.place[2:] >= 0) & (self.place[1:-1] >= 0)) + 2
+        starts = np.zeros(len(self.ids), dtype=np.int64)
+        used = np.flatnonzero(self.ids >= 0)
+        starts[used] = trie.start_of(self.ids[used], self.home[used])
+        self.context = self.place[self.third - 1]
+        self.rank = self.place[self.third] - starts[self.index[self.third - 1]]
 
 
 def level_cells(docs: DataFrame, keyed: Callable[[Tokens], pa.RecordBatch]) -> DataFrame:
@@ -286,7 +306,8 @@ def build_words(trie: Trie, docs: DataFrame) -> None:
     def keyed(tokens: Tokens) -> pa.RecordBatch:
         shard = hash_shard(tokens.hashes, shards)
         starts = np.array([span(s, shards)[0] for s in range(shards)], dtype=np.uint64)
-        return cells(shard, tokens.hashes - starts[shard], lambda s: span(s, shards)[1], shards)
+        often = np.bincount(tokens.index, minlength=len(tokens.hashes))
+        return cells(shard, tokens.hashes - starts[shard], lambda s: span(s, shards)[1], shards, often)
 
     def write(table: pa.Table) -> pa.Table:
         shard, keys, counts = merged(table)
@@ -349,8 +370,9 @@ def build_pairs(trie: Trie, docs: DataFrame) -> None:
         return int(trie.last[s] - trie.first[s] + 1) * distinct
 
     def keyed(tokens: Tokens) -> pa.RecordBatch:
-        p = Pairs(trie, tokens, tokens.known(trie))
-        return cells(p.shard, ((p.v - trie.first[p.shard]) * distinct + p.w).astype(np.uint64), universe, shards)
+        k = Known(trie, tokens)
+        keys = (k.ids[k.first] - trie.first[k.shard]) * distinct + k.ids[k.second]
+        return cells(k.shard, keys.astype(np.uint64), universe, shards)
 
     def write(table: pa.Table) -> pa.Table:
         shard, keys, counts = merged(table)
@@ -417,9 +439,10 @@ def build_triples(trie: Trie, docs: DataFrame) -> None:
         return max(int(trie.pairs[s + 1] - trie.pairs[s]), 1) * trie.width
 
     def keyed(tokens: Tokens) -> pa.RecordBatch:
-        c, r, _, _ = contexts_of(trie, tokens, tokens.known(trie))
-        shard, local = trie.pair_places(c)
-        return cells(shard, (local * trie.width + r).astype(np.uint64), universe, shards)
+        k = Known(trie, tokens)
+        k.find()
+        shard, local = trie.pair_places(k.context)
+        return cells(shard, (local * trie.width + k.rank).astype(np.uint64), universe, shards)
 
     def write(table: pa.Table) -> pa.Table:
         shard, keys, counts = merged(table)
@@ -451,40 +474,30 @@ def write_triples(trie: Trie, shard: int, keys: np.ndarray, counts: np.ndarray,
     save(trie.at("l3", shard), **{"prob": codes, "prob.table": table, "back": back, "back.table": back_table})
 
 
-def contexts_of(trie: Trie, tokens: Tokens, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """For every token after two known ones whose pairs are in level 2: context (place of the pair before),
-    rank of the token among the successors of the token before, and its place; then what was found for pairs."""
-    pairs = Pairs(trie, tokens, ids)
-    place = np.full(len(ids), -1, dtype=np.int64)
-    place[pairs.at] = trie.find_pairs(pairs.v, pairs.w, pairs.shard)
-    third = np.flatnonzero((place[1:] >= 0) & (place[:-1] >= 0)) + 1
-    third = third[tokens.text[third] == tokens.text[third - 1]]
-    v = ids[third - 1]
-    distinct, index = np.unique(v, return_inverse=True)
-    start = trie.start_of(distinct, trie.first_shard(trie.before(distinct)))[index] if len(v) else v
-    return place[third - 1], place[third] - start, third, (pairs, place)
-
-
 def score_tokens(trie: Trie, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: count in training, log10 of the base probability, log10 of the model's."""
-    ids = tokens.known(trie)
     if not trie.total:
-        return np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
-    context, rank, third, (pairs, place) = contexts_of(trie, tokens, ids)
-    base = trie.unigram(pairs.counts)
+        zero = np.zeros(len(tokens.index))
+        return zero, zero, zero
+    k = Known(trie, tokens)
+    k.find()
+    base = trie.unigram(k.counts)[k.index]
+    back = np.zeros(len(k.ids))
+    used = np.flatnonzero(k.ids >= 0)
+    back[used] = trie.coded("l2", "back", k.home[used], k.ids[used] - trie.first[k.home[used]])
     score = base.copy()
-    after = np.flatnonzero((tokens.text[1:] == tokens.text[:-1]) & (ids[:-1] >= 0)) + 1
-    v = ids[after - 1]
-    shard = trie.first_shard(pairs.before[after - 1])
-    score[after] += trie.coded("l2", "back", shard, v - trie.first[shard])
-    seen = np.flatnonzero(place >= 0)
-    score[seen] = trie.coded("l2", "prob", *trie.pair_places(place[seen]))
-    wide = np.flatnonzero((tokens.text[1:] == tokens.text[:-1]) & (place[:-1] >= 0)) + 1
-    score[wide] += trie.coded("l3", "back", *trie.pair_places(place[wide - 1]))
-    shard, found = trie.find_triples(context, rank)
-    hit = found >= 0
-    score[third[hit]] = trie.coded("l3", "prob", shard[hit], found[hit])
-    return pairs.counts, base, score
+    score[1:] += back[k.index[:-1]] * k.same
+    found = k.place[k.at] >= 0
+    seen, shard = k.at[found], k.shard[found]
+    local = k.place[seen] - trie.pairs[shard]
+    score[seen] = trie.coded("l2", "prob", shard, local)
+    inside = seen + 1 < len(k.index)
+    wide = np.flatnonzero(inside)[k.same[seen[inside]]]  # pairs that a token follows
+    score[seen[wide] + 1] += trie.coded("l3", "back", shard[wide], local[wide])
+    shard, place = trie.find_triples(k.context, k.rank)
+    hit = place >= 0
+    score[k.third[hit]] = trie.coded("l3", "prob", shard[hit], place[hit])
+    return k.counts[k.index], base, score
 
 
 def train(docs: DataFrame, shards: int | None = None) -> Trie:

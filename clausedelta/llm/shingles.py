@@ -27,11 +27,17 @@ def lower_words(texts: pa.Array) -> pa.Array:
     return pc.ascii_split_whitespace(pc.ascii_lower(texts))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and the hash of every word of all texts in turn."""
+def distinct_word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, the number of every word of all texts among the distinct ones, and their hashes."""
     rows, index, distinct = words_by_row(texts, lower_words)
     each = [xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.large_binary()).to_pylist()]
-    return rows, np.array(each, dtype=np.uint64)[index]
+    return rows, index, np.array(each, dtype=np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the hash of every word of all texts in turn."""
+    rows, index, hashes = distinct_word_hashes(texts)
+    return rows, hashes[index]
 
 
 def window_hashes(rows: np.ndarray, words: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
