@@ -1,13 +1,16 @@
 """Links between the members of many small or large buckets, without the pairs of a bucket.
 
 First each bucket's nodes are tried against one leader (a star, so a thousand near copies are a thousand
-pairs); then, until no bucket holds two components, exactly the pairs whose components still differ.
+pairs); then exactly the pairs whose components still differ, out of buckets with several components, that
+an exact bound on the difference of their sets lets through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from clausedelta.llm.common import written
 from clausedelta.llm.components import merge_components
 
 STAR_ROUNDS = 3
+SKETCH_LONGS = 8
+VERIFY_ROWS = 200  # pairs of whole sets or passages in a batch
 ENTRY = ("grp", "comp", "n", "pos")
 
 
@@ -67,28 +72,45 @@ def candidates(one: DataFrame, two: DataFrame, cond: Column) -> DataFrame:
     ).select("a", "comp_a", "b", "comp_b")
 
 
+def difference_possible() -> Column:
+    """9 * |symmetric difference| <= na + nb is similarity 0.8; differing bits of the sketches bound it from below."""
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(SKETCH_LONGS)])
+    return (bits + F.col("rest_a") + F.col("rest_b")) * 9 <= F.col("na") + F.col("nb")
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the hashes by cell, 64 * SKETCH_LONGS of them: a member more or less flips one bit."""
+    cells = 64 * SKETCH_LONGS
+    odd = np.bincount((hashes % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def link_buckets(
-    entries: DataFrame, members: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame]
+    entries: DataFrame, members: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame],
+    sketches: DataFrame,
 ) -> DataFrame:
     """Final labels (node, comp).
 
     entries: token, grp, n (size of the set), pos (place of the token in the set's order); members: grp,
     node, a group being nodes that meet the same buckets; labels: node, comp, each group's node grp among
-    them; verify: the pairs a, b of nodes that are linked, out of candidates.
+    them; verify: the pairs a, b of nodes that are linked, out of candidates; sketches: node, rest (members
+    of its set that no other set has), bits (sketch of the others).
     """
     for step in range(STAR_ROUNDS):
         pairs = stars(entries, labels, step)
         if pairs is None:
             break
-        labels = merge_components(labels, written(verify(pairs.select("a", "b")), "links"))
+        labels = merge_components(labels, written(verify(pairs.select("a", "b")), "links", VERIFY_ROWS))
 
     member_comps = written(members.join(labels, "node"), "member-comps")
     split = entries.join(member_comps.select("grp", "comp").distinct(), "grp")
     mixed = split.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    left = written(split.join(mixed.select("token"), "token", "left_semi"), "open-entries")
-    rest = candidates(named(left, "a"), named(left, "b"), F.col("comp_a") < F.col("comp_b"))
-    for x in "ab":
-        side = member_comps.select(F.col("grp").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("node").alias(f"m{x}"))
-        rest = rest.join(side, [x, f"comp_{x}"])
-    last = verify(rest.select(F.col("ma").alias("a"), F.col("mb").alias("b")))
-    return merge_components(labels, written(last, "links"))
+    met = entries.join(mixed.select("token"), "token", "left_semi").join(member_comps, "grp").join(sketches, "node")
+    left = written(met.select("token", "node", "comp", "n", "rest", "bits"), "open-entries")
+    one, two = (
+        left.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "rest", "bits")))
+        for x in "ab"
+    )
+    apart = (F.col("comp_a") < F.col("comp_b")) & long_enough("na", "nb") & difference_possible()
+    rest = one.join(two, "token").where(apart).select("a", "b").distinct()
+    return merge_components(labels, written(verify(rest), "links", VERIFY_ROWS))

@@ -28,11 +28,21 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cuts lineage: the rows as a Parquet table in the shared folder."""
+def written(df: DataFrame, name: str, batch_rows: int | None = None, **options: str) -> DataFrame:
+    """Cuts lineage: the rows as a Parquet table in the shared folder.
+
+    batch_rows: how many rows go to Python at once meanwhile, where rows are large.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.options(**options).parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, str(batch_rows))
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(key, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,17 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.llm.bucket_links import link_buckets
+from clausedelta.llm.bucket_links import VERIFY_ROWS, link_buckets, sketch
 from clausedelta.llm.common import parts_for, written
 from clausedelta.llm.components import merge_components
 from clausedelta.llm.segments import gather, slices, texts_of
 from clausedelta.llm.shingles import finish, shingle_sets
 
-SHARD_BYTES = 24 << 20
+SHARD_BYTES, SLICE = 12 << 20, 6 << 20
 CELLS = "shard int, docs array<bigint>, counts array<int>, hashes binary, ranks binary"
 SETS = (
     "doc_id bigint, n_shingles bigint, unshared bigint, set_key binary, group_key binary, "
-    "prefix array<bigint>, tokens binary"
+    "prefix array<bigint>, tokens binary, bits array<bigint>"
 )
 
 
@@ -63,12 +63,19 @@ def by_shard(shard: np.ndarray, docs: np.ndarray, shards: int, *values: np.ndarr
             yield s, mine[first], np.diff(np.append(first, len(mine))), *(v[part] for v in values)
 
 
+def give_back() -> None:
+    """Freed Arrow memory goes back to the system: the worker shares its executor's memory with the JVM."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    pa.default_memory_pool().release_unused()
+
+
 def sharded_sets(docs: DataFrame, shards: int) -> DataFrame:
     """CELLS: hashes by range, document after document; sizes of the sets go to shard + document bucket."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 sets = list(shingle_sets(texts_of(part, "text")))
                 sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
@@ -98,6 +105,7 @@ def shared_only(shards: int):
     """Of a hash range, the hashes that occur twice or more, dealt out to the documents' buckets with log2 of how often."""
 
     def keep(table: pa.Table) -> pa.Table:
+        give_back()
         if table["shard"][0].as_py() >= shards:
             return table.set_column(0, "shard", pa.array([table["shard"][0].as_py() - shards] * len(table), pa.int32()))
         counts, hashes = numbers(table["counts"], np.int64), numbers(table["hashes"], np.uint64)
@@ -106,6 +114,7 @@ def shared_only(shards: int):
         ranked = hashes[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         often = np.diff(np.append(first, len(ranked)))
+        del ranked
         kept = order[gather(first[often > 1], often[often > 1])]
         rank = np.log2(np.repeat(often[often > 1], often[often > 1])).astype(np.uint8)
         by_doc = np.lexsort((hashes[kept], docs[kept]))
@@ -121,6 +130,7 @@ def shared_only(shards: int):
 
 def document_sets(table: pa.Table) -> pa.Table:
     """SETS of the documents of a bucket: shared shingles rare first, the shared part of the prefix, and keys."""
+    give_back()
     sized = table.filter(pa.compute.is_null(table["hashes"]))
     ids, at = np.unique(numbers(sized["docs"], np.int64), return_inverse=True)
     sizes = np.bincount(at, weights=numbers(sized["counts"], np.int64), minlength=len(ids)).astype(np.int64)
@@ -139,14 +149,14 @@ def document_sets(table: pa.Table) -> pa.Table:
     for i, doc in enumerate(ids.tolist()):
         n, k = int(sizes[i]), int(prefix[i])
         if n == 0 or k <= 0:
-            rows.append((doc, n, None, None, None, None, None))
+            rows.append((doc, n, None, None, None, None, None, None))
             continue
         tokens = hashes[ends[i] - shared[i] : ends[i]]
         rest = n - len(tokens)
         key = xxhash.xxh3_128_digest(tokens.tobytes() + n.to_bytes(8, "little")) if not rest else doc.to_bytes(8, "little", signed=True)
         group = xxhash.xxh3_128_digest(tokens[:k].tobytes() + n.to_bytes(8, "little"))
-        rows.append((doc, n, rest, key, group, tokens[:k].view(np.int64), tokens.tobytes()))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+        rows.append((doc, n, rest, key, group, tokens[:k].view(np.int64), tokens.tobytes(), sketch(tokens)))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
     names = [x.split()[0] for x in SETS.split(", ")]
     cols = list(zip(*rows, strict=True)) or [[] for _ in types]
     return pa.table([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
@@ -165,6 +175,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: of the pairs, those with 100 * intersection >= 80 * union. Equal keys never get here twice."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             keep = []
             for na, ta, nb, tb in zip(batch["na"].to_pylist(), batch["ta"], batch["nb"].to_pylist(), batch["tb"], strict=True):
@@ -197,9 +208,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         "entries",
     )
     inside = members.where("class_id <> grp").select(F.col("grp").alias("a"), F.col("class_id").alias("b"))
-    labels = merge_components(labels, written(verified(inside, live), "links"))
+    labels = merge_components(labels, written(verified(inside, live), "links", VERIFY_ROWS))
     nodes = members.select("grp", F.col("class_id").alias("node"))
-    labels = link_buckets(entries, nodes, labels, lambda pairs: verified(pairs, live))
+    sketches = live.select(F.col("doc_id").alias("node"), F.col("unshared").alias("rest"), "bits")
+    labels = link_buckets(entries, nodes, labels, lambda pairs: verified(pairs, live), sketches)
 
     known = live.select("doc_id", "set_key").join(classes.select("set_key", "class_id"), "set_key").select("doc_id", "class_id")
     placed = written(known.join(labels.select(F.col("node").alias("class_id"), "comp"), "class_id"), "placed")

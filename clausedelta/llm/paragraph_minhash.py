@@ -1,7 +1,7 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
 A paragraph is a line of at least MIN_WORDS words. Its word shingles give BANDS x ROWS MinHash values;
-at similarity 0.8 two paragraphs share a band with probability 1 - (1 - 0.8^3)^8 = 0.997. Paragraphs
+at similarity 0.8 two paragraphs share a band with probability 1 - (1 - 0.8^5)^14 = 0.996. Paragraphs
 that meet in a band are verified by exact Jaccard and clustered by components. Passages inside long
 lines are found by their pieces: a line of LONG_WORDS or more is also cut where a hash of three words is
 smallest within REACH words on both sides, and pieces are compared as a whole, similarity 1.
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.llm.bucket_links import link_buckets
+from clausedelta.llm.bucket_links import SKETCH_LONGS, link_buckets, sketch
 from clausedelta.llm.common import written
 from clausedelta.llm.segments import gather, slices, texts_of
 from clausedelta.llm.shingles import GOLDEN, finish, shingle_sets, window_hashes, word_hashes
 
 MIN_WORDS, LONG_WORDS, MIN_PIECE, REACH = 20, 50, 8, 6
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 14, 5
 UNITS = "doc_id bigint, node bigint, start int, stop int, n_shingles int, bands array<bigint>"
 
 
@@ -156,6 +156,20 @@ def verified(pairs: DataFrame, passages: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a bigint, b bigint")
 
 
+def passage_sketches(passages: DataFrame) -> DataFrame:
+    """node, rest (0), bits of the shingle set of each passage."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [sketch(s) for s in shingle_sets(batch["passage"].cast(pa.large_string()))]
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *bits]))
+            steps = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * SKETCH_LONGS)
+            zero = pa.array(np.zeros(len(bits), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch["node"], zero, pa.ListArray.from_arrays(steps, flat)], ["node", "rest", "bits"])
+
+    return written(passages.mapInArrow(cut, "node bigint, rest bigint, bits array<bigint>"), "sketches")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop (characters), kind, cluster_id, removed: every occurrence in a cluster of two documents or more."""
     found = written(units(docs), "units", compression="zstd")
@@ -177,7 +191,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "passages", compression="zstd",
     )
     labels = members.select("node", F.col("node").alias("comp"))
-    labels = link_buckets(entries, members, labels, lambda pairs: verified(pairs, passages))
+    labels = link_buckets(entries, members, labels, lambda pairs: verified(pairs, passages), passage_sketches(passages))
 
     placed = found.select("doc_id", "node", "start", "stop", F.when(F.col("bands").isNull(), "piece").otherwise("paragraph").alias("kind"))
     moved = labels.where("node <> comp")
