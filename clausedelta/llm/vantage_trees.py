@@ -1,9 +1,12 @@
 """Nearest neighbours by inner product: vantage-point trees per shard.
 
-Inner product becomes a distance by one more component, sqrt(M^2 - |x|^2) with M the largest norm, 0 for
-a query; then the nearest by distance are those of largest inner product. A node keeps the range of
+Inner product becomes a distance by one more component, sqrt(M^2 - |x|^2) with M the tree's largest norm,
+0 for a query; then the nearest by distance are those of largest inner product. A node keeps the range of
 distances to its vantage point in both halves; a half is skipped when the triangle inequality puts it
 beyond the k-th best: bound * factor > distance. Factor 1 is the exact search, larger ones skip more.
+How much a factor loses depends on the norms, so none is trusted: for every (tree, block of queries) the
+first SAMPLE_QUERIES of the block by hash of their id are also compared with all rows of the tree, and the
+factor goes down the FACTORS until they have MEASURED_RECALL of their true k best there, to 1 if need be.
 
 Vectors are dealt to shards by a hash of their id, so a vector that a third of all rows share is spread;
 a shard's tree is one row of the index. Queries go in blocks to every shard: a join on the shard, one
@@ -25,17 +28,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausedelta.llm.common import parts_for, written
+from clausedelta.llm.shingles import finish
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 2048, 128
+SAMPLE_QUERIES, MEASURED_RECALL, FACTORS = 64, 0.95, (4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25)
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
 class Tree:
     """Nodes (vantage point, left, right, ranges of distance of both) or leaves (rows from, to)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float) -> None:
-        self.largest = largest
-        rest = np.sqrt(np.maximum(largest**2 - (vectors**2).sum(axis=1), 0))
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        squares = (vectors**2).sum(axis=1)
+        self.largest = np.sqrt(squares.max())
+        rest = np.sqrt(np.maximum(squares.max() - squares, 0))
         full = np.hstack([vectors, rest[:, None]])
         order, self.nodes, self.points = np.arange(len(ids)), [], []
         self.root = self.grow(full, order, 0, len(ids))
@@ -110,6 +116,23 @@ class Search:
         self.found[who] = np.take_along_axis(found, best, axis=1)
 
 
+def safe_factor(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> float:
+    """The largest of factor and the smaller FACTORS that keeps MEASURED_RECALL on sampled queries; else 1."""
+    some = np.argsort(finish(ids.astype(np.uint64)), kind="stable")[:SAMPLE_QUERIES]
+    ids, queries = ids[some], queries[some]
+    inner = queries @ tree.vectors.T
+    inner[tree.ids == ids[:, None]] = -np.inf
+    k = min(k, inner.shape[1])
+    last = -np.partition(-inner, k - 1, axis=1)[:, k - 1 : k]
+    real = np.isfinite(inner).sum(axis=1).clip(max=k).sum()
+    for f in (factor, *(f for f in FACTORS if f < factor)):
+        scores = Search(tree, ids, queries, k, f).scores
+        hits = np.isfinite(scores) & (scores >= last - 1e-9 * np.abs(np.where(np.isfinite(last), last, 0)))
+        if f <= 1 or hits.sum() >= MEASURED_RECALL * real:
+            return f
+    return 1.0
+
+
 def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
@@ -128,14 +151,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def build_index(rows: DataFrame) -> DataFrame:
     """shard, tree: one tree of about SHARD_ROWS vectors per row, written."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    total, largest = rows.agg(F.count("*"), F.max(norm)).first()
-    shards = parts_for(total, SHARD_ROWS, 1)
+    shards = parts_for(rows.count(), SHARD_ROWS, 1)
 
     def build(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        tree = Tree(ids[order], matrix(table["v"], len(ids))[order], largest)
+        tree = Tree(ids[order], matrix(table["v"], len(ids))[order])
         raw = pickle.dumps(tree, protocol=5)
         return pa.table([table["shard"][:1], pa.array([raw], pa.binary())], names=["shard", "tree"])
 
@@ -158,14 +179,14 @@ def query_blocks(queries: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, factor: float) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best found of every query."""
+    """query_id, rank, vec_id, score: the k best found of every query; `factor` is the largest one tried."""
     blocks = query_blocks(queries)
 
     def find(table: pa.Table) -> pa.Table:
         tree = pickle.loads(table["tree"][0].as_py())
         ids = np.array(table["ids"][0].as_py(), dtype=np.int64)
         data = np.frombuffer(table["data"][0].as_buffer(), dtype=np.float64).reshape(len(ids), -1)
-        done = Search(tree, ids, data, k, factor)
+        done = Search(tree, ids, data, k, safe_factor(tree, ids, data, k, factor))
         real = np.isfinite(done.scores)
         return pa.table(
             [pa.array(np.repeat(ids, k)[real.ravel()]), pa.array(done.found[real]), pa.array(done.scores[real])],

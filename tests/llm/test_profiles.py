@@ -143,6 +143,24 @@ def test_vantage_trees(spark, monkeypatch, factor, recall):
         assert all(got[q] == want for q, want in nearest(np.arange(1000), x, range(0, 1000, 50), 7))
 
 
+@pytest.mark.parametrize("kind", ["outlier", "lognormal", "gaussian"])
+def test_vantage_trees_when_norms_differ(spark, kind):
+    """A tree of many splits, at the factor of the registered query."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 24))
+    if kind != "gaussian":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        x *= rng.lognormal(0, 0.3, size=(6000, 1)) if kind == "lognormal" else 1
+    x[17] *= 3 if kind == "outlier" else 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    df = vt.usable(df, "vec_id", "embedding")
+    got = {}
+    for r in vt.search(vt.build_index(df), df.where("vec_id % 30 = 0"), 20, 5.0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & set(want)) / 20 for q, want in nearest(np.arange(6000), x, range(0, 6000, 30), 20)]
+    assert np.mean(hits) >= 0.9
+
+
 def test_vantage_query(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], dtype=float)
