@@ -100,6 +100,42 @@ def test_paragraphs(odd_docs, no_docs):
     assert paragraph_minhash.repeated_passages(no_docs).isEmpty()
 
 
+def test_passages_of_fifty_words(spark):
+    """Exactly the words of the runs of 50 words that an earlier document has, wherever lines end."""
+    rng = random.Random(11)
+
+    def prose(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    def lined(words, least, most):
+        out = ""
+        for i, w in enumerate(words):
+            out += w + ("\n" if rng.randint(least, most) == least else " ")
+        return out
+
+    base = prose(400)
+    docs = [base, prose(60) + base[100:151] + prose(60), prose(33) + base[120:175] + prose(9), base[:70] + prose(20) + base[60:130]]
+    docs += [prose(30) + base[i : i + 50] + prose(30) for i in range(0, 340, 17)]
+    docs += [["again"] * 90 + prose(20), prose(9) + ["again"] * 70, prose(300), base[3:52] + prose(80)]
+    docs += [prose(20) + docs[1][20:125], docs[2][:80] + docs[1][70:160]]
+    texts = [lined(w, 1, 12 if i % 2 else 200) for i, w in enumerate(docs)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    first, want, got, clusters = {}, set(), set(), defaultdict(list)
+    for d, w in enumerate(docs):
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) != d:
+                want |= {(d, j) for j in range(i, i + 50)}
+    for r in paragraph_minhash.repeated_passages(df).where("kind = 'passage'").collect():
+        cut = texts[r.doc_id][r.start : r.stop]
+        before = len(texts[r.doc_id][: r.start].split())
+        clusters[r.cluster_id].append((r.doc_id, r.removed, cut.split()))
+        got |= {(r.doc_id, before + j) for j in range(len(cut.split()))} if r.removed else set()
+    assert got == want
+    for rows in clusters.values():
+        (kept,) = [(d, w) for d, removed, w in rows if not removed]
+        assert all(w == kept[1] and d > kept[0] for d, removed, w in rows if removed)
+
+
 def test_band_recall():
     recall = 1 - (1 - 0.8**paragraph_minhash.ROWS) ** paragraph_minhash.BANDS
     assert recall > 0.99
