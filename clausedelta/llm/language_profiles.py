@@ -20,9 +20,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from clausedelta.llm.segments import slices, texts_of
 
@@ -169,6 +169,60 @@ def identify(
     return rest.mapInArrow(judge, schema)
 
 
+def letter_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-case letters of all texts as code points, and the text of each."""
+    lowered = [t.lower() for t in texts]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, lowered), dtype=np.int64, count=len(texts)))
+    real = letters()[points]
+    return points[real], owner[real]
+
+
+def usual_letters(docs: DataFrame, label: str = "lang", text: str = "text", share: float = 0.99) -> np.ndarray:
+    """Whether a code point is among the commonest letters that make up `share` of a language's training letters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                names = np.array(part.column("label").to_pylist(), dtype=object)
+                points, owner = letter_points(texts_of(part, "text").to_pylist())
+                for name in set(names[owner]):
+                    found, n = np.unique(points[names[owner] == name], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))],
+                        ["label", "letter", "n"],
+                    )
+
+    known = docs.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).dropna()
+    counts = known.mapInArrow(count, "label string, letter int, n bigint").groupBy("label", "letter").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("label").orderBy(F.desc("n"), "letter").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = placed.withColumn("total", F.sum("n").over(Window.partitionBy("label")))
+    usual = np.zeros(0x110000, dtype=bool)
+    usual[[r[0] for r in placed.where(F.col("before") < share * F.col("total")).select("letter").distinct().collect()]] = True
+    return usual
+
+
+def count_letters(docs: DataFrame, usual: np.ndarray, out: tuple[str, str], text: str = "text") -> DataFrame:
+    """Adds how many letters a text has, and how many of them are usual ones."""
+    points = np.flatnonzero(usual)
+    rest = docs.drop(*out)
+    schema = StructType([*rest.schema.fields, *(StructField(c, LongType()) for c in out)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0x110000, dtype=bool)
+        known[points] = True
+        for batch in batches:
+            for part in slices(batch, text, SLICE):
+                found, owner = letter_points(texts_of(part, text).to_pylist())
+                n = np.bincount(owner, minlength=part.num_rows)
+                seen = np.bincount(owner[known[found]], minlength=part.num_rows)
+                columns = [*part.columns, pa.array(n.astype(np.int64)), pa.array(seen.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *out])
+
+    return rest.mapInArrow(count, schema)
+
+
 def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     """Whether a document is kept from training; a null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -4,8 +4,10 @@ Every stage works on all rows that its predecessor kept and returns the columns
 one the pieces of the packed sequences. Results of a stage are written to the shared folder and reread,
 so a lost executor costs no more than a part of one stage.
 
-Defined results. Language ID drops texts without a letter and texts like none of the languages (cosine
-below MIN_COSINE). Exact dedup keeps one row of each text, A-Z lowered, that of the largest doc_id.
+Defined results. Language ID drops texts without a letter and texts like none of the languages: those of
+which less than half the letters are usual ones (the commonest that make up 99 % of a language's training
+letters), and those of LONG_LETTERS or more whose cosine is within the noise, below MIN_COSINE. Shorter
+texts are judged by their letters alone. Exact dedup keeps one row of each text, A-Z lowered, that of the largest doc_id.
 Near dedup keeps the smallest doc_id of each group of linked documents; rows without an id stay. Texts
 whose personal data is replaced get a new n_chars, where that column exists. Null text is without a
 letter. Columns of any name pass through unchanged. An empty table gives an empty result.
@@ -20,17 +22,20 @@ from pyspark.sql import functions as F
 
 from clausedelta.llm.common import ascii_lower, read_table, written
 
-MIN_COSINE = 0.03  # twice the spread of the cosine of unrelated random vectors at DIM = 1024, about 1/32
+MIN_COSINE = 0.125  # four times the spread of the cosine of unrelated random vectors at DIM = 1024, 1/32
+LONG_LETTERS = 100  # a shorter clean text can share too few trigrams with its language to stand out of the noise
 SEQUENCE = 4096
 PII_KEY = b"corpus pipeline"  # of the registered query alone; a user brings a secret of their own
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from clausedelta.llm.language_profiles import UNKNOWN, held_out, identify, learn
+    from clausedelta.llm.language_profiles import UNKNOWN, count_letters, held_out, identify, learn, usual_letters
 
-    out = ("_stage_lang", "_stage_cosine")
-    judged = identify(docs, learn(docs.where(~held_out(F.col("doc_id")))), out=out)
-    return judged.where((F.col(out[0]) != UNKNOWN) & (F.col(out[1]) >= MIN_COSINE)).drop(*out)
+    out, n = ("_stage_lang", "_stage_cosine"), ("_stage_letters", "_stage_usual")
+    training = docs.where(~held_out(F.col("doc_id")))
+    judged = count_letters(identify(docs, learn(training), out=out), usual_letters(training), n)
+    like = (F.col(out[1]) >= MIN_COSINE) | (F.col(n[0]) < LONG_LETTERS)
+    return judged.where((F.col(out[0]) != UNKNOWN) & (F.col(n[1]) * 2 >= F.col(n[0])) & like).drop(*out, *n)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_languages_of_odd_documents(odd_docs, no_docs):
     assert {r.lang_pred for r in lp.identify(odd_docs, {}).collect()} == {"und"}
 
 
+def test_language_stage_drops_unlearned_scripts_and_keeps_short_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    short = ["Buy fuzzy pyjamas", "Vex jazz quiz", "Danke schön", "Merci", "¿Qué tal?"]
+    strange = [
+        "Все люди рождаются свободными и равными", "모든 인간은 태어날 때부터 자유로우며", "כל בני האדם נולדו בני חורין",
+        "人人生而自由在尊严和权利上一律平等", "सभी मनुष्य जन्म से स्वतंत्र हैं", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι",
+    ]
+    new = [(10**6 + i, t, None) for i, t in enumerate(short)]
+    new += [(2 * 10**6 + i, t, None) for i, t in enumerate([*strange, *(" ".join([t] * 20) for t in strange)])]
+    both = docs.union(spark.createDataFrame(new, docs.schema))
+    kept = {r[0] for r in corpus_pipeline.language_stage(spark, both, "").select("doc_id").collect()}
+    assert {d for d in kept if d >= 10**6} == {d for d, _, _ in new if d < 2 * 10**6}
+    assert {r[0] for r in docs.where("text rlike '[a-zA-Z]'").collect()} <= kept
+
+
 ENTITIES = [
     ("email", "hein.19@mail5.example.com"), ("phone", "+1 (743) 555-3824"), ("phone", "743-555-3824"), ("ip", "152.143.123.131"),
     ("ip", "10.1.2.3"), ("ip", "192.168.7.9"), ("card", "4111 1111 1111 1111"), ("card", "4785380592391139"), ("ssn", "123-45-6789"),
