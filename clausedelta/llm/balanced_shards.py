@@ -1,8 +1,10 @@
 """Balanced label propagation: documents move to the shards of those they are linked with.
 
-Linked nodes start spread evenly. In each round half of them (by a hash of node and round, so that two
-partners do not swap places for ever) may ask for the shard where most of their neighbours are; a
-shard grants what its row quota allows. Nodes without links fill the room that is left, so shard
+Linked nodes start spread evenly. In each round half of them (by a hash of node and pair of rounds, so that
+two partners do not swap places for ever, and the other half in the next round) may ask for the shard where
+most of their neighbours are; a shard grants what its row quota allows. Rounds go on until no node, active
+or not, has a wish, or until as many rounds as `rounds` in a row have not lowered the number of wishes:
+then quotas stand against the rest. Nodes without links fill the room that is left, so shard
 sizes differ by one row at most. Votes are joins and map-side aggregates; only the counts per
 (from, to) pair of shards, shards^2 numbers, reach the driver.
 
@@ -57,31 +59,36 @@ def propagate(linked: DataFrame, edges: DataFrame, caps: list[int], rounds: int,
     )
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = written(both.where("src <> dst"), "edges")
-    for step in range(rounds):
+    step, fewest, stale = -1, float("inf"), 0
+    while True:
+        step += 1
         near = labels.select(F.col("node").alias("dst"), F.col("shard").alias("to_shard"))
         votes = both.join(near, "dst").groupBy("src", "to_shard").agg(F.count("*").alias("votes"))
         mine = labels.select(F.col("node").alias("src"), F.col("shard").alias("from_shard"))
         best = Window.partitionBy("src").orderBy(
             F.desc("votes"), F.desc(F.col("to_shard") == F.col("from_shard")), F.asc("to_shard")
         )
-        active = F.pmod(F.xxhash64("src", F.lit(step)), F.lit(2)) == 0
+        active = F.pmod(F.xxhash64("src", F.lit(step // 2)), F.lit(2)) == step % 2
         wishes = written(
-            votes.join(mine.where(active), "src")
+            votes.join(mine, "src")
             .withColumn("place", F.row_number().over(best))
             .where("place = 1 and to_shard <> from_shard")
-            .select("src", "from_shard", "to_shard"),
+            .select("src", "from_shard", "to_shard", active.alias("active")),
             "wishes",
         )
-        wanted = {(r[0], r[1]): r[2] for r in wishes.groupBy("from_shard", "to_shard").count().collect()}
+        counts = wishes.groupBy("active", "from_shard", "to_shard").count().collect()
+        left = sum(r["count"] for r in counts)
+        fewest, stale = (left, 0) if left < fewest else (fewest, stale + 1)
+        if not left or stale >= rounds:
+            break
+        wanted = {(r[1], r[2]): r[3] for r in counts if r[0]}
         if not wanted:
-            if step:
-                break
             continue
         held = [0] * shards
         for r in labels.groupBy("shard").count().collect():
             held[r[0]] = r[1]
         granted = quotas(wanted, held, caps)
-        moves = ranked(wishes, ["from_shard", "to_shard"], "src", chunks, "r").where(
+        moves = ranked(wishes.where("active").drop("active"), ["from_shard", "to_shard"], "src", chunks, "r").where(
             F.col("r") < by_pair(granted, "from_shard", "to_shard")
         )
         labels = written(

@@ -173,3 +173,10 @@ def test_shards(spark, odd_docs, no_docs):
     assert together >= 70  # of 80 pairs; 1 in 24 by chance
     hot = Counter(shard[i] for i in range(960, 1440))
     assert max(hot.values()) >= 50  # the hot group gathers in one shard, up to the quota of 60 less what else is there
+
+
+def test_shards_join_every_pair(spark):
+    texts = [f"text {i}" for i in range(1600)] + [f"pair {i // 2}" for i in range(1600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    shard = {r.doc_id: r.shard for r in balanced_shards.shard_documents(docs, 8).collect()}
+    assert [i for i in range(1600, 3200, 2) if shard[i] != shard[i + 1]] == []
