@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import tempfile
 import time
 
@@ -39,17 +40,22 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     given, sf_dir = sf_dir, split_tables(spark, sf_dir, spark.sparkContext.defaultParallelism)
     REGISTERED["q07_page_landing_scan"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    seconds = {}
+    seconds, failed = {}, {}
     for name in HEADLINE:
         if only and only not in name:
             continue
         start = time.time()
-        REGISTERED[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            REGISTERED[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # noqa: BLE001
+            failed[name] = str(exc)[:300]
+            continue
         seconds[name] = round(time.time() - start, 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(given.rstrip("/")),
+        "queries": seconds, "sf": os.path.basename(given.rstrip("/")), **({"failed": failed} if failed else {}),
     }))
+    sys.exit(bool(failed))
 
 
 if __name__ == "__main__":

@@ -59,3 +59,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in its form."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    files, at = file_system(spark, path)
+    files.delete(at, True)
+
+
+class Scratch:
+    """Intermediate tables of one job, dropped when it has written its results."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, work_path(spark, "scratch")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop_path(self.spark, self.root)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")

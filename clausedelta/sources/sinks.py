@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from clausedelta.session import drop_path, file_system
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -24,6 +27,34 @@ def read_batches(spark: SparkSession, path: str, schema: str | None = None, befo
     return df if before is None else df.where(F.col("batch_id") < before)
 
 
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose folder is complete, ascending; one listing, no data is read."""
+    files, at = file_system(spark, path)
+    if not files.exists(at):
+        return []
+    names = [(s.getPath(), s.getPath().getName()) for s in files.listStatus(at)]
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n[9:]) for p, n in names if n.startswith("batch_id=") and files.exists(mark(p, "_SUCCESS")))
+
+
+def read_batch(spark: SparkSession, path: str, schema: T.StructType | str, batch_id: int | None) -> DataFrame:
+    """Rows of one batch folder, without the others being listed; none if there is no such batch."""
+    if batch_id is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
+
+
+def newest_before(spark: SparkSession, path: str, batch_id: int) -> int | None:
+    return max((b for b in batch_ids(spark, path) if b < batch_id), default=None)
+
+
+def drop_older(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Drop the folders of a table that each batch writes anew, but the two newest up to the batch:
+    the one before it serves when the batch is run again."""
+    for old in [b for b in batch_ids(spark, path) if b <= batch_id][:-2]:
+        drop_path(spark, f"{path}/batch_id={old}")
+
+
 def append_snapshots(snapshots: DataFrame, path: str) -> None:
     """Append snapshot rows, partitioned by the day they were crawled."""
     dated = snapshots.withColumn("crawl_date", F.to_date("crawled_at"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clausedelta.operators.billing import default_next_billing, fold_subscriptions, normalize_events
@@ -13,20 +14,44 @@ from clausedelta.plans.ingest import ingest_batch
 from clausedelta.sources.sinks import append_batch
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
+    """A Parquet table as a stream of its files, be it one file or a folder of them.
+
+    The last letter as a class makes the path a pattern with one match. A stream of a pattern lists that
+    match, file or folder; a plain path would have to be a folder.
+    """
+    return spark.readStream.schema(schema).options(**options).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def stream_ingest(
-    fetches: DataFrame, store: str, checkpoint: str, pages: Callable[[SparkSession], DataFrame] | None = None
+    fetches: DataFrame, store: str, checkpoint: str,
+    pages: DataFrame | Callable[[SparkSession], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Run every micro-batch of landed fetches through the ingest batch.
 
-    ``pages`` reads the page texts that have landed by then. A repeated batch id
-    replaces its own output, so a restart is safe.
+    ``pages`` is a second stream, of page texts: both inputs go into the same batches, and whichever side
+    of a paged document comes first waits in the store for the other. A function that reads all page texts
+    landed so far may stand in for it. A repeated batch id replaces its own output, so a restart is safe.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ingest_batch(spark, batch, store, batch_id, None if pages is None else pages(spark))
+    if not isinstance(pages, DataFrame):
+        def run(batch: DataFrame, batch_id: int) -> None:
+            spark = batch.sparkSession
+            ingest_batch(spark, batch, store, batch_id, None if pages is None else pages(spark))
+
+        both = fetches
+    else:
+        one, two = (F.struct(*df.columns) for df in (fetches, pages))
+        none = lambda df: F.lit(None).cast(df.schema)
+        both = fetches.select(one.alias("fetch"), none(pages).alias("page")).unionByName(
+            pages.select(none(fetches).alias("fetch"), two.alias("page"))
+        )
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            rows, texts = (batch.where(F.col(c).isNotNull()).select(f"{c}.*") for c in ("fetch", "page"))
+            ingest_batch(batch.sparkSession, rows, store, batch_id, arrived=texts)
 
     return (
-        fetches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        both.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 

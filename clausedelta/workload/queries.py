@@ -835,8 +835,7 @@ def q100_overview(spark, sf):
 
 
 def _stream(spark, sf, name):
-    schema = views.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return streams.table_stream(spark, f"{sf}/{name}.parquet", views.table(spark, sf, name).schema)
 
 
 @query

@@ -135,3 +135,109 @@ def test_register_and_status(spark):
     hashes = vs.hashed(fetches(spark, ROWS[:3]))
     row = vs.document_status(hashes, vs.assign_versions(vs.detect_changes(hashes))).first()
     assert (str(row.last_crawled_at), str(row.last_changed_at), row.versions) == ("2024-01-03 00:00:00", "2024-01-03 00:00:00", 2)
+
+
+def files_of(df):
+    return {f.rsplit("batch_id=", 1)[1].split("/")[0] for f in df.inputFiles()}
+
+
+def test_history_is_neither_read_nor_written_again(spark, monkeypatch):
+    """Three batches: the third reads the folder that holds the previous version, and no file of the first two changes."""
+    import glob
+    import os
+
+    from clausedelta.plans import ingest
+
+    store = work_path(spark, "t")
+    url = "https://t.gov/d"
+    batches = [
+        [("a", 1, "2024-01-01", A, url), ("b", 2, "2024-01-01", A, url), ("c", 3, "2024-01-01", A, url)],
+        [("a", 4, "2024-01-02", B, url), ("b", 5, "2024-01-02", A, url)],
+        [("a", 6, "2024-01-03", A, url), ("b", 7, "2024-01-03", A, url)],
+    ]
+    read = []
+    plain = ingest.previous_texts
+    monkeypatch.setattr(ingest, "previous_texts", lambda *a: read.append(plain(*a)) or read[-1])
+    state = lambda: {f: (os.stat(f).st_mtime_ns, os.stat(f).st_size) for f in glob.glob(f"{store}/**/*.parquet", recursive=True)}
+    for i, rows in enumerate(batches):
+        before = {f: x for f, x in state().items() if "/waiting/" not in f}
+        ingest_batch(spark, fetches(spark, rows), store, i)
+        assert before.items() <= state().items()
+    stored = [p for p in (r.inputFiles() for r in read) if p]
+    assert len(stored) == 2 and all("batch_id=0" in f for f in stored[0] if "/snapshots/" in f)
+    assert {f.split("batch_id=")[1][0] for f in stored[1] if "/snapshots/" in f} == {"1"}
+    assert [x[:2] for x in summary(spark, store)] == [("a", 2), ("a", 3)]
+    latest = {r.document_id: (r.version, r.in_batch) for r in ingest.latest_state(spark, store).read(3, fetches(spark, sum(batches, []))).collect()}
+    assert latest == {"a": (3, 2), "b": (1, 0), "c": (1, 0)}
+
+
+def test_state_folds_generations(spark, monkeypatch):
+    """A part with many generations is folded; a batch that is run again gives the same; folders no manifest names go."""
+    import glob
+
+    from clausedelta.sources import state as st
+
+    monkeypatch.setattr(st, "MOST_GENERATIONS", 3)
+    path = work_path(spark, "state")
+    state = st.KeyedState(spark, path, "k string, v int, x string", "k", "v", parts=2)
+    want = {}
+    for i in range(9):
+        rows = [(f"k{j}", i, f"x{i}") for j in range(i, i + 5)]
+        want |= {r[0]: r[1:] for r in rows}
+        for _ in range(2):
+            state.write(i, spark.createDataFrame(rows, "k string, v int, x string"))
+        before = state.read(i, spark.createDataFrame(rows, "k string, v int, x string"))
+        assert {(r.k, r.v) for r in before.collect()} == {(f"k{j}", i - 1) for j in range(i, i + 4) if i}
+    keys = spark.createDataFrame([(k,) for k in [*want, "none"]], "k string")
+    assert {r.k: (r.v, r.x) for r in state.read(9, keys).collect()} == want
+    assert len(state.places(8)) <= 2 * 3 and len(glob.glob(f"{path}/rows/*/part=0")) < 9
+
+
+PAGE = "document_id string, fetch_id bigint, page_no int, page_text string, page_count int"
+
+
+def test_late_pages_meet_their_waiting_fetch_in_the_stream(spark):
+    """Two stream inputs: a fetch waits for its last page, pages wait for their fetch, nothing is handed in again."""
+    landing, texts, store = work_path(spark, "landing"), work_path(spark, "texts"), work_path(spark, "t")
+    late = [("p", 1, "2024-01-01", "%PDF", "https://t.gov/p.pdf"), ("q", 2, "2024-01-01", "%PDF", "https://t.gov/q.pdf")]
+    steps = [
+        ([late[0], ROWS[0]], [("p", 1, 1, "page one", 2), ("q", 2, 1, "early page", 1)]),
+        ([ROWS[2]], [("x", 9, 1, "no fetch yet", None)]),
+        ([late[1]], [("p", 1, 2, "page two", 2), ("p", 1, 1, "page one", 2)]),
+        ([("p", 3, "2024-02-01", "%PDF2", "https://t.gov/p.pdf")], [("p", 3, 1, "page one changed", None)]),
+    ]
+    seen = []
+    for rows, pages in steps:
+        df, page = fetches(spark, rows), spark.createDataFrame(pages, PAGE)
+        df.coalesce(1).write.mode("append").parquet(landing)
+        page.coalesce(1).write.mode("append").parquet(texts)
+        streams = (spark.readStream.schema(x.schema).parquet(p) for x, p in ((df, landing), (page, texts)))
+        first, second = streams
+        stream_ingest(first, store, f"{store}/_check", second).awaitTermination(180)
+        seen.append({(r.document_id, r.version) for r in read_batches(spark, f"{store}/snapshots").collect()})
+    assert seen == [{("d", 1)}, {("d", 1), ("d", 2)}, {("d", 1), ("d", 2), ("p", 1), ("q", 1)}, {("d", 1), ("d", 2), ("p", 1), ("p", 2), ("q", 1)}]
+    got = {(r.document_id, r.version): r.cleaned_text for r in read_batches(spark, f"{store}/snapshots").collect()}
+    assert got["p", 1] == "page one\n\npage two" and got["q", 1] == "early page" and got["p", 2] == "page one changed"
+    newest = max(r.batch_id for r in read_batches(spark, f"{store}/pages").select("batch_id").distinct().collect())
+    left = read_batches(spark, f"{store}/pages").where(F.col("batch_id") == newest).collect()
+    assert [r.document_id for r in left] == ["x"]
+    assert [(r.document_id, r.reason) for r in read_batches(spark, f"{store}/rejects").orderBy("document_id").collect()] == [("p", "no page texts")]
+
+
+def test_table_streams_of_either_layout(spark):
+    import glob
+    import shutil
+
+    from clausedelta.streaming.ingest import table_stream
+
+    root = work_path(spark, "layout")
+    df = spark.range(100).selectExpr("id", "cast(id as string) as s")
+    df.repartition(4).write.parquet(f"{root}/folder.parquet")
+    df.coalesce(1).write.parquet(f"{root}/one")
+    shutil.copy(glob.glob(f"{root}/one/part-*.parquet")[0], f"{root}/single.parquet")
+    shutil.copy(f"{root}/single.parquet", f"{root}/a-single.parquet")  # a neighbour with a like name
+    for name in ("folder", "single"):
+        stream = table_stream(spark, f"{root}/{name}.parquet", df.schema, maxFilesPerTrigger="1")
+        out = f"{root}/out-{name}"
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start().awaitTermination(120)
+        assert spark.read.parquet(out).orderBy("id").collect() == df.collect()
