@@ -168,16 +168,19 @@ def _card_id(prefix: Column, id_: Column, section: Column | None = None) -> Colu
     return F.replace(F.concat(*parts), F.lit(" "), F.lit("-"))
 
 
-def result_cards(diffs: DataFrame, snapshots: DataFrame) -> DataFrame:
+def result_cards(diffs: DataFrame, snapshots: DataFrame, scored: bool = False) -> DataFrame:
     """Cards of found diffs and snapshots, with what ordered_cards sorts by.
 
-    Word changes are computed here, for the clauses of the found diffs only.
+    With ``scored`` the segments of modified clauses are their word changes, compared for the clauses of the
+    found diffs; otherwise the whole new text.
     Order: diffs newest first, in each modified, added, removed; then snapshots.
     """
-    c = score_changes(
+    c = (
         exploded(diffs, "changes", "_pos", "c", ["id", "generated_at", "doc_title", "doc_url", "source_name"])
         .select("*", "c.change_type", "c.identifier", "c.section_number", "c.old_text", "c.new_text").drop("c")
     )
+    none = F.lit(None).cast("array<struct<op:string,text:string>>")
+    c = score_changes(c) if scored else c.withColumn("word_deltas", none)
     kind = F.col("change_type")
     section = F.coalesce(non_blank(F.col("identifier")), non_blank(F.col("section_number")), F.lit("Section"))
     shown = F.coalesce(F.when(kind == "removed", F.col("old_text")).otherwise(F.col("new_text")), F.lit(""))

@@ -363,6 +363,12 @@ def all_queries() -> dict[str, str]:
       SELECT f.id, document_id, version, r.title AS doc_title, s.name AS source_name, {o._ts('crawled_at')}
       FROM snapshots f SEMI JOIN hit USING (id) JOIN registry r USING (document_id) LEFT JOIN sources s ON r.source_id = s.id
       ORDER BY f.crawled_at DESC, f.id LIMIT 30""")
+    q["q66_search_diff_terms"] = w(DIFFS + f""",
+      dpostings AS ({_postings('dtext', 'diff_text')}),
+      dhit AS (SELECT id FROM dpostings WHERE term IN ('new', 'clause', 'modified') GROUP BY 1 HAVING count(*) = 3)""", f"""
+      SELECT d.id, document_id, version, title AS doc_title, s.name AS source_name, {o._ts('generated_at')}
+      FROM dtext d SEMI JOIN dhit USING (id) JOIN registry r USING (document_id) LEFT JOIN sources s ON r.source_id = s.id
+      ORDER BY d.generated_at DESC, d.id LIMIT 30""")
     q["q67_result_cards"] = w(DIFFS, f'SELECT card_id, type, entity, doc, section, md5("full") AS full_md5, url, {o._ts("ts")} FROM cards')
     q["q68_snapshot_preview"] = w(o.SNAPSHOTS, """SELECT id, CASE WHEN length(cleaned_text) > 240 THEN left(cleaned_text, 240) || '...' ELSE cleaned_text END AS card_preview,
       CASE WHEN length(cleaned_text) > 300 THEN left(cleaned_text, 300) || '...' ELSE cleaned_text END AS page_preview FROM snapshots""")

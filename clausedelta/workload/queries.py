@@ -13,9 +13,10 @@ from clausedelta.functions import urls as ur
 from clausedelta.functions.html import with_html_text
 from clausedelta.functions.stages import with_computed
 from clausedelta.operators import billing, changes, health, links, pages, search, versions
+from clausedelta.operators import stored_search as stored
 from clausedelta.plans.ingest import ingest_batch
 from clausedelta.plans.overview import overview
-from clausedelta.plans.search_request import search_request
+from clausedelta.plans.search_request import stored_cards, stored_search_request
 from clausedelta.session import work_path, written
 from clausedelta.sources import catalogue, feeds, landing, listings, sinks
 from clausedelta.streaming import ingest as streams
@@ -545,47 +546,57 @@ def _diffs(spark, sf):
     )
 
 
+def _store(spark, sf, snapshots=True, diffs=True, index=False):
+    """The snapshots and diffs stored as the ingest leaves them: each computed once, whatever a search reads of it."""
+    store = stored.SearchStore(spark, work_path(spark, "search"), buckets=16)
+    store.add(0, views.snapshots(spark, sf) if snapshots else None, _diffs(spark, sf) if diffs else None, index)
+    return store
+
+
 @query
 def q61_search_snapshots_substring(spark, sf):
-    found = search.search_snapshots(
-        views.snapshots(spark, sf), views.registry(spark, sf), views.sources(spark, sf), " AMENDED "
+    found = _store(spark, sf, diffs=False).containing(
+        stored.SNAPSHOTS, " AMENDED ", views.registry(spark, sf), views.sources(spark, sf), columns=["version"]
     )
     return found.select("id", "document_id", "version", "doc_title", "doc_url", "source_name", "source_state", "crawled_at")
 
 
 @query
 def q62_search_diffs_substring(spark, sf):
-    found = search.search_diffs(_diffs(spark, sf), views.registry(spark, sf), views.sources(spark, sf), "added CLAUSE")
+    found = _store(spark, sf, snapshots=False).containing(
+        stored.DIFFS, "added CLAUSE", views.registry(spark, sf), views.sources(spark, sf), columns=["version"]
+    )
     return found.select("id", "document_id", "doc_title", "source_name", "generated_at")
 
 
 @query
 def q63_term_index(spark, sf):
-    return search.term_index(views.snapshots(spark, sf), ["id"], "cleaned_text")
+    return _store(spark, sf, diffs=False, index=True).postings(stored.SNAPSHOTS)
 
 
 @query
 def q65_diff_term_index(spark, sf):
-    return search.term_index(search.diff_text(_diffs(spark, sf)), ["id"], "diff_text")
+    return _store(spark, sf, snapshots=False, index=True).postings(stored.DIFFS)
 
 
 @query
 def q66_search_all_terms(spark, sf):
-    rows = views.snapshots(spark, sf)
-    postings = search.term_index(rows, ["id"], "cleaned_text")
-    found = search.search_index(
-        postings, rows, views.registry(spark, sf), views.sources(spark, sf), "The amended Clause 5", "crawled_at"
+    found = _store(spark, sf, diffs=False, index=True).with_terms(
+        stored.SNAPSHOTS, "The amended Clause 5", views.registry(spark, sf), views.sources(spark, sf), columns=["version"]
     )
     return found.select("id", "document_id", "version", "doc_title", "source_name", "crawled_at")
 
 
-def _cards(spark, sf, kind="all"):
-    diffs, rows = _diffs(spark, sf), views.snapshots(spark, sf)
-    docs, src = views.registry(spark, sf), views.sources(spark, sf)
-    found = search.result_cards(
-        search.search_diffs(diffs, docs, src, "amended"), search.search_snapshots(rows, docs, src, "amended")
+@query
+def q66_search_diff_terms(spark, sf):
+    found = _store(spark, sf, snapshots=False, index=True).with_terms(
+        stored.DIFFS, "new Clause, modified", views.registry(spark, sf), views.sources(spark, sf), columns=["version"]
     )
-    return search.filter_by_type(found, kind)
+    return found.select("id", "document_id", "version", "doc_title", "source_name", "generated_at")
+
+
+def _cards(spark, sf, kind="all"):
+    return stored_cards(_store(spark, sf), views.registry(spark, sf), views.sources(spark, sf), "amended", kind)
 
 
 @query
@@ -607,11 +618,7 @@ def q69_filter_by_type(spark, sf):
 
 @query
 def q70_search_totals(spark, sf):
-    docs, src = views.registry(spark, sf), views.sources(spark, sf)
-    return search.search_totals(
-        search.search_diffs(_diffs(spark, sf), docs, src, "amended"),
-        search.search_snapshots(views.snapshots(spark, sf), docs, src, "amended"),
-    )
+    return _store(spark, sf).totals("amended", views.registry(spark, sf))
 
 
 def _access(spark, sf):
@@ -628,18 +635,14 @@ def _access(spark, sf):
 def q71_gate_results(spark, sf):
     # Whether the viewer has access is decided from the users table.
     allowed = _access(spark, sf).where("user_id = '17'").agg(F.coalesce(F.bool_or("has_access"), F.lit(False)).alias("ok"))
-    shown = search_request(
-        views.snapshots(spark, sf), _diffs(spark, sf), views.registry(spark, sf), views.sources(spark, sf),
-        "amended", allowed.scalar(),
-    )
+    shown = stored_search_request(_store(spark, sf), views.registry(spark, sf), views.sources(spark, sf), "amended", allowed.scalar())
     return shown.select("card_id", "type", "section", "full", "is_locked")
 
 
 @query
 def q71_open_results(spark, sf):
-    shown = search_request(
-        views.snapshots(spark, sf), _diffs(spark, sf), views.registry(spark, sf), views.sources(spark, sf),
-        "amended", True, "snapshots",
+    shown = stored_search_request(
+        _store(spark, sf), views.registry(spark, sf), views.sources(spark, sf), "amended", True, "snapshots"
     )
     return shown.select("card_id", F.md5("full").alias("full_md5"), "is_locked")
 

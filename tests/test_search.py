@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from clausedelta.functions.stems import stem
 from clausedelta.operators import changes as ch
 from clausedelta.operators import search as se
-from clausedelta.plans.search_request import search_request
+from clausedelta.operators import stored_search as stored
+from clausedelta.plans.search_request import search_request, stored_search_request
 from clausedelta.session import work_path
+from clausedelta.sources.sinks import batch_ids
 
 OLD, NEW = "§ 1 Parking\nStreet parking is free.\n§ 2 Trees\nKeep.", "§ 1 Parking\nStreet parking costs 100% more_.\n§ 3 Bees\nAllowed."
 
@@ -58,7 +60,7 @@ def test_stems_of_published_examples():
 
 def test_cards_and_gate(spark):
     snaps, diffs, docs, src = tables(spark)
-    cards = se.result_cards(se.search_diffs(diffs, docs, src, "parking"), se.search_snapshots(snaps, docs, src, "parking"))
+    cards = se.result_cards(se.search_diffs(diffs, docs, src, "parking"), se.search_snapshots(snaps, docs, src, "parking"), scored=True)
     rows = se.ordered_cards(cards).collect()
     assert [r.card_id for r in rows] == ["diff-d-a-§-1-Parking", "add-d-a-§-3-Bees", "del-d-a-§-2-Trees", "snap-a-2", "snap-a-1", "snap-b-1"]
     assert {s.op for s in rows[0].segments} == {"eq", "add", "del"}
@@ -73,3 +75,55 @@ def test_cards_and_gate(spark):
     assert (totals.total_snapshots, totals.total_diffs) == (3, 1)
     shown = {r.badge: r.shown_text for r in se.diff_display(ch.clause_changes(diffs)).collect()}
     assert shown["Removed"].startswith("§ 2") and shown["Modified"].endswith("more_.")
+
+
+def search_store(spark, **options):
+    snaps, diffs, docs, src = tables(spark)
+    store = stored.SearchStore(spark, work_path(spark, "store"), **options)
+    store.add(0, snaps.where("version = 1"), diffs.limit(0))
+    store.add(1, snaps.where("version = 2"), diffs)
+    store.add(1, snaps.where("version = 2"), diffs)  # a repeated batch replaces its rows
+    return store, snaps, diffs, docs, src
+
+
+def test_stored_index_finds_what_the_postings_do(spark, monkeypatch):
+    monkeypatch.setattr(stored, "SLICE_ROWS", 2)
+    store, snaps, diffs, docs, src = search_store(spark, buckets=4)
+    for merged in (False, True):
+        if merged:
+            store.merge_lists(stored.SNAPSHOTS, 1)
+            assert [b for b in batch_ids(spark, f"{store.root}/snapshots_index")] == [1]
+        for side, rows in ((stored.SNAPSHOTS, snaps), (stored.DIFFS, se.diff_text(diffs))):
+            postings = se.term_index(rows, ["id"], side.text)
+            assert sorted(map(tuple, store.postings(side).collect())) == sorted(map(tuple, postings.select("id", "term", "tf").collect()))
+            for query in ("the Street parking", "the of", "parking zebra", "bees allowed"):
+                want = {r.id for r in se.matching_all_terms(postings, "id", query).collect()}
+                assert {r.id for r in store.ids_with_terms(side, query).collect()} == want, query
+    shown = store.with_terms(stored.SNAPSHOTS, "parking", docs, src, limit=2).collect()
+    assert sorted((r.id, r.source_name, r.cleaned_text) for r in shown) == [("a-1", "Town", OLD), ("a-2", "Town", NEW)]
+    assert store.with_terms(stored.DIFFS, "bees", docs, src).first().changes is not None
+
+
+def test_stored_search_reads_named_buckets_and_texts_once(spark):
+    store, *_, docs, src = search_store(spark, buckets=64)
+    words = dict(store.words("parking bees"))
+    plan = store.ids_with_terms(stored.SNAPSHOTS, "parking bees")._jdf.queryExecution().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert set(words) == {"parking", "bees"} and all(str(b) in filters for b in words.values()) and "In(term" in plan.replace(" ", "")
+    found = store.containing(stored.SNAPSHOTS, "PARKING", docs, src)
+    text_scans = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Scan parquet" in x and "cleaned_text" in x]
+    assert len(text_scans) == 1 and {r.id for r in found.collect()} == {"a-1", "a-2", "b-1"}
+    keys = store.newest(stored.SNAPSHOTS, store.keys_with_terms(stored.SNAPSHOTS, "parking"), docs, 30)
+    assert "cleaned_text" not in keys._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_requests_equal_plain_ones(spark):
+    store, snaps, diffs, docs, src = search_store(spark)
+    cases = [("parking", True, "all"), ("100%", False, "all"), ("§ 3", True, "diffs"), ("", True, "snapshots"), ("nothing at all", True, "all")]
+    for query, access, kind in cases:
+        plain = search_request(snaps, diffs, docs, src, query, access, kind)
+        mine = stored_search_request(store, docs, src, query, access, kind)
+        assert mine.columns == plain.columns and sorted(map(str, mine.collect())) == sorted(map(str, plain.collect()))
+    totals = se.search_totals(se.search_diffs(diffs, docs, src, "parking"), se.search_snapshots(snaps, docs, src, "parking")).first()
+    assert store.totals("parking", docs).first() == totals
+    assert store.totals("street bees", docs, by_terms=True).first().total_snapshots == 1
