@@ -8,6 +8,8 @@ row is a point no filter on its output passes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,8 @@ def exploded(df: DataFrame, array: str, pos: str, item: str, keep: list[str] | N
     """``posexplode`` without an inferred filter that computes the array again."""
     kept = [c for c in (keep or df.columns) if c != array]
     return df.select(*kept, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it; also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -220,12 +220,21 @@ def probe_totals(verdicts: DataFrame) -> DataFrame:
 
 
 def two_probe_verdicts(http: DataFrame, browser: DataFrame) -> DataFrame:
-    """Combine a plain and a browser probe of the same url.
+    """Combine a plain and a browser probe of the same url of a source.
 
-    ``http``: url, http_status, error_text, body; ``browser``: url,
-    browser_status, browser_error, is_404, is_challenge.
+    ``http``: source_id, url, http_status, error_text, body; ``browser``: source_id, url,
+    browser_status, browser_error, is_404, is_challenge. Sources may share a url, each has its own
+    pair; a url that one probe saw several times keeps the last of them by ``probed_at``, if there is one.
     """
-    df = http.join(browser, "url")
+    key = ["source_id", "url"]
+
+    def one_each(probes: DataFrame) -> DataFrame:
+        rest = [c for c in probes.columns if c not in key]
+        order = F.struct(*(["probed_at"] if "probed_at" in rest else []), *[c for c in rest if c != "probed_at"])
+        best = probes.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_p"))
+        return best.select(*key, *[F.col(f"_p.{c}").alias(c) for c in rest if c != "probed_at"])
+
+    df = one_each(http).join(one_each(browser), key)
     status, shown = F.col("http_status"), F.col("browser_status")
     err, browser_err = F.col("error_text"), F.col("browser_error")
     head = F.left("body", F.lit(1000))
@@ -244,7 +253,7 @@ def two_probe_verdicts(http: DataFrame, browser: DataFrame) -> DataFrame:
         .when(yes(status == 200), "OPERATIONAL_PASS")
         .otherwise(F.concat(F.lit("FAILED (Req:"), word(status, err), F.lit(", PW:"), word(shown, browser_err), F.lit(")")))
     )
-    return df.select("url", "http_status", "browser_status", verdict.alias("verdict"))
+    return df.select("source_id", "url", "http_status", "browser_status", verdict.alias("verdict"))
 
 
 def catalogue_checks(sources: DataFrame) -> DataFrame:

@@ -44,9 +44,15 @@ PLATFORMS = {
 }
 
 
-def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per ``<a>`` element, in page order; other columns stay."""
+def extract_links(pages: DataFrame, html: str = "html", scopes: tuple[str, ...] = ()) -> DataFrame:
+    """One row per ``<a>`` element, in page order; other columns stay.
+
+    ``scopes`` are those of the selectors that the links will be tested with (see ``scopes_of``): per scope a
+    column holds which of the page's links lie in such an element.
+    """
     pages = with_computed(pages, **{html: F.regexp_replace(html, _UNSEEN, "")})
+    if scopes:
+        pages = with_computed(pages, **{scope_column(s): scope_spans(F.col(html), s) for s in scopes})
     anchors = F.regexp_extract_all(F.col(html), F.lit(_ANCHOR), F.lit(0))
     df = exploded(with_computed(pages, _anchors=anchors), "_anchors", "pos", "anchor")
     tag = F.regexp_extract("anchor", rf"^<{IN_TAG}>", 0)
@@ -67,33 +73,87 @@ _SCOPE = re.compile(r"^(?P<tag>[a-z][a-z0-9]*)?(?:\.(?P<cls>[\w-]+)|#(?P<id>[\w-
 _ATTR_COLUMN = {"href": "href", "id": "link_id", "class": "link_class", "title": "link_title"}
 
 
-def _scope_pattern(scope: str) -> str:
+# Elements that hold nothing and have no closing tag.
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+def _split_selector(selector: str) -> list[tuple[str | None, re.Match]]:
+    """Scope and last part of every selector of a list."""
+    out = []
+    for one in selector.split(","):
+        *scopes, last = one.split()
+        parts = _SIMPLE.match(last)
+        if parts is None or not any(parts.groups()) or len(scopes) > 1:
+            raise ValueError(f"unsupported selector: {one.strip()!r}")
+        if scopes and _SCOPE.match(scopes[0]) is None:
+            raise ValueError(f"unsupported selector scope: {scopes[0]!r}")
+        out.append((scopes[0] if scopes else None, parts))
+    return out
+
+
+def scopes_of(selector: str | None) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(scope for scope, _ in _split_selector(selector) if scope)) if selector else ()
+
+
+def scope_column(scope: str) -> str:
+    return "_in_" + scope.replace(".", "_class_").replace("#", "_id_")
+
+
+def scope_spans(html: Column, scope: str) -> Column:
+    """Array of (first, end): the links of a page, counted from 0, that lie in elements of the scope.
+
+    One walk over the page's tags in order: an element of the scope ends at its own closing tag, as elements
+    of its name inside it are counted, or with the page. A link is one token, so tags inside it count for nothing.
+    """
     parts = _SCOPE.match(scope)
-    if parts is None:
-        raise ValueError(f"unsupported selector scope: {scope!r}")
-    tag = parts["tag"] or "[a-z][a-z0-9]*"
-    mark = ""
-    if parts["cls"]:
-        mark = rf"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?\Q{parts['cls']}\E[\"'\s])"
-    elif parts["id"]:
-        mark = rf"(?=[^>]*\bid\s*=\s*[\"']?\Q{parts['id']}\E[\"'\s>])"
-    return rf"(?is)<({tag})\b{mark}[^>]*>.*?</\1\s*>"
-
-
-def selector_test(selector: str, html: str = "html") -> Column:
+    name = parts["tag"] or "[a-z][a-z0-9]*"
+    token = rf"{_ANCHOR}|(?is)<(?:{name})\b{IN_TAG}>|</(?:{name})\s*>"
+    tokens = F.regexp_extract_all(html, F.lit(token), F.lit(0))
+
+    def step(at: Column, tag: Column) -> Column:
+        word = F.lower(F.regexp_extract(tag, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+        link = tag.rlike(rf"{_ANCHOR}$")
+        closing = F.startswith(tag, F.lit("</"))
+        opens = ~link & ~closing & ~word.isin(*_VOID)
+        if parts["cls"]:
+            marked = F.array_contains(F.split(attribute(F.regexp_extract(tag, rf"^<{IN_TAG}>", 0), "class"), r"\s+"), parts["cls"])
+        elif parts["id"]:
+            marked = attribute(F.regexp_extract(tag, rf"^<{IN_TAG}>", 0), "id") == parts["id"]
+        else:
+            marked = F.lit(True)
+        begins = (at["depth"] == 0) & opens & marked
+        within = (at["depth"] > 0) & (word == at["name"]) & ~link
+        depth = F.when(begins, 1).when(within & opens, at["depth"] + 1).when(within & closing, at["depth"] - 1).otherwise(at["depth"])
+        ends = within & closing & (at["depth"] == 1)
+        span = F.struct(at["first"].alias("first"), at["n"].alias("end"))
+        return F.struct(
+            depth.cast("int").alias("depth"), F.when(begins, word).otherwise(at["name"]).alias("name"),
+            (at["n"] + F.when(link, 1).otherwise(0)).cast("int").alias("n"),
+            F.when(begins, at["n"]).otherwise(at["first"]).cast("int").alias("first"),
+            F.when(ends, F.concat(at["spans"], F.array(span))).otherwise(at["spans"]).alias("spans"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit(0).alias("n"), F.lit(0).alias("first"),
+        F.array().cast("array<struct<first:int,end:int>>").alias("spans"),
+    )
+    last = lambda at: F.struct(at["first"].alias("first"), at["n"].alias("end"))
+    return F.aggregate(
+        tokens, start, step, lambda at: F.when(at["depth"] > 0, F.concat(at["spans"], F.array(last(at)))).otherwise(at["spans"])
+    )
+
+
+def selector_test(selector: str) -> Column:
     """Compile a CSS selector list to a test on the columns of extract_links.
 
     Supported, each with an optional leading scope: ``a``, ``.cls``,
     ``a[attr*='x']`` (also ``^=``, ``$=``, ``=``), joined by commas. Anything
     else raises when the plan is built. Attribute tests respect case. A link is
-    in scope when its markup occurs inside an element of the scope.
+    in scope when its place lies in an element of the scope; ``extract_links``
+    has to be told the scopes.
     """
     tests = []
-    for one in selector.split(","):
-        *scopes, last = one.split()
-        parts = _SIMPLE.match(last)
-        if parts is None or not any(parts.groups()) or len(scopes) > 1:
-            raise ValueError(f"unsupported selector: {one.strip()!r}")
+    for scope, parts in _split_selector(selector):
         test = F.lit(True)
         if parts["cls"]:
             test = test & F.array_contains(F.split("link_class", r"\s+"), parts["cls"])
@@ -101,9 +161,9 @@ def selector_test(selector: str, html: str = "html") -> Column:
             column, value = F.col(_ATTR_COLUMN[parts["attr"]]), F.lit(parts["value"])
             compare = {"*": F.contains, "^": F.startswith, "$": F.endswith, None: lambda c, v: c == v}[parts["op"]]
             test = test & compare(column, value)
-        if scopes:
-            inside = F.regexp_extract_all(F.col(html), F.lit(_scope_pattern(scopes[0])), F.lit(0))
-            test = test & F.exists(inside, lambda part: F.contains(part, F.col("anchor")))
+        if scope:
+            spans = F.col(scope_column(scope))
+            test = test & F.exists(spans, lambda x: (F.col("pos") >= x["first"]) & (F.col("pos") < x["end"]))
         tests.append(test)
     return reduce(lambda a, b: a | b, tests)
 
@@ -140,8 +200,8 @@ def discover(pages: DataFrame, adapter: str = "custom", selector: str | None = N
     ``pages``: source_id, base_url, html. Custom pages without a selector keep
     the links that pass the statutory heuristic, and lose blocked hosts.
     """
-    links = extract_links(pages)
     chosen = selector or ADAPTER_SELECTORS.get(adapter)
+    links = extract_links(pages, scopes=scopes_of(chosen))
     if chosen:
         links = links.where(selector_test(chosen))
     links = links.where(navigable(F.col("href"), mailto=adapter == "custom")).drop("html")

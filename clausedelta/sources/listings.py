@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.functions.stages import exploded, with_computed
+from clausedelta.functions.stages import exploded, let, with_computed
 from clausedelta.functions.text import strip
 from clausedelta.functions.urls import classify_document, with_resolved_url
 
@@ -32,16 +32,144 @@ def _first_present(item: Column, names: list[Column]) -> Column:
     return F.coalesce(*[pick(n) for n in names])
 
 
-def _filled_template(template: Column, item: Column) -> Column:
-    """Template with each {field} replaced; null when a field is missing."""
-    pieces = F.split(template, r"\{", -1)
+# Pieces of a template: doubled braces, fields, text, and braces that fit nowhere.
+_PIECES = r"\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}]"
+# Of a field: name, key of an object, conversion, format.
+_FIELD = r"^\{([^\[\]!:.]*)(?:\[([^\]]*)\])?(?:!([rsa]))?(?::([^}]*))?\}$"
+# Of a format: fill, alignment, sign, zero, width, grouping, precision, type.
+_SPEC = r"^(?:(.)?([<>=^]))?([+\- ])?(0)?([0-9]{1,4})?([,_])?(?:\.([0-9]{1,2}))?([bdfFosxX%])?$"
+
+
+def _grouped(digits: Column, mark: Column) -> Column:
+    """Thousands of a whole number's digits set apart."""
+    return F.regexp_replace(digits, r"(?<=\d)(?=(?:\d{3})+$)", mark)
+
+
+def _spec(spec: Column) -> Column:
+    """The parts of a format as a struct."""
+    names = ("fill", "align", "sign", "zero", "width", "group", "precision", "kind")
+    return F.struct(*[F.regexp_extract(spec, _SPEC, n).alias(name) for n, name in enumerate(names, 1)])
+
+
+def _padded(lead: Column, body: Column, f: Column, side: str) -> Column:
+    """Sign and body brought to the width; ``side`` is where a value goes that the format does not place."""
+    pad = F.when(f["fill"] != "", f["fill"]).when(f["zero"] != "", "0").otherwise(" ")
+    inner_zero = (f["zero"] != "") & (F.lit(side) == ">")
+    place = F.when(f["align"] != "", f["align"]).when(inner_zero, "=").otherwise(side)
+
+    def shaped(x: Column) -> Column:
+        missing = F.greatest(F.coalesce(f["width"].try_cast("int"), F.lit(0)) - F.length(x["lead"]) - F.length(x["body"]), F.lit(0))
+        left = F.when(x["place"] == ">", missing).when(x["place"] == "^", F.floor(missing / 2)).otherwise(0).cast("int")
+        inner = F.when(x["place"] == "=", missing).otherwise(0).cast("int")
+        right = F.when(x["place"] == "<", missing).when(x["place"] == "^", F.ceil(missing / 2)).otherwise(0).cast("int")
+        return F.concat(F.repeat(x["pad"], left), x["lead"], F.repeat(x["pad"], inner), x["body"], F.repeat(x["pad"], right))
+
+    return let(F.struct(lead.alias("lead"), body.alias("body"), pad.alias("pad"), place.alias("place")), shaped)
+
+
+def formatted_text(text: Column, spec: Column) -> Column:
+    """A text in a format such as >8 or .3; null where the format is one of numbers."""
+    def shaped(f: Column) -> Column:
+        body = F.when(f["precision"] == "", text).otherwise(F.left(text, f["precision"].try_cast("int")))
+        fits = f["kind"].isin("", "s") & (f["sign"] == "") & (f["group"] == "") & (f["align"] != "=")
+        return F.when(fits, _padded(F.lit(""), body, f, "<"))
+
+    return F.when(spec == "", text).when(spec.rlike(_SPEC), let(_spec(spec), shaped))
 
-    def fill(piece: Column, i: Column) -> Column:
-        value = F.try_element_at(item, F.regexp_extract(piece, r"^([^}]*)\}", 1))
-        return F.when(i == 0, piece).otherwise(F.concat(_text(value), F.regexp_replace(piece, r"^[^}]*\}", "")))
 
-    filled = F.transform(pieces, fill)
-    return F.when(~F.exists(filled, lambda p: p.isNull()), F.array_join(filled, ""))
+def _fixed(number: Column, f: Column) -> Column:
+    """Digits of the number's size with so many decimals; rounding is half to even on its written digits."""
+    places = F.when(f["precision"] == "", 6).otherwise(F.least(f["precision"].try_cast("int"), F.lit(12)))
+    size = F.abs(number) * F.when(f["kind"] == "%", 100).otherwise(1)
+    unit = F.call_function("power", F.lit(10.0), places).cast("decimal(13,0)")
+
+    def digits(x: Column) -> Column:
+        before = F.floor(x["total"] / x["unit"]).cast("decimal(38,0)")
+        after = F.lpad((x["total"] - before * x["unit"]).cast("decimal(38,0)").cast("string"), x["places"], F.lit("0"))
+        return F.concat(_grouped(before.cast("string"), f["group"]), F.when(x["places"] > 0, F.concat(F.lit("."), after)).otherwise(""))
+
+    scaled = lambda x: F.bround((x["size"].cast("decimal(38,12)") * x["unit"]).cast("decimal(38,6)"), 0).cast("decimal(38,0)")
+    bound = F.struct(size.alias("size"), unit.alias("unit"), places.alias("places"))
+    return let(bound, lambda x: let(F.struct(scaled(x).alias("total"), x["unit"].alias("unit"), x["places"].alias("places")), digits))
+
+
+def formatted_number(number: Column, whole: Column, written: Column, spec: Column) -> Column:
+    """A number in a format such as 05d, +, ,.2f, % or x; null where the format does not fit.
+
+    ``written`` are its digits as the listing has them. Zeros that fill up a grouped number and significant
+    digits (.3 without f) are not supported.
+    """
+    def shaped(x: Column) -> Column:
+        f, kind = x["f"], x["f"]["kind"]
+        fixed = kind.isin("f", "F", "%")
+        plain = F.abs(x["number"]).cast("decimal(38,0)")
+        digits = (
+            F.when(fixed, _fixed(x["number"], f))
+            .when(~x["whole"], F.concat(
+                _grouped(F.regexp_extract(x["written"], r"^-?([0-9]*)", 1), f["group"]), F.regexp_replace(x["written"], "^-?[0-9]*", "")
+            ))
+            .when(kind == "x", F.lower(F.hex(plain.cast("bigint")))).when(kind == "X", F.hex(plain.cast("bigint")))
+            .when(kind == "o", F.conv(plain.cast("string"), 10, 8)).when(kind == "b", F.bin(plain.cast("bigint")))
+            .otherwise(_grouped(plain.cast("string"), f["group"]))
+        )
+        body = F.concat(digits, F.when(kind == "%", "%").otherwise(""))
+        lead = F.when(x["number"] < 0, "-").when(f["sign"].isin("+", " "), f["sign"]).otherwise("")
+        fits = F.when(fixed, F.lit(True)).otherwise(
+            (f["precision"] == "") & F.when(x["whole"], kind != "s").otherwise(kind == "")
+            & ~(kind.isin("b", "o", "x", "X") & (f["group"] != ""))
+        ) & ~((f["zero"] != "") & (f["group"] != ""))
+        return F.when(fits, _padded(lead, body, f, ">"))
+
+    bound = F.struct(_spec(spec).alias("f"), number.alias("number"), whole.alias("whole"), written.alias("written"))
+    return F.when(spec.rlike(_SPEC), let(bound, shaped))
+
+
+def formatted(value: Column, spec: Column, as_text: Column) -> Column:
+    """A JSON value in a Python format, null where it does not fit. Booleans count as 1 and 0 in formats."""
+    def shaped(x: Column) -> Column:
+        json, flag = x["json"], x["json"].isin("true", "false")
+        number = F.when(flag, F.when(json == "true", 1).otherwise(0)).otherwise(F.try_variant_get(x["value"], "$", "decimal(38,12)"))
+        words = (x["spec"] == "") | F.startswith(json, F.lit('"')) | x["as_text"]
+        of_number = formatted_number(number, flag | json.rlike(r"^-?[0-9]+$"), json, x["spec"])
+        return F.when(words, formatted_text(_text(x["value"]), x["spec"])).when(json != "null", of_number)
+
+    return let(F.struct(value.alias("value"), F.to_json(value).alias("json"), spec.alias("spec"), as_text.alias("as_text")), shaped)
+
+
+def template_pieces(template: Column, item: Column) -> Column:
+    """Array of (text, missing, wrong) of a template's pieces for one record."""
+
+    def fill(piece: Column) -> Column:
+        part = lambda n: F.regexp_extract(piece, _FIELD, n)
+        held = F.try_element_at(item, part(1))
+        inside = F.try_element_at(F.from_json(F.to_json(held), "map<string,variant>"), part(2))
+        value = F.when(part(2) != "", inside).otherwise(held)
+        field = F.startswith(piece, F.lit("{")) & ~piece.isin("{", "{{")
+
+        def shaped(x: Column) -> Column:
+            return F.struct(
+                F.when(piece == "{{", "{").when(piece == "}}", "}").when(x["field"], x["text"]).otherwise(piece).alias("text"),
+                (x["field"] & x["named"] & x["none"]).alias("missing"),
+                (piece.isin("{", "}") | (x["field"] & (~x["named"] | (~x["none"] & x["text"].isNull())))).alias("wrong"),
+            )
+
+        return let(
+            F.struct(
+                field.alias("field"), piece.rlike(_FIELD).alias("named"), value.isNull().alias("none"),
+                # Converted to text first, a value takes the formats of a text.
+                F.when(field, formatted(value, part(4), part(3) != "")).alias("text"),
+            ),
+            shaped,
+        )
+
+    return F.transform(F.regexp_extract_all(template, F.lit(_PIECES), F.lit(0)), fill)
+
+
+def _filled_template(template: Column, item: Column) -> Column:
+    """Template with each field replaced by its value in its format; null when a field is missing."""
+    return let(template_pieces(template, item), lambda pieces: F.when(
+        ~F.exists(pieces, lambda p: p["missing"] | p["wrong"]), F.array_join(F.transform(pieces, lambda p: p["text"]), "")
+    ))
 
 
 def parse_listings(payloads: DataFrame) -> DataFrame:
@@ -71,12 +199,15 @@ def parse_listings(payloads: DataFrame) -> DataFrame:
         F.when(F.col("_root").isNull(), F.concat(F.lit("Expected JSON from "), F.col("endpoint_url"), F.lit(" but could not parse it")))
         .when(keyed & held.isNotNull() & ~held_kind.isin("ARRAY", "OBJECT", "STRING"), F.lit("items are not a list"))
     )
+    df = with_computed(df, error=error)
     items = F.transform(
         F.filter(raw_items, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))),
         lambda v: F.from_json(F.to_json(v), "map<string,variant>"),
     )
-    df = with_computed(df, error=error)
-    return with_computed(df, items=F.when(F.col("error").isNull(), items)).drop("_root", "_kind", "_object")
+    df = with_computed(df, items=F.when(F.col("error").isNull(), items)).drop("_root", "_kind", "_object")
+    wrong = F.exists("items", lambda v: F.exists(template_pieces(F.col("url_template"), v), lambda p: p["wrong"]))
+    df = with_computed(df, error=F.when(F.coalesce(wrong, F.lit(False)), "the url template does not fit a record").otherwise(F.col("error")))
+    return df.withColumn("items", F.when(F.col("error").isNull(), F.col("items")))
 
 
 def listing_results(payloads: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ a batch again replaces its rows instead of adding them twice."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,52 @@ def drop_older(spark: SparkSession, path: str, batch_id: int) -> None:
         drop_path(spark, f"{path}/batch_id={old}")
 
 
+class Changelog:
+    """Changed rows per batch over a base, the newest row per key of all batches up to its own.
+
+    A batch holds a key once. Every ``every`` batches the base is written anew, as the folder of the batch that
+    did it; its completeness mark is the pointer, so a reader sees the old base with the batches after it, or
+    the new one. Folders that the base before the newest covers are dropped: a batch that is run again still
+    finds what it started from. So reading costs the keys and at most 2 x ``every`` batches, however many there were.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, every: int = 16) -> None:
+        self.spark, self.path, self.key, self.every = spark, path, key, every
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        append_batch(rows, f"{self.path}/changes", batch_id)
+        base = newest_before(self.spark, f"{self.path}/base", batch_id)
+        if len([b for b in batch_ids(self.spark, f"{self.path}/changes") if b > (-1 if base is None else base)]) >= self.every:
+            self.fold(batch_id)
+
+    def newest(self, base: int | None, upto: int | None = None) -> DataFrame:
+        after = [
+            b for b in batch_ids(self.spark, f"{self.path}/changes")
+            if (base is None or b > base) and (upto is None or b <= upto)
+        ]
+        parts = [self.spark.read.option("basePath", f"{self.path}/changes").parquet(*[f"{self.path}/changes/batch_id={b}" for b in after])] if after else []
+        if base is not None:
+            parts.append(self.spark.read.parquet(f"{self.path}/base/batch_id={base}").withColumnRenamed("in_batch", "batch_id"))
+        rows = reduce(DataFrame.unionByName, parts)
+        rest = [c for c in rows.columns if c != self.key]
+        best = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "batch_id").alias("_s"))
+        return best.select(self.key, "_s.*")
+
+    def fold(self, batch_id: int) -> None:
+        bases = [b for b in batch_ids(self.spark, f"{self.path}/base") if b < batch_id]
+        base = bases[-1] if bases else None
+        rows = self.newest(base, batch_id).withColumnRenamed("batch_id", "in_batch")
+        append_batch(rows, f"{self.path}/base", batch_id)
+        for table in ("changes", "base") if base is not None else ():
+            for old in batch_ids(self.spark, f"{self.path}/{table}"):
+                if old < base or (old == base and table == "changes"):
+                    drop_path(self.spark, f"{self.path}/{table}/batch_id={old}")
+
+    def current(self) -> DataFrame:
+        bases = batch_ids(self.spark, f"{self.path}/base")
+        return self.newest(bases[-1] if bases else None).drop("batch_id")
+
+
 def append_snapshots(snapshots: DataFrame, path: str) -> None:
     """Append snapshot rows, partitioned by the day they were crawled."""
     dated = snapshots.withColumn("crawl_date", F.to_date("crawled_at"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from clausedelta.operators.billing import default_next_billing, fold_subscriptions, normalize_events
 from clausedelta.plans.ingest import ingest_batch
-from clausedelta.sources.sinks import append_batch
+from clausedelta.sources.sinks import Changelog
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
@@ -58,8 +60,8 @@ def stream_ingest(
 def stream_deduped_events(deliveries: DataFrame, path: str, checkpoint: str, delay: str = "2 days") -> StreamingQuery:
     """First delivery of each event id that arrives within the delay.
 
-    Events without an id are told apart by their delivery. The outcome of a
-    later delivery is folded in by the batch table, not here.
+    Events without an id are told apart by their delivery. For the outcome of
+    later deliveries see stream_event_outcomes.
     """
     typed = normalize_events(deliveries).withColumn("event_time", F.col("received_at").cast("timestamp"))
     keyed = typed.withColumn(
@@ -72,7 +74,73 @@ def stream_deduped_events(deliveries: DataFrame, path: str, checkpoint: str, del
     )
 
 
-def stream_subscriptions(deliveries: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+NTZ = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+# Of one event: its first delivery and its last outcome so far.
+OUTCOME = (
+    "first_at bigint, first_id bigint, first string, last_at bigint, last_id bigint, result string, error_detail string, deliveries bigint"
+)
+
+
+def _fold_deliveries(delay_ms: int):
+    """Fold a key's deliveries into its state, whatever their order; a row per key and batch that changed."""
+
+    def fold(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.get if state.exists else None
+        for rows in frames:
+            for at, delivery, first, result, error in zip(
+                rows["_at"].tolist(), rows["_id"].tolist(), rows["_row"], rows["result"], rows["error_detail"], strict=True
+            ):
+                if now is None:
+                    now = (at, delivery, first, at, delivery, result, error, 1)
+                    continue
+                begin = (at, delivery, first) if (at, delivery) < tuple(now[:2]) else tuple(now[:3])
+                end = (at, delivery, result, error) if (at, delivery) > tuple(now[3:5]) else tuple(now[3:7])
+                now = (*begin, *end, now[7] + 1)
+        state.update(tuple(now))
+        state.setTimeoutTimestamp(now[3] // 1000 + delay_ms)
+        names = [x.split()[0] for x in OUTCOME.split(", ")]
+        yield pd.DataFrame({"dedupe_key": [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
+
+    return fold
+
+
+def stream_event_outcomes(deliveries: DataFrame, path: str, checkpoint: str, delay: str = "2 days", every: int = 16) -> StreamingQuery:
+    """One row per event as a changelog: the data of its first delivery, result and error of its last, their number.
+
+    A first delivery is written at once; every redelivery within the delay updates the row, also one that
+    arrives before an earlier one. When the watermark passes a key's last delivery by the delay, its state
+    goes; deliveries later than the watermark are dropped by the engine, as in stream_deduped_events.
+    """
+    typed = normalize_events(deliveries)
+    rest = [c for c in typed.columns if c not in ("event_id", "result", "error_detail")]
+    at = F.col("received_at").cast("timestamp")
+    keyed = typed.select(
+        F.coalesce(F.concat(F.lit("e"), F.col("event_id")), F.concat(F.lit("d"), F.col("delivery_id").cast("string"))).alias("dedupe_key"),
+        at.alias("event_time"), F.unix_micros(at).alias("_at"), F.col("delivery_id").cast("long").alias("_id"),
+        F.to_json(F.struct("event_id", *rest), NTZ).alias("_row"), "result", "error_detail",
+    ).withWatermark("event_time", delay)
+    millis = deliveries.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval {delay})").first()[0]
+    folded = keyed.groupBy("dedupe_key").applyInPandasWithState(
+        _fold_deliveries(millis), f"dedupe_key string, {OUTCOME}", OUTCOME, "update", "EventTimeTimeout"
+    )
+    schema = T.StructType([typed.schema["event_id"], *[typed.schema[c] for c in rest]])
+    rows = folded.select("dedupe_key", F.from_json("first", schema, NTZ).alias("d"), "result", "error_detail", "deliveries")
+    rows = rows.select("dedupe_key", "d.*", "result", "error_detail", "deliveries")
+    return (
+        rows.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: Changelog(batch.sparkSession, path, "dedupe_key", every).append(batch, batch_id))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def current_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    return Changelog(spark, path, "dedupe_key").current().drop("dedupe_key")
+
+
+def stream_subscriptions(deliveries: DataFrame, path: str, checkpoint: str, every: int = 16) -> StreamingQuery:
     """Keep the state of every subscription as a changelog.
 
     The same fold as in batch, as a streaming aggregate: events are combined
@@ -82,13 +150,11 @@ def stream_subscriptions(deliveries: DataFrame, path: str, checkpoint: str) -> S
     state = fold_subscriptions(default_next_billing(normalize_events(deliveries)))
     return (
         state.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: append_batch(batch, path, batch_id))
+        .foreachBatch(lambda batch, batch_id: Changelog(batch.sparkSession, path, "subscription_id", every).append(batch, batch_id))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def current_subscriptions(changelog: DataFrame) -> DataFrame:
+def current_subscriptions(spark: SparkSession, path: str) -> DataFrame:
     """Newest state per subscription of the changelog."""
-    rest = [c for c in changelog.columns if c not in ("subscription_id", "batch_id")]
-    newest = changelog.groupBy("subscription_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("s"))
-    return newest.select("subscription_id", "s.*")
+    return Changelog(spark, path, "subscription_id").current()

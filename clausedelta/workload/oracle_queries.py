@@ -183,6 +183,11 @@ def all_queries() -> dict[str, str]:
       SELECT CAST(doc_id AS VARCHAR), 0, 'Minutes ' || doc_id, 'https://api.example.gov/file/' || doc_id || '?p=1', 'meeting_minutes',
         md5(text), '', 'rest_api_json'
       FROM documents WHERE doc_id % 6 IN (1, 2)"""
+    q["q04_json_listing_templates"] = """
+      SELECT CAST(doc_id AS VARCHAR) AS source_id, pos, printf('https://register.example.gov/%07d-%x/2024/________________________Zoning', doc_id, doc_id) AS url
+      FROM documents, (VALUES (0), (1)) AS t(pos) WHERE doc_id % 6 = 0
+      UNION ALL
+      SELECT CAST(doc_id AS VARCHAR), 0, 'https://api.example.gov/file/' || doc_id || '?p=1' FROM documents WHERE doc_id % 6 IN (1, 2)"""
     q["q04_json_listing_results"] = """
       SELECT CAST(doc_id AS VARCHAR) AS source_id, doc_id % 6 <> 3 AS success,
         list_extract([2, 1, 1, 0, 0, 0], CAST(doc_id % 6 AS INT) + 1) AS items_found,
@@ -222,10 +227,15 @@ def all_queries() -> dict[str, str]:
     q["q12_extract_links"] = w(o.ANCHORS, "SELECT page_id, pos, href, text, '' AS link_title, '' AS link_id, '' AS link_class FROM links0")
     q["q13_selector_filter"] = w(o.ANCHORS, """SELECT page_id, pos, href FROM links
       WHERE contains(href, '.pdf') OR contains(href, 'notice') OR contains(href, 'ordinance')""")
-    q["q13_scoped_selector"] = w(o.ANCHORS + r""",
-      scope AS (SELECT page_id, regexp_extract(html, '(?s)<nav[^>]*>.*?</nav>') AS nav, regexp_extract(html, '(?s)<footer[^>]*>.*?</footer>') AS foot FROM pages)""",
+    # The place of a link counts, not its markup: so many links stand before the element, so many in it.
+    count = """len(regexp_extract_all({}, '<a href="[^"]*">[^<]*</a>'))"""
+    q["q13_scoped_selector"] = w(o.ANCHORS + rf""",
+      cut AS (SELECT page_id, html, regexp_extract(html, '(?s)<nav[^>]*>.*?</nav>') AS nav, regexp_extract(html, '(?s)<footer[^>]*>.*?</footer>') AS foot FROM pages),
+      scope AS (SELECT page_id, {count.format("nav")} AS nav_n, {count.format("foot")} AS foot_n,
+        {count.format("left(html, strpos(html, nav) - 1)")} AS nav_at, {count.format("left(html, strpos(html, foot) - 1)")} AS foot_at FROM cut)""",
       """SELECT a.page_id, CAST(pos AS INT) AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM anchors a JOIN scope USING (page_id)
-      WHERE (contains(nav, a) AND contains(regexp_extract(a, 'href="([^"]*)"', 1), 'th')) OR (contains(foot, a) AND regexp_extract(a, 'href="([^"]*)"', 1) LIKE '/%')""")
+      WHERE (pos >= nav_at AND pos < nav_at + nav_n AND contains(regexp_extract(a, 'href="([^"]*)"', 1), 'th'))
+        OR (pos >= foot_at AND pos < foot_at + foot_n AND regexp_extract(a, 'href="([^"]*)"', 1) LIKE '/%')""")
     q["q14_meeting_table_links"] = r"""
       WITH w AS (
         SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) AS word,
@@ -387,6 +397,7 @@ def all_queries() -> dict[str, str]:
       {o._ts('next_billing_at')}, plan_id FROM norm""")
     q["q74_payment_amounts"] = w(o.EVENTS, "SELECT delivery_id, CAST(amount AS DOUBLE) AS amount, currency FROM norm")
     q["q75_dedupe_events"] = w(DEDUPED, "SELECT delivery_id, event_id, event_type, subscription_id, result, error_detail, deliveries FROM deduped")
+    q["q102_event_stream_outcomes"] = q["q75_dedupe_events"]
     q["q76_truncate_payload"] = """SELECT doc_id, md5(CASE WHEN length(j) <= 20000 THEN j ELSE '{}' END) AS payload_md5
       FROM (SELECT doc_id, '{"doc_id":' || doc_id || ',"text":' || to_json(text) || '}' AS j FROM documents)"""
     q["q77_default_next_billing"] = w(o.EVENTS, f"SELECT delivery_id, status, plan_id, {o._ts('next_billing_at')} FROM billed")

@@ -87,6 +87,13 @@ def q04_json_listing_ingest(spark, sf):
     return listings.listing_documents(views.listing_payloads(spark, sf)).withColumn("snippet", F.md5("snippet"))
 
 
+@query
+def q04_json_listing_templates(spark, sf):
+    payloads = views.listing_payloads(spark, sf)
+    template = F.when(F.col("url_template").isNotNull(), "https://register.example.gov/{rid:07d}-{rid:x}/{made!s:.4}/{label:_>30.6}")
+    return listings.listing_documents(payloads.withColumn("url_template", template)).select("source_id", "pos", "url")
+
+
 @query
 def q04_json_listing_results(spark, sf):
     return listings.listing_results(views.listing_payloads(spark, sf))
@@ -173,8 +180,9 @@ def q13_selector_filter(spark, sf):
 
 @query
 def q13_scoped_selector(spark, sf):
-    found = links.extract_links(views.link_pages(spark, sf))
-    return found.where(links.selector_test("nav a[href*='th'], footer a[href^='/']")).select("page_id", "pos", "href")
+    selector = "nav a[href*='th'], footer a[href^='/']"
+    found = links.extract_links(views.link_pages(spark, sf), scopes=links.scopes_of(selector))
+    return found.where(links.selector_test(selector)).select("page_id", "pos", "href")
 
 
 @query
@@ -816,9 +824,9 @@ def q97_probe_totals(spark, sf):
 @query
 def q98_two_probe_verdict(spark, sf):
     p = views.probes(spark, sf)
-    http = p.select("url", "http_status", "error_text", "body")
-    browser = p.select("url", "browser_status", "browser_error", "is_404", "is_challenge")
-    return health.two_probe_verdicts(http, browser)
+    http = p.select("source_id", "url", "http_status", "error_text", "body")
+    browser = p.select("source_id", "url", "browser_status", "browser_error", "is_404", "is_challenge")
+    return health.two_probe_verdicts(http, browser).drop("source_id")
 
 
 @query
@@ -862,8 +870,18 @@ def q102_event_stream_dedupe(spark, sf):
     return kept.groupBy(key.alias("event_key")).agg(F.count("*").alias("kept"))
 
 
+@query
+def q102_event_stream_outcomes(spark, sf):
+    path, check = work_path(spark, "outcomes"), work_path(spark, "check")
+    raw = views.payment_deliveries(_stream(spark, sf, "events"))
+    streams.stream_event_outcomes(raw, path, check, "40 days").awaitTermination()
+    return streams.current_outcomes(spark, path).select(
+        "delivery_id", "event_id", "event_type", "subscription_id", "result", "error_detail", "deliveries"
+    )
+
+
 @query
 def q103_subscription_state_stream(spark, sf):
     path, check = work_path(spark, "state"), work_path(spark, "check")
     streams.stream_subscriptions(views.payment_deliveries(_stream(spark, sf, "events")), path, check).awaitTermination()
-    return streams.current_subscriptions(spark.read.parquet(path))
+    return streams.current_subscriptions(spark, path)

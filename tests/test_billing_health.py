@@ -11,6 +11,7 @@ from clausedelta.operators import billing as bl
 from clausedelta.operators import health as hl
 from clausedelta.session import work_path
 from clausedelta.sources import catalogue as cat
+from clausedelta.sources import sinks
 from clausedelta.streaming import ingest as st
 from clausedelta.workload.views import plans
 
@@ -78,12 +79,54 @@ def test_streams_equal_batch(spark):
         st.stream_subscriptions(stream(), out, f"{out}-c").awaitTermination(120)
         st.stream_deduped_events(stream(), dedup, f"{dedup}-c", "30 days").awaitTermination(120)
     batch = sorted(map(tuple, folded(spark).select(*sorted(folded(spark).columns)).collect()), key=str)
-    live = st.current_subscriptions(spark.read.parquet(out))
+    live = st.current_subscriptions(spark, out)
     assert sorted(map(tuple, live.select(*sorted(live.columns)).collect()), key=str) == batch
     assert spark.read.parquet(dedup).groupBy("event_id").count().where("event_id is not null and count > 1").count() == 0
     assert spark.read.parquet(dedup).count() == 9
 
 
+def test_outcomes_follow_every_delivery_within_the_watermark(spark):
+    """Repeats in any order over many batches: the view is the batch operator's rows, column by column, and each batch
+    shows what it changed; state of a key goes once the watermark has passed it."""
+    at = lambda day, hour=0: dt.datetime(2024, 1, day, hour)
+    body = lambda i, plan: '{"id":%s,"event_type":"BILLING.SUBSCRIPTION.ACTIVATED","resource":{"id":"S","plan_id":"%s","amount":{"total":"9.90"}}}' % (i, plan)
+    batches = [
+        [(2, at(1, 2), body('"a"', "later"), "failed", "db down"), (3, at(1, 3), body('"b"', "x"), "processed", None), (9, at(1), body("null", "n"), "processed", None)],
+        [(1, at(1, 1), body('"a"', "first"), "failed", "too early"), (4, at(1, 4), body('"a"', "x"), "processed", None)],
+        [(5, at(1, 9), body('"b"', "x"), "rejected", "seen"), (10, at(1, 1), body("null", "n"), "processed", None), (6, at(1, 5), body('"c"', "x"), "processed", None)],
+        [(7, at(20), body('"d"', "x"), "processed", None)],
+        [(8, at(20, 1), body('"d"', "x"), "failed", "again"), (11, at(20, 2), body('"a"', "new"), "processed", None), (12, at(2), body('"c"', "x"), "failed", "far too late")],
+    ]
+    columns = "delivery_id bigint, received_at timestamp_ntz, payload string, result string, error_detail string"
+    landing, path = work_path(spark, "in"), work_path(spark, "outcomes")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(columns).parquet(landing)
+        st.stream_event_outcomes(stream, path, f"{path}-c", "3 days", every=2).awaitTermination(120)
+        if i < 4:
+            want = bl.dedupe_events(bl.normalize_events(spark.createDataFrame(sum(batches[: i + 1], []), columns)))
+            mine = st.current_outcomes(spark, path)
+            assert sorted(mine.columns) == sorted(want.columns)
+            order = sorted(want.columns)
+            assert sorted(map(str, mine.select(*order).collect())) == sorted(map(str, want.select(*order).collect()))
+    last = {(r.event_id, r.delivery_id): (r.result, r.error_detail, r.deliveries) for r in st.current_outcomes(spark, path).collect()}
+    assert last["d", 7] == ("failed", "again", 2) and last["c", 6] == ("processed", None, 1)
+    assert last["a", 11] == ("processed", None, 1)  # its state had gone: the id counts as new
+
+
+def test_changelog_reads_keys_not_batches(spark):
+    path = work_path(spark, "log")
+    log, want = sinks.Changelog(spark, path, "k", every=3), {}
+    for i in range(11):
+        rows = [(f"k{(i + j) % 6}", i * 10 + j) for j in range(2)]
+        want |= dict(rows)
+        for _ in range(2):  # a batch that is run again, also one that wrote a base
+            log.append(spark.createDataFrame(rows, "k string, v int"), i)
+        assert {r.k: r.v for r in log.current().collect()} == want
+    folders = [len(sinks.batch_ids(spark, f"{path}/{t}")) for t in ("base", "changes")]
+    assert folders[0] <= 2 and folders[1] <= 6 and len(log.current().inputFiles()) < 20
+
+
 def test_revenue_and_plans(spark):
     subs, price = folded(spark), plans(spark)
     row = bl.revenue(subs, price).first()

@@ -3,6 +3,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from clausedelta.sources.listings import _filled_template as listings_filled
+from clausedelta.sources.listings import template_pieces as listings_pieces
 from clausedelta.functions.html import unescape, with_html_text
 from clausedelta.operators import links as lk
 from clausedelta.operators import pages as pg
@@ -70,7 +72,7 @@ def test_discover_generic(spark):
 
 
 def test_selectors(spark):
-    found = lk.extract_links(pages(spark, PAGE))
+    found = lk.extract_links(pages(spark, PAGE), scopes=(".toc-item",))
     pick = lambda s: [r.href for r in found.where(lk.selector_test(s)).orderBy("pos").collect()]
     assert pick("a[href*='.pdf'], .toc-item a") == ["/codes/1", "Notice.pdf", "Notice.pdf"]
     assert pick("a[id*='n1']") == ["Notice.pdf"]
@@ -181,3 +183,62 @@ def test_feeds(spark):
         ("2", "Statutory Record", "https://f.gov/in/3.xml", None), ("3", "Statutory Record", "https://f.gov/in/a.xml", None),
     ]
     assert [r.success for r in feed_results(df).orderBy("source_id").collect()] == [True] * 5 + [False] * 3
+
+
+def test_template_formats(spark):
+    """Every pair of value and format against Python's own formatting; what raises there fits nowhere here."""
+    import json
+
+    from clausedelta.sources import listings
+
+    values = [0, 7, -42, 1234567, 2.5, -0.75, 0.125, 12345.678, "ab", "", "ünï", True, False]
+    specs = ["", "d", "5", "05", "05d", "+d", " d", "<6", ">6", "^7", "*^9", "=8", "0>4", ",", "_", ",d", ".2f", "08.3f", "+.1f", ".0f", ",.2f", "%", ".1%", "x", "X", "04x", "o", "b", "s", ".1", "6.1", "-<5", "5q", ".2d"]
+    rows, want = [], []
+    for v in values:
+        for f in specs:
+            try:
+                text = format(v, f)
+            except ValueError:
+                text = None
+            if isinstance(v, float) and f in (".1", "6.1"):
+                continue  # significant digits are not supported
+            rows.append((len(rows), json.dumps({"v": v}), f))
+            want.append(text)
+    df = spark.createDataFrame(rows, "i int, body string, spec string").withColumn("m", F.from_json("body", "map<string,variant>"))
+    got = {r.i: r.t for r in df.select("i", listings.formatted(F.col("m")["v"], F.col("spec"), F.lit(False)).alias("t")).collect()}
+    odd = [(*rows[i][1:], got[i], want[i]) for i in range(len(rows)) if got[i] != want[i]]
+    assert not odd, odd
+
+
+def test_templates(spark):
+    record = '[{"id": 7, "name": "Ann", "n": 1234.5, "nested": {"a": "x"}, "none": null, "flag": true}]'
+    cases = {
+        "https://t.gov/{id:03d}/{name:>5}": "https://t.gov/007/  Ann", "{{{id}}}": "{7}", "{nested[a]}-{flag}-{none}": "x-True-None",
+        "{name!s:.2}|{n:,.1f}|{id!r:>3}": "An|1,234.5|  7", "{gone}": None, "{nested[b]}": None, "plain": "plain",
+    }
+    rows = [(i, t) for i, t in enumerate([*cases, "{id", "id}", "{name:d}", "{none:5}", "{}"])]
+    df = spark.createDataFrame(rows, "i int, t string").withColumn("v", F.from_json(F.lit(record), "array<map<string,variant>>")[0])
+    got = {r.t: (r.text, r.wrong) for r in df.select(
+        "t", listings_filled(F.col("t"), F.col("v")).alias("text"),
+        F.exists(listings_pieces(F.col("t"), F.col("v")), lambda p: p["wrong"]).alias("wrong"),
+    ).collect()}
+    assert {t: got[t][0] for t in cases} == cases and not any(got[t][1] for t in cases)
+    assert all(got[t] == (None, True) for t in ("{id", "id}", "{name:d}", "{none:5}"))
+
+
+def test_scope_is_a_place(spark):
+    """The same link in the scope and outside it, scopes in scopes, void and unclosed elements."""
+    same = '<a href="/x">X</a>'
+    html = (
+        f'{same}<nav class="top main">{same}<nav>{same}</nav><div>{same}</div></nav>{same}<div id="box"><div>{same}</div>{same}</div>'
+        f'<img class="pic">{same}<p class="pic">{same}</p><!-- <nav>{same} -->{same}<nav>{same}'
+    )
+    wanted = {
+        "nav a": [1, 2, 3, 10], ".main a": [1, 2, 3], "#box a": [5, 6], ".pic a": [8], "div a": [3, 5, 6], "nav.top a[href^='/']": [1, 2, 3],
+        "nav.gone a": [], "nav a, .pic a": [1, 2, 3, 8, 10],
+    }
+    for selector, places in wanted.items():
+        found = lk.extract_links(pages(spark, html), scopes=lk.scopes_of(selector)).where(lk.selector_test(selector))
+        assert sorted(r.pos for r in found.select("pos").collect()) == places, selector
+    twice = '<a href="a.pdf">Body</a><nav class="m"><a href="a.pdf">Menu</a></nav>'
+    assert [(r.pos, r.title) for r in lk.discover(pages(spark, twice), selector=".m a").collect()] == [(1, "Menu")]
