@@ -20,10 +20,10 @@ from clausedelta.sources.state import KeyedState
 
 SNAPSHOTS = (
     "document_id string, version int, content_hash string, raw_text string, cleaned_text string, "
-    "crawled_at timestamp_ntz, fetch_id bigint"
+    "crawled_at timestamp_ntz, fetch_id bigint, ocr_applied boolean"
 )
 LATEST = "document_id string, version int, content_hash string, in_batch bigint"
-PAGES = "document_id string, fetch_id bigint, page_no int, page_text string, page_count int"
+PAGES = "document_id string, fetch_id bigint, page_no int, page_text string, page_count int, ocr_applied boolean"
 NO_PAGES = "no page texts"
 FETCH = ["document_id", "fetch_id"]
 
@@ -43,16 +43,17 @@ def html_texts(fetches: DataFrame) -> DataFrame:
 
 
 def paged_texts(fetches: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add raw_text and cleaned_text from the fetches' page texts."""
+    """Add raw_text and cleaned_text from the fetches' page texts, and whether any of them was recognised."""
     by_fetch = pages.withColumn("document_id", F.concat_ws("\x01", "document_id", F.col("fetch_id").cast("string")))
     texts = clean_multipage(by_fetch).join(raw_text(by_fetch).select("document_id", "raw_text"), "document_id")
-    texts = texts.select(F.col("document_id").alias("_key"), "raw_text", "cleaned_text")
+    recognised = by_fetch.groupBy("document_id").agg(F.coalesce(F.bool_or("ocr_applied"), F.lit(False)).alias("ocr_applied"))
+    texts = texts.join(recognised, "document_id").select(F.col("document_id").alias("_key"), "raw_text", "cleaned_text", "ocr_applied")
     key = F.concat_ws("\x01", "document_id", F.col("fetch_id").cast("string"))
     return fetches.withColumn("_key", key).join(texts, "_key").drop("_key")
 
 
 def with_page_columns(pages: DataFrame) -> DataFrame:
-    """PAGES; page_count is null where the extractor does not tell it."""
+    """PAGES; page_count and ocr_applied are null where the extractor does not tell them."""
     types = dict(x.split() for x in PAGES.split(", "))
     have = [F.col(c) if c in pages.columns else F.lit(None) for c in types]
     return pages.select(*[c.cast(t).alias(n) for c, (n, t) in zip(have, types.items(), strict=True)])
@@ -70,7 +71,7 @@ def ingest_batch(
 ) -> None:
     """Write the batch's snapshots, diffs and rejects below ``store``.
 
-    Page texts (document_id, fetch_id, page_no, page_text, and page_count if known) come as ``pages``, all
+    Page texts (PAGES, page_count and ocr_applied if known) come as ``pages``, all
     that have landed by now, or as ``arrived``, those new in this batch. Every fetch ends as a snapshot, as
     unchanged, in rejects (no body, an empty one), or it waits: a paged fetch without its page texts is
     listed in rejects once, keeps its hash in ``waiting``, and is taken by the batch in which its pages are
@@ -114,9 +115,9 @@ def ingest_batch(
         from_html = html_texts(usable.join(changed.where(~is_paged()).select(*FETCH, "version", "content_hash"), FETCH))
         columns = [
             "document_id", "version", "content_hash", "raw_text", "cleaned_text",
-            F.col("fetched_at").cast("timestamp_ntz").alias("crawled_at"), "fetch_id",
+            F.col("fetched_at").cast("timestamp_ntz").alias("crawled_at"), "fetch_id", "ocr_applied",
         ]
-        texts = from_html.select(*columns)
+        texts = from_html.withColumn("ocr_applied", F.lit(False)).select(*columns)
         if at_hand is not None:
             mine = changed.where(is_paged())
             own = at_hand.join(mine.select(*FETCH), FETCH, "left_semi")

@@ -17,11 +17,6 @@ FETCHES = (
     "fetch_id bigint, fetched_at timestamp, content_type string, body string"
 )
 
-SNAPSHOTS = (
-    "document_id string, version int, content_hash string, raw_text string, cleaned_text string, "
-    "ocr_applied boolean, crawled_at timestamp, crawl_date date"
-)
-
 PAYMENT_PAYLOAD = (
     "struct<id:string,event_type:string,resource:struct<id:string,billing_agreement_id:string,"
     "plan_id:string,subscriber:struct<email_address:string,name:struct<given_name:string,surname:string>,"

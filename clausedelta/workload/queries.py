@@ -14,6 +14,7 @@ from clausedelta.functions.html import with_html_text
 from clausedelta.functions.stages import with_computed
 from clausedelta.operators import billing, changes, health, links, pages, search, versions
 from clausedelta.operators import stored_search as stored
+from clausedelta.plans.crawl_run import crawl_run
 from clausedelta.plans.ingest import ingest_batch
 from clausedelta.plans.overview import overview
 from clausedelta.plans.search_request import stored_cards, stored_search_request
@@ -543,6 +544,32 @@ def q60_ingest_batch(spark, sf):
     )
 
 
+@query
+def q60_crawl_run(spark, sf):
+    """Two whole runs: the first fetch of every document, then the later ones; some sources fail in between."""
+    store = work_path(spark, "store")
+    fetches = _landed(views.fetches(spark, sf)).withColumn("run", F.least("round", F.lit(1)))
+    sites = views.sources(spark, sf).withColumn("link_selector", F.lit(None).cast("string")).drop("s_suppkey", "document_title")
+    title = F.concat(F.lit("Document "), F.col("document_id"))
+    links = fetches.select(
+        "run", "source_id", "url", title.alias("title"), ur.classify_document(title, F.col("url")).alias("document_type"),
+        F.col("fetched_at").alias("seen_at"),
+    )
+    failed = F.col("fetch_id") % 97 == 5
+    log = fetches.select(
+        F.col("run").cast("string").alias("run_id"), "source_id", F.col("source_id").alias("source_name"), (~failed).alias("success"),
+        F.when(failed, F.lit("no answer")).alias("error"), F.lit(1).cast("bigint").alias("documents"),
+        F.col("fetched_at").alias("started_at"), F.col("fetched_at").alias("ended_at"),
+    )
+    rows = []
+    for run in (0, 1):
+        rows.append(crawl_run(
+            spark, store, run, sites, links.where(F.col("run") == run).drop("run"), fetches.where(F.col("run") == run).drop("run"),
+            log.where(F.col("run_id") == str(run)),
+        ))
+    return rows[0].unionByName(rows[1])
+
+
 # --- search -----------------------------------------------------------------
 
 
@@ -781,7 +808,9 @@ def q90_source_results(spark, sf):
 
 @query
 def q91_run_summary(spark, sf):
-    return health.run_summary(_results(spark, sf), views.runs(spark, sf))
+    # The diffs of a day's run are those generated on it.
+    created = _diffs(spark, sf).select(F.to_date("generated_at").cast("string").alias("run_id"))
+    return health.run_summary(_results(spark, sf), views.runs(spark, sf), created)
 
 
 @query

@@ -241,3 +241,31 @@ def test_table_streams_of_either_layout(spark):
         out = f"{root}/out-{name}"
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start().awaitTermination(120)
         assert spark.read.parquet(out).orderBy("id").collect() == df.collect()
+
+
+def test_crawl_runs_keep_one_catalogue_and_count_what_they_made(spark):
+    from clausedelta.plans.crawl_run import crawl_run
+
+    store = work_path(spark, "run")
+    site = "id string, name string, base_url string, adapter_type string, link_selector string, is_active boolean"
+    link = "source_id string, url string, title string, document_type string, seen_at timestamp_ntz"
+    line = "run_id string, source_id string, source_name string, success boolean, error string, documents bigint, started_at timestamp_ntz, ended_at timestamp_ntz"
+    day = ["2024-01-01", "2024-01-03"]
+    sites = [[("s1", "Town", "https://t.gov", "custom", None, True)], [("other", "Town 2", "https://t.gov", "custom", None, True), ("s2", "City", "https://c.gov", "custom", None, True)]]
+    seen = [["https://t.gov/d", "https://t.gov/e"], ["https://t.gov/d", "https://t.gov/new"]]
+    logs = [[("0", "s1", "Town", True, None, 2)], [("1", "s1", "Town 2", True, None, 2), ("1", "s2", "City", False, "timeout", 0)]]
+    rows = [[ROWS[0], ROWS[4]], [ROWS[2], ("n", 9, "2024-01-03", A, "https://t.gov/new")]]
+
+    def run(i):
+        at = F.lit(day[i]).cast("timestamp_ntz")
+        links = spark.createDataFrame([("s1", u, "t", "notice") for u in seen[i]], link.rsplit(",", 1)[0]).withColumn("seen_at", at)
+        log = spark.createDataFrame(logs[i], line.rsplit(",", 2)[0]).withColumn("started_at", at).withColumn("ended_at", at)
+        return crawl_run(spark, store, i, spark.createDataFrame(sites[i], site), links, fetches(spark, rows[i]), log).first()
+
+    first, second, again = run(0), run(1), run(1)
+    assert (first.status, first.documents_registered, first.diffs_created, first.documents_found) == ("completed", 2, 0, 2)
+    assert (second.status, second.documents_registered, second.diffs_created, second.sources_failed) == ("partial_failure", 1, 1, 1) and again == second
+    stored = {r.base_url: (r.id, r.name) for r in spark.read.parquet(f"{store}/sources/batch_id=1").collect()}
+    assert stored == {"https://t.gov": ("s1", "Town 2"), "https://c.gov": ("s2", "City")}
+    assert sorted(r.url for r in read_batches(spark, f"{store}/documents").collect()) == ["https://t.gov/d", "https://t.gov/e", "https://t.gov/new"]
+    assert [(r.source_name, r.error) for r in read_batches(spark, f"{store}/run_failures").collect()] == [("City", "timeout")]
