@@ -7,7 +7,8 @@ context in level 3, and a level-3 successor is not a word but its rank among the
 pair's second word, which monotone pointers from level 1 into level 2 give. A lookup is a successor
 search within the context. Probabilities and back-off weights are 8-bit codes of per-shard tables. The
 levels are files in the shared folder that tasks map into memory, so a task's memory doesn't follow the
-model. Counts travel as Elias-Fano cells, folded per slice of texts, and meet by shard.
+model. Once level 1 is there, texts are written as word numbers, a slice of texts a row, and not cut again.
+Counts travel as Elias-Fano cells, folded per slice of texts, and meet by shard.
 
 Shards follow the words' cumulative counts, and a frequent word's pairs are split by the second word's,
 so no shard holds more than its share of a word that is a third of all tokens.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.llm.common import parts_for, shared_file_path, work_path
+from clausedelta.llm.common import parts_for, shared_file_path, work_path, written
 from clausedelta.llm.elias_fano import EliasFano, map_sequence, mapped, save, save_sequence
 from clausedelta.llm.segments import slices, texts_of
 from clausedelta.llm.shingles import distinct_word_hashes
@@ -41,6 +42,7 @@ from clausedelta.llm.shingles import distinct_word_hashes
 DISCOUNT = 0.75
 SHARD_BYTES, SLICE = 48 << 20, 8 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))  # no word holds a space
+NUMBERED = "learned boolean, docs array<bigint>, sizes binary, ids binary"
 CELL = "shard int, n bigint, width int, low binary, words binary, counts binary"
 DONE = "shard int, n bigint, total bigint, first_ctx bigint, first_n bigint, last_ctx bigint, last_n bigint, most bigint"
 SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -237,22 +239,25 @@ def done_row(shard: int, n: int, total: int = 0, ends: tuple = (0, 0, 0, 0), mos
 
 
 class Tokens:
-    """The tokens of some texts, an end after each: number among the distinct ones, hashes of those, and text."""
+    """The tokens of some texts, an end after each: number among the distinct ones, and hashes of those."""
 
     def __init__(self, texts: pa.Array) -> None:
         rows, index, hashes = distinct_word_hashes(texts)
         self.rows = rows + 1
         self.hashes = np.append(hashes, END)
         self.index = np.insert(index, np.cumsum(rows), len(hashes))
-        self.text = np.repeat(np.arange(len(rows)), self.rows)
 
 
 class Known:
-    """What level 1 has of the distinct words, then the neighbouring tokens that are both known."""
+    """What level 1 has of the distinct words of some texts, then the neighbouring tokens that are both known.
 
-    def __init__(self, trie: Trie, tokens: Tokens) -> None:
-        self.trie, self.index, self.text = trie, tokens.index, tokens.text
-        self.ids = trie.ids(tokens.hashes)
+    sizes: tokens of each text; ids: the word number of every token of all texts in turn, -1 for unknown words.
+    """
+
+    def __init__(self, trie: Trie, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.trie, self.sizes = trie, sizes
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.ids, self.index = np.unique(ids, return_inverse=True)
         known = self.ids >= 0
         self.before, self.counts, self.home = (np.zeros(len(known), dtype=np.int64) for _ in range(3))
         self.before[known] = trie.before(self.ids[known])
@@ -260,7 +265,7 @@ class Known:
         if trie.total:
             self.home = trie.first_shard(self.before)  # shard of the word's first pairs
         seen = known[self.index]
-        self.same = tokens.text[1:] == tokens.text[:-1]
+        self.same = self.text[1:] == self.text[:-1]
         self.at = np.flatnonzero(self.same & seen[1:] & seen[:-1]) + 1  # place of the second word
         self.first, self.second = self.index[self.at - 1], self.index[self.at]
         self.shard = np.zeros(0, dtype=np.int64)
@@ -280,7 +285,43 @@ class Known:
         self.rank = self.place[self.third] - starts[self.index[self.third - 1]]
 
 
-def level_cells(docs: DataFrame, keyed: Callable[[Tokens], pa.RecordBatch]) -> DataFrame:
+def number_type(trie: Trie) -> np.dtype:
+    """The largest value stands for unknown words."""
+    return np.dtype("<u4" if trie.distinct < (1 << 32) - 1 else "<u8")
+
+
+def numbered(docs: DataFrame, trie: Trie) -> DataFrame:
+    """NUMBERED of docs (doc_id, text, learned): a row per slice of texts and value of learned."""
+    kind = number_type(trie)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                learned = part.column("learned").to_numpy(zero_copy_only=False)
+                for flag in (True, False):
+                    mine = part.filter(pa.array(learned == flag))
+                    if mine.num_rows:
+                        tokens = Tokens(texts_of(mine, "text"))
+                        ids = trie.ids(tokens.hashes)[tokens.index].astype(kind)
+                        cols = [[flag], [mine.column("doc_id").to_pylist()], [tokens.rows.astype("<i8").tobytes()], [ids.tobytes()]]
+                        types = [pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                        names = [x.split()[0] for x in NUMBERED.split(", ")]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return docs.mapInArrow(cut, NUMBERED)
+
+
+def numbers_of(batch: pa.RecordBatch, trie: Trie) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Per row of NUMBERED the doc_ids, the sizes of their texts, and all word numbers."""
+    kind = number_type(trie)
+    for i in range(batch.num_rows):
+        ids = np.frombuffer(batch["ids"][i].as_buffer(), kind)
+        plain = ids.astype(np.int64)
+        plain[ids == np.iinfo(kind).max] = -1
+        yield batch["docs"][i].values, np.frombuffer(batch["sizes"][i].as_buffer(), "<i8"), plain
+
+
+def word_cells(docs: DataFrame, keyed: Callable[[Tokens], pa.RecordBatch]) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
@@ -289,6 +330,15 @@ def level_cells(docs: DataFrame, keyed: Callable[[Tokens], pa.RecordBatch]) -> D
     return docs.select("text").mapInArrow(cut, CELL)
 
 
+def level_cells(numbers: DataFrame, trie: Trie, keyed: Callable[[Known], pa.RecordBatch]) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sizes, ids in numbers_of(batch, trie):
+                yield keyed(Known(trie, sizes, ids))
+
+    return numbers.mapInArrow(cut, CELL)
+
+
 def collected(done: DataFrame, shards: int) -> dict[str, np.ndarray]:
     """One row of numbers per shard reaches the driver; a shard without cells has zeros."""
     rows = {r["shard"]: r for r in done.collect()}
@@ -302,10 +352,10 @@ def summed(values: np.ndarray) -> np.ndarray:
 
 def build_words(trie: Trie, docs: DataFrame) -> None:
     shards = trie.shards
+    starts = np.array([span(s, shards)[0] for s in range(shards)], dtype=np.uint64)
 
     def keyed(tokens: Tokens) -> pa.RecordBatch:
         shard = hash_shard(tokens.hashes, shards)
-        starts = np.array([span(s, shards)[0] for s in range(shards)], dtype=np.uint64)
         often = np.bincount(tokens.index, minlength=len(tokens.hashes))
         return cells(shard, tokens.hashes - starts[shard], lambda s: span(s, shards)[1], shards, often)
 
@@ -315,7 +365,7 @@ def build_words(trie: Trie, docs: DataFrame) -> None:
         save(trie.at("l1", shard), counts=counts)
         return done_row(shard, len(keys), counts.sum())
 
-    found = collected(level_cells(docs, keyed).groupBy("shard").applyInArrow(write, DONE), shards)
+    found = collected(word_cells(docs, keyed).groupBy("shard").applyInArrow(write, DONE), shards)
     trie.words, trie.tokens = summed(found["n"]), summed(found["total"])
     empty = np.empty(0, np.uint64)
     for s in range(shards):  # cumulative counts need the totals of the shards before
@@ -362,15 +412,14 @@ def word_at(trie: Trie, token: int) -> int:
     return int(np.searchsorted(before, token, side="right")) - 1 + int(trie.words[s])
 
 
-def build_pairs(trie: Trie, docs: DataFrame) -> None:
+def build_pairs(trie: Trie, numbers: DataFrame) -> None:
     trie.first, trie.last = context_bounds(trie)
     shards, distinct = trie.shards, trie.distinct
 
     def universe(s: int) -> int:
         return int(trie.last[s] - trie.first[s] + 1) * distinct
 
-    def keyed(tokens: Tokens) -> pa.RecordBatch:
-        k = Known(trie, tokens)
+    def keyed(k: Known) -> pa.RecordBatch:
         keys = (k.ids[k.first] - trie.first[k.shard]) * distinct + k.ids[k.second]
         return cells(k.shard, keys.astype(np.uint64), universe, shards)
 
@@ -383,7 +432,7 @@ def build_pairs(trie: Trie, docs: DataFrame) -> None:
         ends = (int(v[0]) + trie.first[shard], fan[0], int(v[-1]) + trie.first[shard], fan[-1])
         return done_row(shard, len(keys), counts.sum(), ends, fan.max())
 
-    found = collected(level_cells(docs, keyed).groupBy("shard").applyInArrow(write, DONE), shards)
+    found = collected(level_cells(numbers, trie, keyed).groupBy("shard").applyInArrow(write, DONE), shards)
     trie.pairs = summed(found["n"])
     for s in np.flatnonzero(found["n"] == 0):
         save_sequence(trie.at("l2", s), "key", EliasFano.build(np.empty(0, np.uint64), max(universe(s), 1)))
@@ -394,7 +443,7 @@ def build_pairs(trie: Trie, docs: DataFrame) -> None:
         for word, n in edges:
             spread[int(word)] = spread.get(int(word), 0) + int(n)
     trie.width = max([int(found["most"].max(initial=0)), *spread.values(), 0]) + 1
-    per_shard(trie, docs, lambda t, s: weigh_pairs(t, s, spread))
+    per_shard(trie, numbers, lambda t, s: weigh_pairs(t, s, spread))
 
 
 def small_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -432,14 +481,13 @@ def weigh_pairs(trie: Trie, shard: int, spread: dict[int, int]) -> None:
     save_sequence(folder, "ptr", EliasFano.build(starts.astype(np.uint64), len(keys) + 1))
 
 
-def build_triples(trie: Trie, docs: DataFrame) -> None:
+def build_triples(trie: Trie, numbers: DataFrame) -> None:
     shards = trie.shards
 
     def universe(s: int) -> int:
         return max(int(trie.pairs[s + 1] - trie.pairs[s]), 1) * trie.width
 
-    def keyed(tokens: Tokens) -> pa.RecordBatch:
-        k = Known(trie, tokens)
+    def keyed(k: Known) -> pa.RecordBatch:
         k.find()
         shard, local = trie.pair_places(k.context)
         return cells(shard, (local * trie.width + k.rank).astype(np.uint64), universe, shards)
@@ -449,7 +497,7 @@ def build_triples(trie: Trie, docs: DataFrame) -> None:
         write_triples(trie, shard, keys, counts, universe(shard))
         return done_row(shard, len(keys), counts.sum())
 
-    found = collected(level_cells(docs, keyed).groupBy("shard").applyInArrow(write, DONE), shards)
+    found = collected(level_cells(numbers, trie, keyed).groupBy("shard").applyInArrow(write, DONE), shards)
     for s in np.flatnonzero(found["n"] == 0):
         write_triples(trie, s, np.empty(0, np.uint64), np.empty(0, np.int64), universe(s))
 
@@ -474,12 +522,12 @@ def write_triples(trie: Trie, shard: int, keys: np.ndarray, counts: np.ndarray,
     save(trie.at("l3", shard), **{"prob": codes, "prob.table": table, "back": back, "back.table": back_table})
 
 
-def score_tokens(trie: Trie, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_tokens(trie: Trie, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: count in training, log10 of the base probability, log10 of the model's."""
     if not trie.total:
-        zero = np.zeros(len(tokens.index))
+        zero = np.zeros(len(ids))
         return zero, zero, zero
-    k = Known(trie, tokens)
+    k = Known(trie, sizes, ids)
     k.find()
     base = trie.unigram(k.counts)[k.index]
     back = np.zeros(len(k.ids))
@@ -500,43 +548,63 @@ def score_tokens(trie: Trie, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np
     return k.counts[k.index], base, score
 
 
-def train(docs: DataFrame, shards: int | None = None) -> Trie:
-    """Builds the levels from the texts."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+def new_trie(docs: DataFrame, shards: int | None) -> Trie:
+    """An empty trie; the number of shards follows the bytes of the texts to learn from."""
     if shards is None:
-        total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         shards = parts_for(total, SHARD_BYTES, 4)
-    trie = Trie(shared_file_path(work_path(spark, "ngram-trie")), shards)
-    build_words(trie, texts)
-    if trie.total:
-        build_pairs(trie, texts)
-        build_triples(trie, texts)
-    return trie
+    return Trie(shared_file_path(work_path(docs.sparkSession, "ngram-trie")), shards)
 
 
-def score(docs: DataFrame, trie: Trie) -> DataFrame:
-    """SCORES of every text."""
+def texts_and_ids(docs: DataFrame, learned: Column) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.coalesce(learned, F.lit(False)).alias("learned"),
+    )
+
+
+def train(docs: DataFrame, shards: int | None = None) -> Trie:
+    """Builds the levels from the texts."""
+    return learned_and_numbered(texts_and_ids(docs, F.lit(True)), shards)[0]
+
+
+def learned_and_numbered(docs: DataFrame, shards: int | None) -> tuple[Trie, DataFrame | None]:
+    """The levels of the texts marked as learned, and NUMBERED of all; none if there is nothing to learn."""
+    trie = new_trie(docs.where("learned"), shards)
+    build_words(trie, docs.where("learned"))
+    if not trie.total:
+        return trie, None
+    numbers = written(numbered(docs, trie), "word-numbers", compression="zstd")
+    build_pairs(trie, numbers.where("learned"))
+    build_triples(trie, numbers.where("learned"))
+    return trie, numbers
+
+
+def judged(numbers: DataFrame, trie: Trie) -> DataFrame:
+    """SCORES of NUMBERED texts."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                tokens = Tokens(texts_of(part, "text"))
-                counts, base, points = score_tokens(trie, tokens)
-                n = len(tokens.rows)
-                sums = [np.bincount(tokens.text, weights=x, minlength=n) for x in ((counts > 0), base, points)]
+            for docs, sizes, ids in numbers_of(batch, trie):
+                counts, base, points = score_tokens(trie, sizes, ids)
+                n, text = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+                sums = [np.bincount(text, weights=x, minlength=n) for x in ((counts > 0), base, points)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").cast(pa.int64()), pa.array(tokens.rows.astype(np.int64)),
-                        pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
-                    ],
+                    [docs, pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                     [x.split()[0] for x in SCORES.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(judge, SCORES)
+    return numbers.mapInArrow(judge, SCORES)
+
+
+def score(docs: DataFrame, trie: Trie) -> DataFrame:
+    """SCORES of every text."""
+    return judged(numbered(texts_and_ids(docs, F.lit(False)), trie), trie)
 
 
 def score_held_out(docs: DataFrame, held_out: Column) -> DataFrame:
     """Learns from the documents that are not held out and scores all."""
-    trie = train(docs.where(~held_out))
-    return score(docs, trie).withColumn("train_tokens", F.lit(trie.total).cast("long"))
+    rows = texts_and_ids(docs, ~held_out)
+    trie, numbers = learned_and_numbered(rows, None)
+    found = score(docs, trie) if numbers is None else judged(numbers, trie)
+    return found.withColumn("train_tokens", F.lit(trie.total).cast("long"))
