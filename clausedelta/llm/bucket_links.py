@@ -1,8 +1,10 @@
 """Links between the members of many small or large buckets, without the pairs of a bucket.
 
-First each bucket's nodes are tried against one leader (a star, so a thousand near copies are a thousand
-pairs); then exactly the pairs whose components still differ, out of buckets with several components, that
-an exact bound on the difference of their sets lets through.
+First each bucket's groups are tried against one leader (a star, so a thousand near copies are a thousand
+pairs). Then the members of buckets that still have several components are tried in the same way, each
+bucket against a member of its own, round by round while links are found: a round is linear in the members,
+and a leader has met all it can link to and leaves its bucket. What is left after that is joined, exactly the
+pairs whose components still differ and that an exact bound on the difference of their sets lets through.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from clausedelta.llm.components import merge_components
 
 STAR_ROUNDS = 3
 SKETCH_LONGS = 8
+FEW_PAIRS = 4  # pairs of a bucket's members for each of them, from which on they are joined at once
 VERIFY_ROWS = 200  # pairs of whole sets or passages in a batch
 ENTRY = ("grp", "comp", "n", "pos")
 
@@ -107,10 +110,53 @@ def link_buckets(
     mixed = split.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     met = entries.join(mixed.select("token"), "token", "left_semi").join(member_comps, "grp").join(sketches, "node")
     left = written(met.select("token", "node", "comp", "n", "rest", "bits"), "open-entries")
-    one, two = (
-        left.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "rest", "bits")))
-        for x in "ab"
+    step = 0
+    while many_pairs(left):
+        pairs, left = member_stars(left, step)
+        links = written(verify(pairs), "links", VERIFY_ROWS)
+        if links.isEmpty():
+            break
+        labels = merge_components(labels, links)
+        left, step = still_mixed(left, labels), step + 1
+    rest = sided(left, "a").join(sided(left, "b"), "token").where((F.col("comp_a") < F.col("comp_b")) & may_link())
+    return merge_components(labels, written(verify(rest.select("a", "b").distinct()), "links", VERIFY_ROWS))
+
+
+def many_pairs(left: DataFrame) -> bool:
+    """Whether a join of the buckets would compare many pairs for each of their members."""
+    sizes = left.groupBy("token").agg(F.count("*").alias("k"))
+    members, pairs = sizes.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
+    return bool(members) and pairs > FEW_PAIRS * members
+
+
+def sided(left: DataFrame, x: str) -> DataFrame:
+    return left.select(
+        "token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "rest", "bits"))
     )
-    apart = (F.col("comp_a") < F.col("comp_b")) & long_enough("na", "nb") & difference_possible()
-    rest = one.join(two, "token").where(apart).select("a", "b").distinct()
-    return merge_components(labels, written(verify(rest), "links", VERIFY_ROWS))
+
+
+def may_link() -> Column:
+    return long_enough("na", "nb") & difference_possible()
+
+
+def member_stars(left: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: of every bucket its leader and the members of other components that it may link to; and the entries without leaders.
+
+    The leader is drawn anew for each bucket and round, so that equal buckets try different members.
+    """
+    draw = F.xxhash64("token", "node", F.lit(step))
+    leaders = written(left.groupBy("token").agg(F.min_by("node", draw).alias("lead")), "leaders")
+    marked = left.join(leaders, "token").withColumn("_leads", F.col("node") == F.col("lead"))
+    first = sided(marked.where("_leads"), "b")
+    others = sided(marked.where("not _leads"), "a")
+    pairs = others.join(first, "token").where((F.col("comp_a") != F.col("comp_b")) & may_link())
+    ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ends, marked.where("not _leads").drop("lead", "_leads")
+
+
+def still_mixed(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries with their new components, of buckets that have several of them."""
+    now = left.drop("comp").join(labels.select("node", "comp"), "node")
+    now = written(now.select("token", "node", "comp", "n", "rest", "bits"), "open-entries")
+    mixed = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return written(now.join(mixed.select("token"), "token", "left_semi"), "open-entries")

@@ -64,6 +64,25 @@ def test_jaccard_of_chains_and_hot_groups(spark):
     assert got == {d: (len(s), want[d]) for d, s in sets.items()}
 
 
+def test_a_group_of_near_copies_is_linear_work(spark, monkeypatch):
+    """Copies of one text, each changed elsewhere, most pairs too far apart: few pairs reach the join's end."""
+    rng, base = random.Random(5), [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(600):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(400)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    asked, plain = [], jaccard_groups.verified
+    monkeypatch.setattr(jaccard_groups, "verified", lambda pairs, sets: asked.append(pairs.count()) or plain(pairs, sets))
+    got = {r.doc_id: r.component_id for r in jaccard_groups.jaccard_components(docs).collect()}
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    true = near_pairs(sets)
+    assert got == groups_of(true, sets)
+    assert sum(asked) < 3 * len(texts) < len(true) and asked[-1] < len(texts) / 4
+
+
 def test_jaccard_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
