@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +13,10 @@ SURROGATE_KEY = b"registered queries"
 
 
 def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clausedelta.llm.digest_index import DigestIndex, index_buckets
+    from clausedelta.llm.digest_index import deduplicated
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", index_buckets(spark))
-    return index.add(docs, batch="all").select(
+    return deduplicated(docs).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 

@@ -31,8 +31,35 @@ def test_digest_index(spark, odd_docs, no_docs):
     assert got == {99: (7, False), 100: (101, False), 101: (101, True)}
     assert index.rows().groupBy("digest").count().where("count > 1").isEmpty()
     assert index.add(no_docs, "b3").isEmpty()
+    before = sorted(map(tuple, index.rows().collect()), key=str)
+    index.compact()
+    assert sorted(map(tuple, index.rows().collect()), key=str) == before
+    again = digest_index.DigestIndex(spark, "digests_of_test", 4)
+    assert {r.doc_id: r.kept for r in again.add(later, "b4").collect()} == {99: False, 100: False, 101: True}
     plan = spark.table("digests_of_test").groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+    index.drop()
+    assert not spark.catalog.tableExists("digests_of_test")
+
+
+def test_corpus_through_a_filled_index(spark, odd_docs, no_docs, monkeypatch):
+    """Batches by descending id find their copies in the index: the same as one pass over all."""
+    texts = odd_docs.select("doc_id", "text")
+    more = spark.createDataFrame([(100 + i, f"text {i % 7}") for i in range(60)], "doc_id bigint, text string")
+    both = texts.union(more)
+    fresh, plain = [], digest_index.DigestIndex._append
+    monkeypatch.setattr(digest_index.DigestIndex, "_append", lambda self, rows: (fresh.append(rows.count()), plain(self, rows)))
+    rows = digest_index.deduplicated(both).collect()
+    by = defaultdict(list)
+    for r in both.collect():
+        by[hashlib.sha256(lowered(r.text).encode()).digest()].append(r.doc_id)
+    assert len(rows) == both.count() and len(fresh) == 5 and sum(fresh) == len(by)
+    for r in rows:
+        ids = by[bytes(r.digest)]
+        keep = max((i for i in ids if i is not None), default=None)
+        assert (r.keep_id, r.group_size, r.kept) == (keep, len(ids), r.doc_id == keep)
+    assert digest_index.deduplicated(no_docs).isEmpty()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digests_")]
 
 
 def test_jaccard_of_odd_documents(odd_docs, no_docs):

@@ -105,8 +105,60 @@ def test_surrogates_are_permutations():
     assert len(ssn) == 3000
 
 
+def replaced(text, key=b"k"):
+    """Brute force: every entity of a text, found anew from the left in what is left of it."""
+    made, out = sg.Surrogates(key), ""
+    marks = sg.spans(text)
+    for i, char in enumerate(text):
+        inside = [m for m in marks if m[0] <= i < m[1]]
+        out += made.make(inside[0][2], text[i : inside[0][1]]) if inside and inside[0][0] == i else "" if inside else char
+    return out
+
+
+def test_every_mention_of_a_name_goes_together(spark):
+    texts = [
+        "Mr. John Smith met us. John Smith said hello; Smith left, Smith's dog and Smithers stayed.", "Smith called. Then Mrs. Smith rang back.",
+        "Mr. Wu and Dr. Jane Doe; Wu smiled, Doe too.", "Pani Wałęsa? Frau Łucja Wałęsa łapie. Łucja Wałęsa, Wałęsa.",
+        "Herr Müller und Frau Müller, Prof. Dr. Müller", "Herr 山田太郎 and 山田太郎.", "Mr. martin and Frau Martin",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sorted(sg.surrogate_documents(docs, b"k").collect(), key=lambda r: r.doc_id)
+    assert [r.text for r in rows] == [replaced(t) for t in texts]
+    new = [[r.text[e.start : e.stop] for e in r.entities] for r in rows]
+    assert new[0][0] == new[0][1] and new[0][0].split()[1] == new[0][2] and "'s dog and Smithers stayed" in rows[0].text
+    assert len(set(new[1])) == 1 and new[2][0] == new[2][2] != "Wu" and new[2][1].split()[-1] == new[2][3]
+    assert len(new[3]) == 4 and not set(new[3]) & {"Łucja Wałęsa", "Wałęsa"} and "łapie" in rows[3].text
+    assert len(set(new[4])) == 1 and len(set(new[5])) == 1 and len(new[5][0]) == 4
+    olds = {t[a:b] for t in texts for a, b, _ in sg.spans(t)}
+    assert not olds & {n for each in new for n in each} and not any(o in r.text for o in olds - {"Smith"} for r in rows)
+    assert "Smith " not in rows[0].text + rows[1].text
+
+
+def test_more_formats_change_and_stay_what_they_are():
+    made = sg.Surrogates(b"k")
+    for kind, value in [
+        ("ipv6", "2001:db8::8a2e:370:7334"), ("ipv6", "fe80::1:2:3"), ("ipv6", "2001:0DB8:0000:0000:0000:8A2E:0370:7334"),
+        ("phone", "020 7946 0958"), ("phone", "01632 960983"), ("phone", "01 23 45 67 89"), ("card", "3782 822463 10005"),
+    ]:
+        new = made.of(kind, value)
+        assert new != value and [(f"at {new}, end"[a:b], k) for a, b, k in sg.spans(f"at {new}, end")] == [(new, kind)], (value, new)
+        assert sg.canonical(kind, made.of(kind, sg.canonical(kind, value))) == sg.canonical(kind, new) or kind != "ipv6"
+    assert made.of("ipv6", "fe80::1:2:3").startswith("fe80::")
+    for word in ("martin", "Anna", "Wu", "Ng", "Łoś", "Žižek", "محمد", "דוד", "O'Neil", "金"):
+        assert made.of("name_u", word) != word, word
+    for gender, known in sg.GIVEN.items():
+        assert {made.of("name_" + gender, n).lower() for n in known} == set(known)  # a permutation that moves all
+    step = sg.Permutation(b"k").step
+    for size in (2, 3, 26, 1000):
+        seen, x = set(), 0
+        for _ in range(size):
+            x = step(x, size, "t")
+            seen.add(x)
+        assert seen == set(range(size))
+
+
 def test_clean_numbers_stay():
-    for text in ("on 2024-01-31 at 12:30", "pages 12-14, 3.14159", "version 1.2.3", "Frau", "a@b", "year 1999 2000 2001", "1234567"):
+    for text in ("on 2024-01-31 at 12:30", "pages 12-14, 3.14159", "version 1.2.3", "Frau", "a@b", "year 1999 2000 2001", "1234567", "at 12:30:45", "std::vec a::b", "aa:bb:cc:dd:ee:ff", "Smith and John"):
         assert sg.spans(text) == [], text
 
 
