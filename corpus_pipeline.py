@@ -6,8 +6,7 @@ so a lost executor costs no more than a part of one stage.
 
 Defined results. Language ID drops texts without a letter and texts like none of the languages: those of
 which less than half the letters are usual ones (the commonest that make up 99 % of a language's training
-letters), and those of LONG_LETTERS or more whose cosine is within the noise, below MIN_COSINE. Shorter
-texts are judged by their letters alone. Exact dedup keeps one row of each text, A-Z lowered, that of the largest doc_id.
+letters), and those whose cosine is within the noise for their number of letters (see needed_cosine). Exact dedup keeps one row of each text, A-Z lowered, that of the largest doc_id.
 Near dedup keeps the smallest doc_id of each group of linked documents; rows without an id stay. Texts
 whose personal data is replaced get a new n_chars, where that column exists. Null text is without a
 letter. Columns of any name pass through unchanged. An empty table gives an empty result.
@@ -15,15 +14,14 @@ letter. Columns of any name pass through unchanged. An empty table gives an empt
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausedelta.llm.common import ascii_lower, read_table, written
 
 MIN_COSINE = 0.125  # four times the spread of the cosine of unrelated random vectors at DIM = 1024, 1/32
-LONG_LETTERS = 100  # a shorter clean text can share too few trigrams with its language to stand out of the noise
+FULL_LETTERS = 100  # the cosine of a text grows with the square root of its letters; from here on it is at its height
+SLACK = 0.0625  # twice that spread: what a text of no letters at all may fall below zero
 SEQUENCE = 4096
 PII_KEY = b"corpus pipeline"  # of the registered query alone; a user brings a secret of their own
 
@@ -34,15 +32,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     out, n = ("_stage_lang", "_stage_cosine"), ("_stage_letters", "_stage_usual")
     training = docs.where(~held_out(F.col("doc_id")))
     judged = count_letters(identify(docs, learn(training), out=out), usual_letters(training), n)
-    like = (F.col(out[1]) >= MIN_COSINE) | (F.col(n[0]) < LONG_LETTERS)
+    like = F.col(out[1]) >= needed_cosine(F.col(n[0]))
     return judged.where((F.col(out[0]) != UNKNOWN) & (F.col(n[1]) * 2 >= F.col(n[0])) & like).drop(*out, *n)
 
 
+def needed_cosine(letters: Column) -> Column:
+    """The same likeness per trigram whatever the length, less the spread of the noise, which is all that short texts have."""
+    grown = F.least(F.lit(1.0), F.sqrt(letters / FULL_LETTERS))
+    return grown * MIN_COSINE - (1 - grown) * SLACK
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from clausedelta.llm.digest_index import DigestIndex, index_buckets
+    from clausedelta.llm.digest_index import deduplicated
 
-    index = DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}", index_buckets(spark))
-    kept = index.add(docs, batch="all").where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept"))
+    kept = deduplicated(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept"))
     text = F.coalesce(ascii_lower(F.col("text")), F.lit(""))
     rows = docs.withColumn("_digest", F.unhex(F.sha2(text, 256)))
     same = (rows["_digest"] == kept["_kept"]) & rows["doc_id"].cast("long").eqNullSafe(kept["_kept_id"])
