@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from clausedelta.llm.bucket_links import VERIFY_ROWS, link_buckets, sketch
 from clausedelta.llm.common import parts_for, written
 from clausedelta.llm.components import merge_components
-from clausedelta.llm.segments import gather, slices, texts_of
+from clausedelta.llm.segments import gather, give_back, slices, texts_of
 from clausedelta.llm.shingles import finish, shingle_sets
 
 SHARD_BYTES, SLICE = 12 << 20, 6 << 20
@@ -63,17 +63,17 @@ def by_shard(shard: np.ndarray, docs: np.ndarray, shards: int, *values: np.ndarr
             yield s, mine[first], np.diff(np.append(first, len(mine))), *(v[part] for v in values)
 
 
-def give_back() -> None:
-    """Freed Arrow memory goes back to the system: the worker shares its executor's memory with the JVM."""
+def small_pool() -> None:
+    """Arrow uses the system's memory from here on, which gives back what is freed."""
     pa.set_memory_pool(pa.system_memory_pool())
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def sharded_sets(docs: DataFrame, shards: int) -> DataFrame:
     """CELLS: hashes by range, document after document; sizes of the sets go to shard + document bucket."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        small_pool()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -105,7 +105,7 @@ def shared_only(shards: int):
     """Of a hash range, the hashes that occur twice or more, dealt out to the documents' buckets with log2 of how often."""
 
     def keep(table: pa.Table) -> pa.Table:
-        give_back()
+        small_pool()
         if table["shard"][0].as_py() >= shards:
             return table.set_column(0, "shard", pa.array([table["shard"][0].as_py() - shards] * len(table), pa.int32()))
         counts, hashes = numbers(table["counts"], np.int64), numbers(table["hashes"], np.uint64)
@@ -130,7 +130,7 @@ def shared_only(shards: int):
 
 def document_sets(table: pa.Table) -> pa.Table:
     """SETS of the documents of a bucket: shared shingles rare first, the shared part of the prefix, and keys."""
-    give_back()
+    small_pool()
     sized = table.filter(pa.compute.is_null(table["hashes"]))
     ids, at = np.unique(numbers(sized["docs"], np.int64), return_inverse=True)
     sizes = np.bincount(at, weights=numbers(sized["counts"], np.int64), minlength=len(ids)).astype(np.int64)
@@ -175,7 +175,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: of the pairs, those with 100 * intersection >= 80 * union. Equal keys never get here twice."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        small_pool()
         for batch in batches:
             keep = []
             for na, ta, nb, tb in zip(batch["na"].to_pylist(), batch["ta"], batch["nb"].to_pylist(), batch["tb"], strict=True):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from clausedelta.llm.segments import slices, texts_of
+from clausedelta.llm.segments import give_back, slices, texts_of
 
 DIM = 1024
 UNKNOWN = "und"
@@ -141,19 +141,33 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text") -> dict[str,
 
 
 def identify(
-    docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: tuple[str, str] = ("lang_pred", "score"),
+    usual: np.ndarray | None = None, counts: tuple[str, str] = ("n_letters", "n_usual"),
 ) -> DataFrame:
-    """Adds the language and the cosine, 0 to 1."""
+    """Adds the language and the cosine, 0 to 1; with `usual` (see usual_letters) in the same pass `counts`:
+    how many letters the text has, and how many of them are usual ones."""
     names = list(prototypes)
     table = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-300) for n in names])
-    rest = docs.drop(*out)
-    schema = StructType([*rest.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())])
+    points = None if usual is None else np.flatnonzero(usual)
+    new = [*out, *(counts if usual is not None else ())]
+    rest = docs.drop(*new)
+    kinds = [StringType(), DoubleType(), LongType(), LongType()]
+    schema = StructType([*rest.schema.fields, *(StructField(c, t) for c, t in zip(new, kinds, strict=False))])
+
+    def letter_counts(texts: list[str], known: np.ndarray) -> list[pa.Array]:
+        found, owner = letter_points(texts)
+        n, seen = (np.bincount(x, minlength=len(texts)) for x in (owner, owner[known[found]]))
+        return [pa.array(n.astype(np.int64)), pa.array(seen.astype(np.int64))]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0x110000, dtype=bool)
+        if points is not None:
+            known[points] = True
         for batch in batches:
             for part in slices(batch, text, SLICE):
+                texts = texts_of(part, text).to_pylist()
                 best, scores = [], []
-                for v in Trigrams(texts_of(part, text).to_pylist()).of_rows():
+                for v in Trigrams(texts).of_rows():
                     size = 0.0 if v is None else float(np.linalg.norm(v))
                     if not names or size == 0:
                         best.append(UNKNOWN)
@@ -163,8 +177,10 @@ def identify(
                     i = int(np.argmax(near))
                     best.append(names[i])
                     scores.append(min(max(float(near[i]), 0.0), 1.0))
-                columns = [*part.columns, pa.array(best, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *out])
+                more = [] if points is None else letter_counts(texts, known)
+                columns = [*part.columns, pa.array(best, pa.string()), pa.array(scores, pa.float64()), *more]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *new])
+        give_back()
 
     return rest.mapInArrow(judge, schema)
 
@@ -203,26 +219,6 @@ def usual_letters(docs: DataFrame, label: str = "lang", text: str = "text", shar
     return usual
 
 
-def count_letters(docs: DataFrame, usual: np.ndarray, out: tuple[str, str], text: str = "text") -> DataFrame:
-    """Adds how many letters a text has, and how many of them are usual ones."""
-    points = np.flatnonzero(usual)
-    rest = docs.drop(*out)
-    schema = StructType([*rest.schema.fields, *(StructField(c, LongType()) for c in out)])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0x110000, dtype=bool)
-        known[points] = True
-        for batch in batches:
-            for part in slices(batch, text, SLICE):
-                found, owner = letter_points(texts_of(part, text).to_pylist())
-                n = np.bincount(owner, minlength=part.num_rows)
-                seen = np.bincount(owner[known[found]], minlength=part.num_rows)
-                columns = [*part.columns, pa.array(n.astype(np.int64)), pa.array(seen.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *out])
-
-    return rest.mapInArrow(count, schema)
-
-
 def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     """Whether a document is kept from training; a null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

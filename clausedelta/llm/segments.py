@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +14,14 @@ SLICE_BYTES = 12 << 20
 CACHE_SEGMENTS = 700_000
 
 
+def give_back() -> None:
+    """What Arrow and the allocator hold free goes back to the system: the worker shares its executor's memory
+    with the JVM, and lives on through the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the GNU C library's call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about `most` bytes, so that memory doesn't follow the batch."""
     if batch.num_rows == 0:
