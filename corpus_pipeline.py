@@ -27,11 +27,11 @@ PII_KEY = b"corpus pipeline"  # of the registered query alone; a user brings a s
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from clausedelta.llm.language_profiles import UNKNOWN, count_letters, held_out, identify, learn, usual_letters
+    from clausedelta.llm.language_profiles import UNKNOWN, held_out, identify, learn, usual_letters
 
     out, n = ("_stage_lang", "_stage_cosine"), ("_stage_letters", "_stage_usual")
     training = docs.where(~held_out(F.col("doc_id")))
-    judged = count_letters(identify(docs, learn(training), out=out), usual_letters(training), n)
+    judged = identify(docs, learn(training), out=out, usual=usual_letters(training), counts=n)
     like = F.col(out[1]) >= needed_cosine(F.col(n[0]))
     return judged.where((F.col(out[0]) != UNKNOWN) & (F.col(n[1]) * 2 >= F.col(n[0])) & like).drop(*out, *n)
 
