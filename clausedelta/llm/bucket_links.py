@@ -2,8 +2,8 @@
 
 First each bucket's groups are tried against one leader (a star, so a thousand near copies are a thousand
 pairs). Then the members of buckets that still have several components are tried in the same way, each
-bucket against a member of its own, round by round while links are found: a round is linear in the members,
-and a leader has met all it can link to and leaves its bucket. What is left after that is joined, exactly the
+bucket against a member of its own, round by round while that links many of them: a round is linear in the
+members, and a leader has met all it can link to and leaves its bucket. What is left after that is joined, exactly the
 pairs whose components still differ and that an exact bound on the difference of their sets lets through.
 """
 
@@ -16,11 +16,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.llm.common import written
+from clausedelta.llm.common import discard, written
 from clausedelta.llm.components import merge_components
 
 STAR_ROUNDS = 3
 SKETCH_LONGS = 8
+FEW_LINKS = 50  # members of the open buckets for each link that a round has found, from which on they are joined at once
 FEW_PAIRS = 4  # pairs of a bucket's members for each of them, from which on they are joined at once
 VERIFY_ROWS = 200  # pairs of whole sets or passages in a batch
 ENTRY = ("grp", "comp", "n", "pos")
@@ -110,14 +111,15 @@ def link_buckets(
     mixed = split.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     met = entries.join(mixed.select("token"), "token", "left_semi").join(member_comps, "grp").join(sketches, "node")
     left = written(met.select("token", "node", "comp", "n", "rest", "bits"), "open-entries")
-    step = 0
-    while many_pairs(left):
-        pairs, left = member_stars(left, step)
+    step, going = 0, many_pairs(left)
+    while going:
+        pairs, rest, leaders = member_stars(left, step)
         links = written(verify(pairs), "links", VERIFY_ROWS)
-        if links.isEmpty():
-            break
-        labels = merge_components(labels, links)
-        left, step = still_mixed(left, labels), step + 1
+        found = links.count()
+        labels, old = merge_components(labels, links) if found else labels, left
+        left = still_mixed(rest, labels)
+        discard(old, leaders, links)
+        step, going = step + 1, found * FEW_LINKS > left.select("node").distinct().count() and many_pairs(left)
     rest = sided(left, "a").join(sided(left, "b"), "token").where((F.col("comp_a") < F.col("comp_b")) & may_link())
     return merge_components(labels, written(verify(rest.select("a", "b").distinct()), "links", VERIFY_ROWS))
 
@@ -139,8 +141,9 @@ def may_link() -> Column:
     return long_enough("na", "nb") & difference_possible()
 
 
-def member_stars(left: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
-    """a, b: of every bucket its leader and the members of other components that it may link to; and the entries without leaders.
+def member_stars(left: DataFrame, step: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """a, b: of every bucket its leader and the members of other components that it may link to; the entries without
+    leaders; and the leaders' table.
 
     The leader is drawn anew for each bucket and round, so that equal buckets try different members.
     """
@@ -151,7 +154,7 @@ def member_stars(left: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     others = sided(marked.where("not _leads"), "a")
     pairs = others.join(first, "token").where((F.col("comp_a") != F.col("comp_b")) & may_link())
     ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return ends, marked.where("not _leads").drop("lead", "_leads")
+    return ends, marked.where("not _leads").drop("lead", "_leads"), leaders
 
 
 def still_mixed(left: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,4 +162,6 @@ def still_mixed(left: DataFrame, labels: DataFrame) -> DataFrame:
     now = left.drop("comp").join(labels.select("node", "comp"), "node")
     now = written(now.select("token", "node", "comp", "n", "rest", "bits"), "open-entries")
     mixed = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return written(now.join(mixed.select("token"), "token", "left_semi"), "open-entries")
+    left = written(now.join(mixed.select("token"), "token", "left_semi"), "open-entries")
+    discard(now)
+    return left

@@ -9,6 +9,8 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clausedelta.session import drop_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -46,6 +48,13 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None, **options:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Drops written tables that no plan reads any more."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            drop_path(table.sparkSession, folder)
+
+
 def shared_file_path(uri: str) -> str:
     """Path of a shared folder as Python sees it; memory mapping needs one that is mounted."""
     parts = urlparse(uri)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.llm.common import written
+from clausedelta.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         )
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lower, "u")
-        now = written(
+        old, now = now, written(
             joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
             .distinct(),
             "cc",
         )
+        discard(old, large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31))).first()
         if state == before:
             return now.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "node")
