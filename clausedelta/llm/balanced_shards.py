@@ -1,9 +1,12 @@
 """Balanced label propagation: documents move to the shards of those they are linked with.
 
-Linked nodes start spread evenly. In each round half of them (by a hash of node and pair of rounds, so that
-two partners do not swap places for ever, and the other half in the next round) may ask for the shard where
-most of their neighbours are; a shard grants what its row quota allows. Rounds go on until no node, active
-or not, has a wish, or until as many rounds as `rounds` in a row have not lowered the number of wishes:
+Linked nodes start spread evenly. A node wishes to be in the shard where most of its neighbours are. Every link
+points from the node of lower rank (fewer links, then hash) to the one of higher rank, and rounds take turns: in
+one, nodes move that have a neighbour of higher rank where they wish to go, in the next the others, so that
+two partners never swap places and the leaves of a star follow its centre in one round. Those that follow a node with
+more links than a shard has rows come last, or they would take the room of groups that fit. A shard grants what its
+row quota allows. Rounds go on until no node has a wish, until no turn is granted any (nothing would ever
+change then), or until as many rounds as `rounds` in a row have not lowered the number of wishes:
 then quotas stand against the rest. Nodes without links fill the room that is left, so shard
 sizes differ by one row at most. Votes are joins and map-side aggregates; only the counts per
 (from, to) pair of shards, shards^2 numbers, reach the driver.
@@ -17,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausedelta.llm.common import parts_for, ranked, written
+from clausedelta.llm.common import discard, parts_for, ranked, written
 
 CHUNK_ROWS = 50_000
+FOLLOWS, CROWDS, LEADS = 0, 1, 2  # turns: led by a node of higher rank, by one whose neighbours fit no shard, by none
 
 
 def quotas(wanted: dict[tuple[int, int], int], held: list[int], room: list[int]) -> dict[tuple[int, int], int]:
@@ -48,6 +52,29 @@ def by_pair(table: dict[tuple[int, int], int], a: str, b: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*cells), F.concat_ws(",", a, b)), F.lit(0))
 
 
+def links_both_ways(edges: DataFrame, cap: int) -> DataFrame:
+    """src, dst, turn: every link in both directions, self-links left out; cap: rows of a shard."""
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = written(both.where("src <> dst"), "edges")
+    ranks = written(both.groupBy("src").agg(F.struct(F.count("*").alias("links"), F.xxhash64("src"), F.col("src")).alias("rank")), "ranks")
+    of_dst = ranks.select(F.col("src").alias("dst"), F.col("rank").alias("dst_rank"))
+    led = F.when(F.col("dst_rank.links") < cap, FOLLOWS).otherwise(CROWDS)
+    turn = F.when(F.col("dst_rank") > F.col("rank"), led).otherwise(LEADS)
+    return written(both.join(ranks, "src").join(of_dst, "dst").select("src", "dst", turn.alias("turn")), "edges")
+
+
+def wishes_of(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """src, from_shard, to_shard, turn: of the nodes that wish to move."""
+    near = labels.select(F.col("node").alias("dst"), F.col("shard").alias("to_shard"))
+    votes = both.join(near, "dst").groupBy("src", "to_shard").agg(F.count("*").alias("votes"), F.min("turn").alias("turn"))
+    mine = labels.select(F.col("node").alias("src"), F.col("shard").alias("from_shard"))
+    best = Window.partitionBy("src").orderBy(
+        F.desc("votes"), F.desc(F.col("to_shard") == F.col("from_shard")), F.asc("to_shard")
+    )
+    first = votes.join(mine, "src").withColumn("place", F.row_number().over(best)).where("place = 1")
+    return written(first.where("to_shard <> from_shard").select("src", "from_shard", "to_shard", "turn"), "wishes")
+
+
 def propagate(linked: DataFrame, edges: DataFrame, caps: list[int], rounds: int, chunks: int) -> DataFrame:
     """linked: node, distinct; edges: src, dst, each link once. Gives node, shard within the caps."""
     shards = len(caps)
@@ -57,47 +84,40 @@ def propagate(linked: DataFrame, edges: DataFrame, caps: list[int], rounds: int,
         ),
         "labels",
     )
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = written(both.where("src <> dst"), "edges")
-    step, fewest, stale = -1, float("inf"), 0
+    both = links_both_ways(edges, max(caps, default=0))
+    held = [0] * shards
+    for r in labels.groupBy("shard").count().collect():
+        held[r[0]] = r[1]
+    turn, fewest, stale = LEADS, float("inf"), 0
     while True:
-        step += 1
-        near = labels.select(F.col("node").alias("dst"), F.col("shard").alias("to_shard"))
-        votes = both.join(near, "dst").groupBy("src", "to_shard").agg(F.count("*").alias("votes"))
-        mine = labels.select(F.col("node").alias("src"), F.col("shard").alias("from_shard"))
-        best = Window.partitionBy("src").orderBy(
-            F.desc("votes"), F.desc(F.col("to_shard") == F.col("from_shard")), F.asc("to_shard")
-        )
-        active = F.pmod(F.xxhash64("src", F.lit(step // 2)), F.lit(2)) == step % 2
-        wishes = written(
-            votes.join(mine, "src")
-            .withColumn("place", F.row_number().over(best))
-            .where("place = 1 and to_shard <> from_shard")
-            .select("src", "from_shard", "to_shard", active.alias("active")),
-            "wishes",
-        )
-        counts = wishes.groupBy("active", "from_shard", "to_shard").count().collect()
+        wishes = wishes_of(both, labels)
+        counts = wishes.groupBy("turn", "from_shard", "to_shard").count().collect()
         left = sum(r["count"] for r in counts)
         fewest, stale = (left, 0) if left < fewest else (fewest, stale + 1)
         if not left or stale >= rounds:
-            break
-        wanted = {(r[1], r[2]): r[3] for r in counts if r[0]}
-        if not wanted:
-            continue
-        held = [0] * shards
-        for r in labels.groupBy("shard").count().collect():
-            held[r[0]] = r[1]
-        granted = quotas(wanted, held, caps)
-        moves = ranked(wishes.where("active").drop("active"), ["from_shard", "to_shard"], "src", chunks, "r").where(
-            F.col("r") < by_pair(granted, "from_shard", "to_shard")
-        )
-        labels = written(
+            return labels
+        for turn in (LEADS, FOLLOWS, CROWDS) if turn == FOLLOWS else (FOLLOWS, LEADS, CROWDS):
+            wanted = {(r[1], r[2]): r[3] for r in counts if r[0] == turn}
+            granted = quotas(wanted, held, caps)
+            if any(granted.values()):
+                break
+        else:
+            return labels
+        moves = wishes.where(F.col("turn") == turn).select("src", "from_shard", "to_shard")
+        if granted != wanted:
+            moves = ranked(moves, ["from_shard", "to_shard"], "src", chunks, "r").where(
+                F.col("r") < by_pair(granted, "from_shard", "to_shard")
+            )
+        old, labels = labels, written(
             labels.join(moves.select(F.col("src").alias("node"), "to_shard"), "node", "left").select(
                 "node", F.coalesce("to_shard", "shard").cast("int").alias("shard")
             ),
             "labels",
         )
-    return labels
+        discard(old, wishes)
+        for (a, b), n in granted.items():
+            held[a] -= n
+            held[b] += n
 
 
 def assign(nodes: DataFrame, edges: DataFrame, shards: int, rounds: int = 8) -> DataFrame:

@@ -226,3 +226,29 @@ def test_shards_join_every_pair(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     shard = {r.doc_id: r.shard for r in balanced_shards.shard_documents(docs, 8).collect()}
     assert [i for i in range(1600, 3200, 2) if shard[i] != shard[i + 1]] == []
+
+
+def test_shards_take_few_rounds_and_keep_groups_whole_beside_a_hot_one(spark, monkeypatch):
+    """A hot group that fits no shard takes no room of groups that fit; pairs and stars need no chance to meet."""
+    texts = [f"text {i}" for i in range(1000)] + [f"star {i // 5}" for i in range(1000)] + ["hot"] * 1000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    tried, real = [], balanced_shards.quotas
+    monkeypatch.setattr(balanced_shards, "quotas", lambda *a: tried.append(a) or real(*a))
+    rows = balanced_shards.shard_documents(docs, 8).collect()
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    assert [t for t, s in shards.items() if t.startswith("star") and len(s) > 1] == []
+    assert sorted(Counter(r.shard for r in rows).values()) == [375] * 8
+    assert len(tried) <= 15
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_shards_of_any_graph(spark, links):
+    """Chains, cycles, repeated links, self-links and links to nodes that are not there end, within the caps."""
+    nodes = spark.createDataFrame([(i,) for i in range(28)], "node bigint")
+    edges = spark.createDataFrame(links, "src bigint, dst bigint")
+    rows = balanced_shards.assign(nodes, edges, 4, 3).collect()
+    assert sorted(r.node for r in rows) == list(range(28))
+    assert Counter(r.shard for r in rows) == {s: 7 for s in range(4)}
