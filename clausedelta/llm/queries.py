@@ -73,7 +73,6 @@ def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausedelta.llm.vantage_trees import build_index, search, usable
 
-
     rows = written(usable(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
     return search(build_index(rows), rows.where("vec_id % 20 = 0"), k=20, factor=5.0)
 

@@ -4,13 +4,16 @@ Inner product becomes a distance by one more component, sqrt(M^2 - |x|^2) with M
 0 for a query; then the nearest by distance are those of largest inner product. A node keeps the range of
 distances to its vantage point in both halves; a half is skipped when the triangle inequality puts it
 beyond the k-th best: bound * factor > distance. Factor 1 is the exact search, larger ones skip more.
-How much a factor loses depends on the norms, so none is trusted: for every (tree, block of queries) the
-first SAMPLE_QUERIES of the block by hash of their id are also compared with all rows of the tree, and the
-factor goes down the FACTORS until they have MEASURED_RECALL of their true k best there, to 1 if need be.
+How much a factor loses depends on the norms, so none is trusted: for every tree a task holds, the
+first SAMPLE_QUERIES by hash of their id in the first block of queries that meets it are also compared with all
+its rows, and the factor goes down the FACTORS until they have MEASURED_RECALL of their true k best there, to 1
+if need be.
 
 Vectors are dealt to shards by a hash of their id, so a vector that a third of all rows share is spread;
-a shard's tree is one row of the index. Queries go in blocks to every shard: a join on the shard, one
-(tree, block) pair in memory at a time. A query keeps k rows per shard, and a window takes the best k.
+a shard's tree is one row of the index. Trees form groups of about GROUP_BYTES, blocks of queries form lanes of
+LANE_BLOCKS: a task holds the trees of one group and streams the blocks of one lane past them, one at a time. So the
+shuffle takes every tree once per lane and every query once per group. A query keeps k rows per group, and
+a window takes the best k.
 
 Defined results: vectors that are null, zero, of another length than the commonest (the greater on ties),
 or hold null or non-finite components take no part, as row or query. Rows with a query's own id are no
@@ -21,6 +24,7 @@ Rows without an id are left out. Other columns are not read. Empty tables give n
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from clausedelta.llm.common import parts_for, written
 from clausedelta.llm.shingles import finish
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 2048, 128
+GROUP_BYTES, LEAST_GROUPS, LANE_BLOCKS = 64 << 20, 64, 32
 SAMPLE_QUERIES, MEASURED_RECALL, FACTORS = 64, 0.95, (4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25)
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -178,24 +183,55 @@ def query_blocks(queries: DataFrame) -> DataFrame:
     return written(dealt.groupBy("block").applyInArrow(pack, "block int, ids array<bigint>, data binary"), "query-blocks")
 
 
+def best_of(parts: list[Search], ids: np.ndarray, k: int) -> pa.RecordBatch:
+    """FOUND: the k best that the searches of several trees have found for a block."""
+    scores, found = np.hstack([p.scores for p in parts]), np.hstack([p.found for p in parts])
+    best = np.lexsort((found, -scores), axis=1)[:, :k]
+    scores, found = np.take_along_axis(scores, best, axis=1), np.take_along_axis(found, best, axis=1)
+    real = np.isfinite(scores)
+    cells = [pa.array(np.repeat(ids, k)[real.ravel()]), pa.array(found[real]), pa.array(scores[real])]
+    return pa.RecordBatch.from_arrays(cells, ["query_id", "vec_id", "score"])
+
+
+def trees_and_blocks(index: DataFrame, blocks: DataFrame) -> DataFrame:
+    """grp, lane, block, ids, data: in every task the trees of a group (block -1), then the blocks of a lane."""
+    shards, size = index.agg(F.count("*"), F.sum(F.octet_length("tree").cast("long"))).first()
+    groups = max(1, min(shards, parts_for(size or 0, GROUP_BYTES, LEAST_GROUPS)))
+    lanes = parts_for((blocks.agg(F.max("block")).first()[0] or 0) + 1, LANE_BLOCKS, 1)
+    trees = index.select(
+        F.pmod("shard", F.lit(groups)).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
+        F.lit(-1).alias("block"), F.lit(None).cast("array<bigint>").alias("ids"), F.col("tree").alias("data"), "shard",
+    )
+    queries = blocks.select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.pmod("block", F.lit(lanes)).alias("lane"),
+        "block", "ids", "data", F.lit(-1).alias("shard"),
+    )
+    rows = trees.union(queries).repartition(groups * lanes, "grp", "lane")
+    return rows.sortWithinPartitions("grp", "lane", "block", "shard").drop("shard")
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, factor: float) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found of every query; `factor` is the largest one tried."""
-    blocks = query_blocks(queries)
-
-    def find(table: pa.Table) -> pa.Table:
-        tree = pickle.loads(table["tree"][0].as_py())
-        ids = np.array(table["ids"][0].as_py(), dtype=np.int64)
-        data = np.frombuffer(table["data"][0].as_buffer(), dtype=np.float64).reshape(len(ids), -1)
-        done = Search(tree, ids, data, k, safe_factor(tree, ids, data, k, factor))
-        real = np.isfinite(done.scores)
-        return pa.table(
-            [pa.array(np.repeat(ids, k)[real.ravel()]), pa.array(done.found[real]), pa.array(done.scores[real])],
-            names=["query_id", "vec_id", "score"],
-        )
-
-    last = index.agg(F.max("shard")).first()[0]
-    per_shard = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
-    found = per_shard.join(index, "shard").groupBy("shard", "block").applyInArrow(find, FOUND)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, trees, factors = None, [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here = (batch["grp"][i].as_py(), batch["lane"][i].as_py())
+                if here != place:
+                    place, trees, factors = here, [], []
+                data = batch["data"][i].as_buffer()
+                if batch["block"][i].as_py() < 0:
+                    trees.append(pickle.loads(data))
+                    continue
+                ids = batch["ids"][i].values.to_numpy()
+                vectors = np.frombuffer(data, dtype=np.float64).reshape(len(ids), -1)
+                if not factors:
+                    factors = [safe_factor(t, ids, vectors, k, factor) for t in trees]
+                if trees:
+                    yield best_of([Search(t, ids, vectors, k, f) for t, f in zip(trees, factors, strict=True)], ids, k)
+
+    found = written(trees_and_blocks(index, query_blocks(queries)).mapInArrow(find, FOUND), "found", batch_rows=4)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -238,6 +238,27 @@ def test_vantage_query(spark):
     assert set(got) == set(want) and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def test_trees_are_shipped_once_per_lane_and_blocks_once_per_group(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 100), ("BLOCK_ROWS", 40), ("LEAST_GROUPS", 3), ("GROUP_BYTES", 1 << 30), ("LANE_BLOCKS", 2)):
+        monkeypatch.setattr(vt, name, value)
+    x = np.random.default_rng(5).normal(size=(1000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    df = vt.usable(df, "vec_id", "embedding")
+    index, queries = vt.build_index(df), df.where("vec_id % 5 = 0")
+    blocks = vt.query_blocks(queries)
+    rows = vt.trees_and_blocks(index, blocks).collect()
+    trees, packed = index.count(), blocks.count()
+    assert trees == 10 and sum(r.block < 0 for r in rows) == trees * 3 and sum(r.block >= 0 for r in rows) == packed * 3
+    seen = {}
+    for r in rows:  # the trees of a place come before its blocks
+        assert r.block >= 0 or not seen.get((r.grp, r.lane))
+        seen[r.grp, r.lane] = r.block >= 0
+    got = {}
+    for r in vt.search(index, queries, 6, 1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == dict(nearest(np.arange(1000), x, range(0, 1000, 5), 6))
+
+
 def test_vantage_trees_of_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     for rows, want in ((df, 3), (df.where("vec_id = 2"), 0), (df.where("false"), 0)):
