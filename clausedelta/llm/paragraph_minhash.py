@@ -1,6 +1,9 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-A paragraph is a line of at least MIN_WORDS words. Its word shingles give BANDS x ROWS MinHash values;
+A paragraph ends at `line_ends` line feeds in a row, white space between them not counting: at 1 every line is
+a paragraph, at 2 blank lines part paragraphs and wrapped lines are joined. Those under `min_words` words are
+not compared, as headings and greetings repeat in clean documents; at 1 all are, and one of fewer than five words
+is one shingle, so it is compared whole. A paragraph's word shingles give BANDS x ROWS MinHash values;
 at similarity 0.8 two paragraphs share a band with probability 1 - (1 - 0.8^5)^14 = 0.996. Paragraphs
 that meet in a band are verified by exact Jaccard and clustered by components.
 
@@ -74,7 +77,7 @@ def digests(words: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int)
 
 
 def band_values(words: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bands of each run of at least five words, and its number of distinct shingles."""
+    """Bands of each run of words, and its number of distinct shingles."""
     values, counts = window_hashes(lens, words[gather(starts, lens)])
     if not len(starts):
         return np.empty((0, BANDS), np.uint64), counts
@@ -127,7 +130,7 @@ def segment_runs(at: np.ndarray, whole: np.ndarray, low: np.ndarray) -> tuple[np
     return at[first], n, digest, low[first]
 
 
-def units(docs: DataFrame) -> DataFrame:
+def units(docs: DataFrame, min_words: int, line_ends: int) -> DataFrame:
     """UNITS: paragraphs with their bands, segments with their anchor; places in characters of the text.
 
     row tells texts of one id apart; pos is a segment's first word, n its number of windows.
@@ -143,10 +146,10 @@ def units(docs: DataFrame) -> DataFrame:
                 start, stop, line, text = word_places(texts)
                 if not len(words):
                     continue
-                new = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
+                new = np.concatenate([[True], (line[1:] - line[:-1] >= line_ends) | (text[1:] != text[:-1])])
                 first = np.flatnonzero(new)
                 lens = np.diff(np.append(first, len(words)))
-                first, lens = first[lens >= MIN_WORDS], lens[lens >= MIN_WORDS]
+                first, lens = first[lens >= min_words], lens[lens >= min_words]
                 bands, counts = band_values(words, first, lens)
                 runs, n, digest, anchor = segment_runs(*window_keys(words, text))
                 at, last = np.concatenate([first, runs]), np.concatenate([first + lens - 1, runs + n + PASSAGE - 2])
@@ -282,9 +285,14 @@ def passage_sketches(passages: DataFrame) -> DataFrame:
     return written(passages.mapInArrow(cut, "node bigint, rest bigint, bits array<bigint>"), "sketches")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop (characters), kind, cluster_id, removed: every occurrence in a cluster of two documents or more."""
-    found = written(units(docs), "units", compression="zstd")
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, line_ends: int = 1) -> DataFrame:
+    """doc_id, start, stop (characters), kind, cluster_id, removed: every occurrence in a cluster of two documents or more.
+
+    min_words, line_ends: which paragraphs there are; passages are found across them all the same.
+    """
+    if min_words < 1 or line_ends < 1:
+        raise ValueError("min_words and line_ends start at 1")
+    found = written(units(docs, min_words, line_ends), "units", compression="zstd")
     lines = found.where("bands is not null")
     met = lines.select(F.explode("bands").alias("token"), F.col("node").alias("grp"), F.col("n_shingles").alias("n"))
     shared = met.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
@@ -293,11 +301,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     )
     members = written(entries.select("grp", F.col("grp").alias("node")).distinct(), "members")
     places = lines.join(members.select("node"), "node", "left_semi").groupBy("node").agg(
-        F.min_by(F.struct("doc_id", "start", "stop"), F.struct("doc_id", "start")).alias("p")
+        F.min_by(F.struct("doc_id", "row", "start", "stop"), F.struct("doc_id", "start")).alias("p")
     )
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     passages = written(
-        texts.join(places.select("node", "p.*"), "doc_id")
+        texts_with_row(docs).join(places.select("node", "p.*"), ["doc_id", "row"])
         .select("node", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("passage"))
         .dropDuplicates(["node"]),
         "passages", compression="zstd",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
+import pytest
 from brute import groups_of, lowered, near_pairs, shingles
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,6 +148,57 @@ def test_paragraphs(odd_docs, no_docs):
     assert paragraph_minhash.repeated_passages(no_docs).isEmpty()
 
 
+def brute_paragraphs(rows, min_words, line_ends):
+    """Clusters of paragraphs in two documents or more as sets of (doc_id, start, stop), each with the one that stays."""
+    cut = re.compile(r"(?:[ \t\r\x0b\x0c]*\n){%d}" % line_ends)
+    places = []
+    for d, text in rows:
+        at = 0
+        while at <= len(text or ""):
+            end = cut.search(text, at) if text else None
+            part = text[at : end.start() if end else len(text)] if text else ""
+            words = list(re.finditer(r"[^\x20\x09-\x0D]+", part))
+            if len(words) >= min_words:
+                places.append((d, at + words[0].start(), at + words[-1].end(), shingles(part)))
+            if not end:
+                break
+            at = end.end()
+    comps = groups_of(near_pairs({i: p[3] for i, p in enumerate(places)}), range(len(places)))
+    clusters = defaultdict(set)
+    for i, c in comps.items():
+        clusters[c].add(places[i][:3])
+    return {(frozenset(c), min(c)) for c in clusters.values() if len({d for d, _, _ in c}) > 1}
+
+
+@pytest.mark.parametrize("min_words, line_ends", [(20, 1), (1, 1), (1, 2), (20, 2)])
+def test_paragraph_clusters_are_those_of_brute_force(spark, min_words, line_ends):
+    rng = random.Random(4)
+
+    def prose(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    pool = [prose(n) for n in (1, 3, 4, 5, 9, 19, 20, 21, 40, 40, 60, 120)]
+    pool += [[*p[:20], "other", *p[21:]] for p in pool if len(p) >= 60]
+    pool += [[*p[:30], "more", *p[30:]] for p in pool if len(p) >= 120]
+    rows = []
+    for d in range(60):
+        text = ""
+        for _ in range(rng.randint(0, 4)):
+            words = rng.choice(pool) if rng.random() < 0.6 else prose(rng.randint(1, 50))
+            wrap = rng.choice([7, 11, 500])
+            lines = [" ".join(words[i : i + wrap]) for i in range(0, len(words), wrap)]
+            text += "\n".join(x.upper() if rng.random() < 0.1 else x for x in lines) + rng.choice(["\n\n", "\n \t\n", "\r\n\r\n\n", "\n"])
+        rows.append((d, text))
+    rows += [(60, None), (61, ""), (5, " ".join(pool[8]) + "\n\n" + " ".join(prose(30))), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = defaultdict(set)
+    for r in paragraph_minhash.repeated_passages(df, min_words, line_ends).where("kind = 'paragraph'").collect():
+        got[r.cluster_id].add((r.doc_id, r.start, r.stop, r.removed))
+    found = {(frozenset(x[:3] for x in c), next(x[:3] for x in c if not x[3])) for c in got.values()}
+    want = brute_paragraphs(rows, min_words, line_ends)
+    assert found == want and len(want) >= 3
+
+
 def test_passages_of_fifty_words(spark):
     """Exactly the words of the runs of 50 words that an earlier document has, wherever lines end."""
     rng = random.Random(11)
