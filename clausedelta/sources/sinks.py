@@ -3,6 +3,7 @@ a batch again replaces its rows instead of adding them twice."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -64,10 +65,13 @@ class Changelog:
     did it; its completeness mark is the pointer, so a reader sees the old base with the batches after it, or
     the new one. Folders that the base before the newest covers are dropped: a batch that is run again still
     finds what it started from. So reading costs the keys and at most 2 x ``every`` batches, however many there were.
+    ``merged`` makes one row per key of the rows of several batches, told apart by batch_id; without it the newest stays.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, every: int = 16) -> None:
-        self.spark, self.path, self.key, self.every = spark, path, key, every
+    def __init__(
+        self, spark: SparkSession, path: str, key: str, every: int = 16, merged: Callable[[DataFrame], DataFrame] | None = None
+    ) -> None:
+        self.spark, self.path, self.key, self.every, self.merged = spark, path, key, every, merged or self.last_row
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         append_batch(rows, f"{self.path}/changes", batch_id)
@@ -84,6 +88,9 @@ class Changelog:
         if base is not None:
             parts.append(self.spark.read.parquet(f"{self.path}/base/batch_id={base}").withColumnRenamed("in_batch", "batch_id"))
         rows = reduce(DataFrame.unionByName, parts)
+        return rows if len(after) + (base is not None) == 1 else self.merged(rows)  # one batch holds a key once
+
+    def last_row(self, rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c != self.key]
         best = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "batch_id").alias("_s"))
         return best.select(self.key, "_s.*")

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from clausedelta.operators.billing import default_next_billing, fold_subscriptions, normalize_events
 from clausedelta.plans.ingest import ingest_batch
-from clausedelta.sources.sinks import Changelog
+from clausedelta.sources.sinks import Changelog, append_batch, drop_older, newest_before, read_batch
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
@@ -74,70 +72,83 @@ def stream_deduped_events(deliveries: DataFrame, path: str, checkpoint: str, del
     )
 
 
-NTZ = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-# Of one event: its first delivery and its last outcome so far.
-OUTCOME = (
-    "first_at bigint, first_id bigint, first string, last_at bigint, last_id bigint, result string, error_detail string, deliveries bigint"
-)
+# Of one event and batch, besides its first delivery and its last outcome: what folds it with the event's other batches.
+FOLDED = ["last_at", "last_id", "gone_before"]
 
 
-def _fold_deliveries(delay_ms: int):
-    """Fold a key's deliveries into its state, whatever their order; a row per key and batch that changed."""
+def batch_outcomes(typed: DataFrame, gone_before: int | None) -> DataFrame:
+    """A row per event of one batch: data of its first delivery, result and error of its last, their number.
 
-    def fold(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.get if state.exists else None
-        for rows in frames:
-            for at, delivery, first, result, error in zip(
-                rows["_at"].tolist(), rows["_id"].tolist(), rows["_row"], rows["result"], rows["error_detail"], strict=True
-            ):
-                if now is None:
-                    now = (at, delivery, first, at, delivery, result, error, 1)
-                    continue
-                begin = (at, delivery, first) if (at, delivery) < tuple(now[:2]) else tuple(now[:3])
-                end = (at, delivery, result, error) if (at, delivery) > tuple(now[3:5]) else tuple(now[3:7])
-                now = (*begin, *end, now[7] + 1)
-        state.update(tuple(now))
-        state.setTimeoutTimestamp(now[3] // 1000 + delay_ms)
-        names = [x.split()[0] for x in OUTCOME.split(", ")]
-        yield pd.DataFrame({"dedupe_key": [key[0]], **{n: [v] for n, v in zip(names, now, strict=True)}})
+    Keys without a delivery since ``gone_before`` (ms) had left the state when the batch began.
+    """
+    rest = [c for c in typed.columns if c not in ("result", "error_detail")]
+    key = F.coalesce(F.concat(F.lit("e"), F.col("event_id")), F.concat(F.lit("d"), F.col("delivery_id").cast("string")))
+    order = F.struct("received_at", "delivery_id")
+    folded = typed.withColumn("dedupe_key", key).groupBy("dedupe_key").agg(
+        F.min_by(F.struct(*rest), order).alias("_first"),
+        F.max_by(F.struct("result", "error_detail", F.col("received_at").alias("last_at"), F.col("delivery_id").alias("last_id")), order).alias("_last"),
+        F.count("*").alias("deliveries"),
+    )
+    return folded.select("dedupe_key", "_first.*", "_last.*", "deliveries", F.lit(gone_before).cast("long").alias("gone_before"))
+
+
+def fold_outcomes(rows: DataFrame) -> DataFrame:
+    """One row per event of the rows of its batches. An event that had left the state counts as new from that batch on.
+
+    Batches take no delivery older than the watermark, so whatever comes after a key has gone is later than all before.
+    """
+    rest = [c for c in rows.columns if c not in ("dedupe_key", "result", "error_detail", "deliveries", "batch_id", *FOLDED)]
+    of_key = Window.partitionBy("dedupe_key")
+    before = F.max(_millis("last_at")).over(of_key.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1))
+    started = F.max(F.when(F.col("_before") < F.col("gone_before"), F.col("batch_id"))).over(of_key)
+    kept = rows.withColumn("_before", before).withColumn("_started", started).where("_started is null or batch_id >= _started")
+    folded = kept.groupBy("dedupe_key").agg(
+        F.min_by(F.struct(*rest), F.struct("received_at", "delivery_id")).alias("_first"),
+        F.max_by(F.struct("result", "error_detail", *FOLDED), F.struct("last_at", "last_id")).alias("_last"),
+        F.sum("deliveries").alias("deliveries"), F.max("batch_id").alias("batch_id"),
+    )
+    return folded.select("dedupe_key", "_first.*", "_last.*", "deliveries", "batch_id").select(*rows.columns)
 
-    return fold
+
+def _millis(time: str) -> Column:
+    return F.unix_millis(F.col(time).cast("timestamp"))
+
+
+def _outcomes(spark: SparkSession, path: str, every: int = 16) -> Changelog:
+    return Changelog(spark, path, "dedupe_key", every, fold_outcomes)
 
 
 def stream_event_outcomes(deliveries: DataFrame, path: str, checkpoint: str, delay: str = "2 days", every: int = 16) -> StreamingQuery:
     """One row per event as a changelog: the data of its first delivery, result and error of its last, their number.
 
-    A first delivery is written at once; every redelivery within the delay updates the row, also one that
-    arrives before an earlier one. When the watermark passes a key's last delivery by the delay, its state
-    goes; deliveries later than the watermark are dropped by the engine, as in stream_deduped_events.
+    A batch is folded by an aggregate and written as what it adds; readers fold an event's batches, so no state
+    of all events is held or read by a batch. ``seen`` holds the latest delivery time so far: deliveries that are
+    later than it by the delay are dropped, as in stream_deduped_events, and an event whose last delivery the
+    watermark has passed by the delay counts as new.
     """
     typed = normalize_events(deliveries)
-    rest = [c for c in typed.columns if c not in ("event_id", "result", "error_detail")]
-    at = F.col("received_at").cast("timestamp")
-    keyed = typed.select(
-        F.coalesce(F.concat(F.lit("e"), F.col("event_id")), F.concat(F.lit("d"), F.col("delivery_id").cast("string"))).alias("dedupe_key"),
-        at.alias("event_time"), F.unix_micros(at).alias("_at"), F.col("delivery_id").cast("long").alias("_id"),
-        F.to_json(F.struct("event_id", *rest), NTZ).alias("_row"), "result", "error_detail",
-    ).withWatermark("event_time", delay)
     millis = deliveries.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval {delay})").first()[0]
-    folded = keyed.groupBy("dedupe_key").applyInPandasWithState(
-        _fold_deliveries(millis), f"dedupe_key string, {OUTCOME}", OUTCOME, "update", "EventTimeTimeout"
-    )
-    schema = T.StructType([typed.schema["event_id"], *[typed.schema[c] for c in rest]])
-    rows = folded.select("dedupe_key", F.from_json("first", schema, NTZ).alias("d"), "result", "error_detail", "deliveries")
-    rows = rows.select("dedupe_key", "d.*", "result", "error_detail", "deliveries")
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        spark, seen = batch.sparkSession, f"{path}/seen"
+        before = read_batch(spark, seen, "at bigint", newest_before(spark, seen, batch_id)).agg(F.max("at")).first()[0]
+        passed = None if before is None else before - millis
+        if passed is not None:
+            batch = batch.where(F.coalesce(_millis("received_at") > passed, F.lit(True)))
+        log = _outcomes(spark, path, every)
+        log.append(batch_outcomes(batch, None if passed is None else passed - millis), batch_id)
+        newest = read_batch(spark, f"{path}/changes", "last_at timestamp_ntz", batch_id).agg(F.max(_millis("last_at"))).first()[0]
+        at = max((x for x in (before, newest) if x is not None), default=None)
+        append_batch(spark.range(1, numPartitions=1).select(F.lit(at).cast("long").alias("at")), seen, batch_id)
+        drop_older(spark, seen, batch_id)
+
     return (
-        rows.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: Changelog(batch.sparkSession, path, "dedupe_key", every).append(batch, batch_id))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        typed.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def current_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return Changelog(spark, path, "dedupe_key").current().drop("dedupe_key")
+    return _outcomes(spark, path).current().drop("dedupe_key", *FOLDED)
 
 
 def stream_subscriptions(deliveries: DataFrame, path: str, checkpoint: str, every: int = 16) -> StreamingQuery:
