@@ -37,8 +37,11 @@ STOP_WORDS = (
 
 def tokens(text: Column) -> Column:
     """Lowercase words of a text, stop words removed."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")
-    return F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    return F.filter(_words(text), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")
 
 
 def term_index(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -47,18 +50,18 @@ def term_index(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     Counted inside the row by sorting its words, so building the index needs
     no shuffle and a very common term gathers nowhere.
     """
-    df = with_computed(rows.select(*key, text), _t=F.array_sort(tokens(F.col(text))))
-    words, n = F.col("_t"), F.size("_t")
-    at = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
-    starts = F.filter(at, lambda x, i: (i == 0) | (F.get(words, i - 1) != x["term"]))
-    df = with_computed(df, _s=starts)
+    df = with_computed(rows.select(*key, text), _t=F.sort_array(_words(F.col(text))))
+    words = F.col("_t")
+    n = F.size(words)
+    # Where the run of each word ends; one step per word. Stop words leave once per row, after the counting.
+    ends = F.filter(F.sequence(F.lit(1), n), lambda e: (e == n) | (F.get(words, e) != F.get(words, e - 1)))
+    df = with_computed(df, _e=F.when(n > 0, ends))
     counted = F.transform(
-        F.col("_s"),
-        lambda x, j: F.struct(
-            x["term"].alias("term"), (F.coalesce(F.get(F.col("_s"), j + 1)["at"], n) - x["at"]).alias("tf")
-        ),
+        F.col("_e"),
+        lambda e, j: F.struct(F.get(words, e - 1).alias("term"), (e - F.coalesce(F.get(F.col("_e"), j - 1), F.lit(0))).alias("tf")),
     )
-    return df.select(*key, F.inline_outer(counted)).where("term is not null")
+    postings = df.select(*key, F.inline_outer(counted))
+    return postings.where(F.col("term").isNotNull() & (F.col("term") != "") & ~F.col("term").isin(*STOP_WORDS))
 
 
 def write_index(postings: DataFrame, path: str, key: str, buckets: int = 64, spread: int = 4) -> None:

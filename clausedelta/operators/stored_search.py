@@ -45,12 +45,15 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def posting_lists(rows: DataFrame, text: str, slices: int) -> DataFrame:
-    """term, slice, ids (ascending), tfs: the lists of every term, cut by slices of the rows."""
-    postings = term_index(rows, ["id"], text)
-    pairs = postings.select("term", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.struct("id", "tf").alias("p"))
-    lists = pairs.groupBy("term", "slice").agg(F.sort_array(F.collect_list("p")).alias("l"))
-    return lists.select("term", "slice", F.col("l.id").alias("ids"), F.col("l.tf").alias("tfs"))
+def posting_lists(rows: DataFrame, text: str, slices: int, buckets: int) -> DataFrame:
+    """bucket, term, slice, ids (ascending), tfs: the lists of every term, cut by slices of the rows.
+
+    Postings are shuffled once, to the place where their list is written: lists are not shuffled again.
+    """
+    place = {"bucket": term_bucket(F.col("term"), buckets), "slice": F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")}
+    dealt = term_index(rows, ["id"], text).repartition(*place.values()).withColumns(place)
+    lists = dealt.groupBy("bucket", "slice", "term").agg(F.sort_array(F.collect_list(F.struct("id", "tf"))).alias("l"))
+    return lists.select("bucket", "term", "slice", F.col("l.id").alias("ids"), F.col("l.tf").alias("tfs"))
 
 
 class SearchStore:
@@ -73,11 +76,10 @@ class SearchStore:
     def add_lists(self, side: Side, batch_id: int) -> None:
         rows = self.spark.read.parquet(f"{self.root}/{side.name}/batch_id={batch_id}")
         slices = max(1, -(-rows.count() // SLICE_ROWS))  # from the files' footers
-        self.write_lists(side, batch_id, posting_lists(rows, side.text, slices))
+        self.write_lists(side, batch_id, posting_lists(rows, side.text, slices, self.buckets))
 
-    def write_lists(self, side: Side, batch_id: int, lists: DataFrame) -> None:
-        """Rows of a bucket go to as many files as it has slices: a hot bucket is no single task."""
-        dealt = lists.withColumn("bucket", term_bucket(F.col("term"), self.buckets)).repartition("bucket", "slice")
+    def write_lists(self, side: Side, batch_id: int, dealt: DataFrame) -> None:
+        """The lists come dealt by bucket and slice, a bucket to as many files as it has slices: a hot bucket is no single task."""
         path = f"{self.root}/{side.name}_index/batch_id={batch_id}"
         dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
@@ -100,7 +102,8 @@ class SearchStore:
         merged = lists.withColumn("slice", F.col("slice") + offset).select("term", "slice", "ids", "tfs")
         aside = f"{self.root}/merging"
         merged.write.mode("overwrite").parquet(aside)
-        self.write_lists(side, batch_id, self.spark.read.parquet(aside))
+        bucket = term_bucket(F.col("term"), self.buckets)
+        self.write_lists(side, batch_id, self.spark.read.parquet(aside).withColumn("bucket", bucket).repartition("bucket", "slice"))
         for b in old[:-1]:
             drop_path(self.spark, f"{path}/batch_id={b}")
         drop_path(self.spark, aside)

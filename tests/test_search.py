@@ -104,6 +104,21 @@ def test_stored_index_finds_what_the_postings_do(spark, monkeypatch):
     assert store.with_terms(stored.DIFFS, "bees", docs, src).first().changes is not None
 
 
+def test_lists_are_shuffled_once_and_written_where_they_are(spark, monkeypatch):
+    taken = []
+    write = stored.SearchStore.write_lists
+    monkeypatch.setattr(stored.SearchStore, "write_lists", lambda self, side, batch, lists: (taken.append(lists), write(self, side, batch, lists)))
+    snaps, *_ = tables(spark)
+    odd = snaps.limit(1).select(F.explode(F.array(F.lit("o"), F.lit("o"), F.lit(None))).alias("id"), F.lit("o").alias("document_id"), F.lit(1).alias("version"), F.lit("b the a b Ä 1").alias("cleaned_text"), "crawled_at")
+    blank = snaps.limit(2).withColumn("cleaned_text", F.when(F.col("id") == "a-1", F.lit("")))
+    store = stored.SearchStore(spark, work_path(spark, "search"), 4)
+    store.add(0, snaps.unionByName(odd).unionByName(blank))
+    dealt = taken[0].sortWithinPartitions("bucket", "term")
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    found = sorted((r.term, r.tf) for r in store.postings(stored.SNAPSHOTS).where("id = 'o' or id is null").collect())
+    assert found == [("1", 1)] * 3 + [("b", 2)] * 3 + [("ä", 1)] * 3  # equal ids stay two rows, "a" and "the" are stop words
+
+
 def test_stored_search_reads_named_buckets_and_texts_once(spark):
     store, *_, docs, src = search_store(spark, buckets=64)
     words = dict(store.words("parking bees"))
