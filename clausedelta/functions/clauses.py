@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.functions.stages import with_computed
+from clausedelta.functions.stages import let, with_computed
 from clausedelta.functions.text import LINE_BREAK, SPACE, strip
 
 # Words that open a numbered section.
 _NUMBER_TAIL = r"[A-Za-z0-9._/\-]*"
 _HEADER = (
-    r"^(?:(?=§)"
+    r"^WS*+(?:(?=§)"
     r"|(?i:section|sec\.|division|div\.)WS*(?=\p{Nd})"
     r"|(?i:article|art\.|chapter|chap\.)WS*(?=[IVXLCDMivxlcdm\p{Nd}])"
     r"|(?:Part|PART)WS*(?=[IVXLCDM\p{Nd}]))"
@@ -32,7 +32,7 @@ CLAUSE = (
 
 
 def header_number(line: Column) -> Column:
-    """Section number of a header line, '' for any other line."""
+    """Section number of a header line, '' for any other line; white space around it does not count."""
     return F.regexp_extract(line, _HEADER, 1)
 
 
@@ -68,15 +68,14 @@ def with_sections(df: DataFrame, text: str, out: str = "sections") -> DataFrame:
     """Add the array of numbered sections; text before the first one is the preamble."""
     # A trimmed text ends in no line break, so a plain split gives its lines.
     df = with_computed(df, _lines=F.split(strip(F.coalesce(F.col(text), F.lit(""))), LINE_BREAK, -1))
-    probe = F.transform(
-        F.col("_lines"),
-        lambda line, i: F.struct(
-            i.alias("at"), strip(line).alias("head"), header_number(strip(line)).alias("number")
-        ),
-    )
+    probe = F.transform(F.col("_lines"), lambda line, i: F.struct(i.alias("at"), header_number(line).alias("number")))
     # The first line always opens a unit: a header or the preamble.
     marks = F.filter(probe, lambda m, i: (m["number"] != "") | (i == 0))
-    df = with_computed(df, _marks=marks)
+    # Stripping is slow, so only headers are stripped.
+    headed = F.transform(
+        marks, lambda m: F.struct(m["at"].alias("at"), strip(F.get(F.col("_lines"), m["at"])).alias("head"), m["number"].alias("number"))
+    )
+    df = with_computed(df, _marks=headed)
     return with_computed(df, **{out: _sections().cast(f"array<{CLAUSE}>")}).drop("_lines", "_marks")
 
 
@@ -84,20 +83,19 @@ def with_paragraphs(df: DataFrame, text: str, out: str = "paragraphs") -> DataFr
     """Add the array of blank-line separated paragraphs, numbered from 1."""
     body = strip(F.coalesce(F.col(text), F.lit("")))
 
-    def paragraph(raw: Column, i: Column) -> Column:
-        content = strip(raw)
+    def paragraph(content: Column, i: Column) -> Column:
         first = strip(F.regexp_extract(content, r"^[^\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]*", 0))
         number = (i + 1).cast("string")
         return F.struct(
             F.concat(F.lit("Paragraph "), number).alias("identifier"),
             number.alias("section_number"),
-            F.when(F.length(first) < 60, first).alias("title"),
+            let(first, lambda f: F.when(F.length(f) < 60, f)).alias("title"),
             content.alias("text"),
             F.lit(None).cast("int").alias("line_start"),
             F.lit(None).cast("int").alias("line_end"),
         )
 
-    parts = F.transform(F.split(body, rf"\n{SPACE}*\n+", -1), paragraph)
+    parts = F.transform(F.transform(F.split(body, rf"\n{SPACE}*\n+", -1), strip), paragraph)
     kept = F.filter(parts, lambda c: c["text"] != "").cast(f"array<{CLAUSE}>")
     return with_computed(df, **{out: kept})
 
@@ -121,7 +119,7 @@ def with_unique_clauses(df: DataFrame, clauses: str, out: str = "unique_clauses"
     Sorting (key, position) pairs makes equal keys neighbours, so the first and
     last of each run are found in O(n log n) without leaving the row.
     """
-    pairs = F.array_sort(
+    pairs = F.sort_array(
         F.transform(
             F.col(clauses), lambda c, i: F.struct(clause_key(c["identifier"]).alias("key"), i.alias("pos"))
         )
@@ -164,7 +162,7 @@ def with_clause_diff(df: DataFrame, old: str, new: str, out: str = "changes") ->
             u["clause"]["text"].alias("text"),
         ),
     )
-    df = with_computed(df, _all=F.array_sort(F.concat(side(old, 0), side(new, 1))))
+    df = with_computed(df, _all=F.sort_array(F.concat(side(old, 0), side(new, 1))))
     every = F.col("_all")
 
     def change(x: Column, i: Column) -> Column:
@@ -191,4 +189,4 @@ def with_clause_diff(df: DataFrame, old: str, new: str, out: str = "changes") ->
         )
 
     changed = F.filter(F.transform(every, change), lambda c: c["change_type"].isNotNull())
-    return with_computed(df, **{out: F.array_sort(changed)}).drop("_all")
+    return with_computed(df, **{out: F.sort_array(changed)}).drop("_all")

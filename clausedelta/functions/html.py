@@ -12,7 +12,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.functions.stages import with_computed
+from clausedelta.functions.stages import let, with_computed
 from clausedelta.functions.text import strip
 
 # Elements that hold no content.
@@ -24,6 +24,7 @@ IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 # What a browser reads for the numbers 128 to 159: the Windows code page, where it has a character.
 C1_TEXT = "".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))
 # Names that the standard also allows without their semicolon.
+COMMON_NAMES = ("amp;", "lt;", "gt;", "quot;", "nbsp;")
 BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
@@ -65,9 +66,12 @@ def unescape(text: Column) -> Column:
         closed = F.try_element_at(table, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1))
         bare = F.regexp_extract(part, rf"^({BARE_NAMES})", 1)
         number = _numbered(part)
+        found = F.when(i == 0, part)
+        # The table is searched from its start, so frequent names come before it.
+        for name in COMMON_NAMES:
+            found = found.when(F.startswith(part, F.lit(name)), F.concat(F.lit(html5[name]), F.substr(part, F.lit(len(name) + 1))))
         return (
-            F.when(i == 0, part)
-            .when(closed.isNotNull(), F.concat(closed, F.regexp_replace(part, r"^[A-Za-z0-9]+;", "")))
+            found.when(closed.isNotNull(), F.concat(closed, F.regexp_replace(part, r"^[A-Za-z0-9]+;", "")))
             .when(number.isNotNull(), F.concat(number, F.regexp_replace(part, r"^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", "")))
             .when(bare != "", F.concat(F.try_element_at(table, bare), F.substr(part, F.length(bare) + 1)))
             .otherwise(F.concat(F.lit("&"), part))
@@ -97,25 +101,28 @@ def element_with(html: Column, attribute_pattern: str, name: str = "[A-Za-z][A-Z
     """
     within = rf"(?=[^>]*?{attribute_pattern})" if attribute_pattern else ""
     opening = rf"<({name})\b{within}{IN_TAG}>"
-    whole = F.regexp_extract(html, rf"(?is){opening}(.*)$", 2)
-    tag = F.lower(F.regexp_extract(html, rf"(?is){opening}", 1))
-    pieces = F.split(whole, "<", -1)
-
-    def step(acc: Column, piece: Column) -> Column:
-        name = F.lower(F.regexp_extract(piece, r"^(/?[A-Za-z][A-Za-z0-9]*)", 1))
-        depth = acc["depth"] + F.when(name == tag, 1).when(name == F.concat(F.lit("/"), tag), -1).otherwise(0)
-        return F.struct(
-            F.when(acc["depth"] == 0, 0).otherwise(depth).cast("int").alias("depth"),
-            (acc["n"] + F.when((acc["depth"] == 0) | (depth == 0), 0).otherwise(1)).cast("int").alias("n"),
+
+    def inner(tag: Column, pieces: Column) -> Column:
+        def step(acc: Column, piece: Column) -> Column:
+            name = F.lower(F.regexp_extract(piece, r"^(/?[A-Za-z][A-Za-z0-9]*)", 1))
+            depth = acc["depth"] + F.when(name == tag, 1).when(name == F.concat(F.lit("/"), tag), -1).otherwise(0)
+            return F.struct(
+                F.when(acc["depth"] == 0, 0).otherwise(depth).cast("int").alias("depth"),
+                (acc["n"] + F.when((acc["depth"] == 0) | (depth == 0), 0).otherwise(1)).cast("int").alias("n"),
+            )
+
+        walked = F.aggregate(
+            F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))),
+            F.struct(F.lit(1).alias("depth"), F.lit(1).alias("n")),
+            step,
         )
+        return F.array_join(F.slice(pieces, 1, walked["n"]), "<")
 
-    walked = F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))),
-        F.struct(F.lit(1).alias("depth"), F.lit(1).alias("n")),
-        step,
+    # The tag and what follows it are looked for once, not again for every piece.
+    pieces = F.split(F.regexp_extract(html, rf"(?is){opening}(.*)$", 2), "<", -1)
+    return let(
+        F.lower(F.regexp_extract(html, rf"(?is){opening}", 1)), lambda tag: F.when(tag != "", let(pieces, lambda p: inner(tag, p)))
     )
-    inner = F.array_join(F.slice(pieces, 1, walked["n"]), "<")
-    return F.when(tag != "", inner)
 
 
 def select_first(html: Column, selector: str) -> Column:

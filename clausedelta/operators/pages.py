@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausedelta.functions.stages import with_computed
-from clausedelta.functions.text import PAGE_BREAK, clean_text, comparable_line, split_lines, strip
+from clausedelta.functions.stages import let, with_computed
+from clausedelta.functions.text import PAGE_BREAK, clean_text, comparable_lines, split_lines, strip
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     Counted per (document, line), so a document with very many pages is spread
     by its lines. Equal lines of one page count once, dropped within the row.
     """
-    lines = F.array_distinct(F.transform(split_lines(F.col("page_text")), comparable_line))
+    lines = F.array_distinct(comparable_lines(F.col("page_text")))
     usable = F.filter(lines, lambda v: (F.length(v) > 3) & (F.length(v) < 140))
     counts = (
         pages.select("document_id", F.explode_outer(usable).alias("line")).where("line is not null")
@@ -39,10 +39,10 @@ def clean_pages(pages: DataFrame, phrases: str | None = None, keep_empty: bool =
     """
     repeated = repeated_lines(pages).groupBy("document_id").agg(F.collect_set("line").alias("_repeated"))
     df = pages.join(repeated, "document_id", "left")
-    kept = F.filter(
-        split_lines(F.col("page_text")),
-        lambda v: ~F.coalesce(F.array_contains(F.col("_repeated"), comparable_line(v)), F.lit(False)),
-    )
+    recurs = lambda v: F.coalesce(F.array_contains(F.col("_repeated"), v), F.lit(False))
+    kept = let(comparable_lines(F.col("page_text")), lambda lines: F.filter(
+        split_lines(F.col("page_text")), lambda _, i: ~recurs(F.get(lines, i))
+    ))
     # Pages of one-page documents are cleaned as they are.
     body = F.when(F.col("_repeated").isNull(), F.col("page_text")).otherwise(F.array_join(kept, "\n"))
     cleaned = clean_text(body, F.col(phrases) if phrases else None)
@@ -52,7 +52,7 @@ def clean_pages(pages: DataFrame, phrases: str | None = None, keep_empty: bool =
 
 def clean_multipage(pages: DataFrame, phrases: str | None = None) -> DataFrame:
     """Cleaned text per document, pages in order; documents left empty give ''."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "cleaned_page")))
+    ordered = F.sort_array(F.collect_list(F.struct("page_no", "cleaned_page")))
     texts = F.filter(F.transform(ordered, lambda p: p["cleaned_page"]), lambda t: t != "")
     return clean_pages(pages, phrases, keep_empty=True).groupBy("document_id").agg(
         F.array_join(texts, "\n\n").alias("cleaned_text"), F.count("*").alias("page_count")
@@ -61,7 +61,7 @@ def clean_multipage(pages: DataFrame, phrases: str | None = None) -> DataFrame:
 
 def raw_text(pages: DataFrame) -> DataFrame:
     """Trimmed pages of a document joined by the page break mark."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", strip(F.col("page_text")).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct("page_no", strip(F.col("page_text")).alias("t"))))
     return pages.groupBy("document_id").agg(
         F.array_join(F.transform(ordered, lambda p: p["t"]), PAGE_BREAK).alias("raw_text"),
         F.count("*").alias("page_count"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clausedelta.sources.listings import _filled_template as listings_filled
 from clausedelta.sources.listings import template_pieces as listings_pieces
-from clausedelta.functions.html import unescape, with_html_text
+from clausedelta.functions.html import element, unescape, with_html_text
 from clausedelta.operators import links as lk
 from clausedelta.operators import pages as pg
 from clausedelta.sources.feeds import feed_documents, feed_results
@@ -119,6 +119,12 @@ def test_html_text(spark):
     assert out == ["One\ntwo\n§§—&bogus;\nThree", "a\nb\nc\nd", "in", "bare\ntwo", ""]
 
 
+def test_containers_are_looked_for_once(spark):
+    assert str(element(F.col("html"), "main")).count("<(main)") == 2  # its name and its content; not for every piece
+    df = pages(spark, "<main>" + "<p>&amp;lt; &lt;b&gt; &amplt; &nbsp;&quot;x&quot</p>" * 3 + "<main>in</main>out</main>after")
+    assert with_html_text(df, "html", "t").first().t == "\n".join(['&lt; <b> &lt; \u00a0"x"'] * 3 + ["in", "out"])
+
+
 def paged(spark, docs):
     rows = [(d, i + 1, t, 0) for d, ps in docs.items() for i, t in enumerate(ps)]
     return spark.createDataFrame(rows, "document_id string, page_no int, page_text string, image_count int")

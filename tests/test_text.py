@@ -70,6 +70,24 @@ def test_comparable_line(spark):
     assert expected[0] == expected[1]
 
 
+def test_comparable_lines_equal_those_of_each_line(spark):
+    texts = [*ODD, "ΟΔΟΣ\nΑΣ β  x\u00a0\u2003y\nPage ٣ of 12 ", " a  b\tc \r\n12/34\u3000", "İ I\x85ΣΑΣ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = F.transform(tx.split_lines(F.col("t")), tx.comparable_line)
+    for r in df.select(one.alias("a"), tx.comparable_lines(F.col("t")).alias("b"), "t").collect():
+        assert r.a == r.b, r.t
+
+
+def test_long_texts_are_split_and_searched_once(spark):
+    """Each repeat is a pass over the text: lines are cut once, marks are looked for before a pattern runs."""
+    assert str(tx.split_lines(F.col("t"))).count("split(") == 1
+    cleaned = str(tx.clean_text(F.col("t")))
+    assert "translate(" not in cleaned and cleaned.count("regexp_replace(") <= cleaned.count("contains(")
+    marked = ["PAGE 3\nx", "x\n 3 / 4 \ny", "- 7 -", "draft - subject to APPROVAL z\nq", "crown  copyright", "Crown Copyright 2020 w", "re-\nopen - \n x", "a—b – c\u00a0‘d’"]
+    want = ["x", "x\n\ny", "", "q", "crown  copyright", "", "reopen -\nx", "a - b  -  c 'd'"]
+    assert values(spark, marked, tx.clean_text) == want
+
+
 def test_reduction(spark):
     df = spark.createDataFrame([(200, 133), (0, 0), (3, 2)], "a int, b int")
     assert [r[0] for r in df.select(tx.reduction_pct(F.col("a"), F.col("b"))).collect()] == [33.5, 0.0, 33.3]
